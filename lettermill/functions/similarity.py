@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from lettermill.functions.text import as_column, normalise_for_scoring
 
@@ -47,7 +48,7 @@ def cer(reference: Column | str, hypothesis: Column | str) -> Column:
     return error_rate(char_distance(ref, hyp), F.length(ref))
 
 
-@F.pandas_udf("struct<reference string, hypothesis string>")
+@F.pandas_udf(StructType().add("reference", StringType()).add("hypothesis", StringType()))
 def _tokens_as_characters(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     rows = []
     for ref, hyp in zip(reference, hypothesis):

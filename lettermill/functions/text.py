@@ -7,13 +7,15 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The characters that stripping removes (Unicode white space without the
 # non-breaking spaces), the control range that plain trimming removes, and the marks that
 # end a sentence.
 STRIP_CHARS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f         "
-    "      　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2008\u2009\u200a"
+    "\u2028\u2029\u205f\u3000"
 )
 TRIM_CHARS = "".join(chr(i) for i in range(0x21))
 SENTENCE_END = "(?<=[।॥.?!])\\s+|\\n+"
@@ -84,7 +86,7 @@ def hard_split(value: Column | str, limit: int) -> Column:
     return F.transform(F.regexp_extract_all(one_line, F.lit(_packing_pattern(limit)), 1), strip)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda s: unicodedata.normalize("NFC", s), na_action="ignore")
 
