@@ -40,13 +40,13 @@ def classify_outcome(status: Column | str) -> Column:
     )
 
 
-def call_price(endpoint, units, rates: Mapping[str, Decimal] = RATES) -> Column:
-    """Unit price times units as decimal(10,4). An endpoint without a price fails the job."""
+def call_price(endpoint, units, rates: Mapping[str, Decimal] = RATES, kind: str = "decimal(10,4)") -> Column:
+    """Unit price times units. An endpoint without a price fails the job."""
     name = as_column(endpoint)
     rate = F.raise_error(F.concat(F.lit("no price for endpoint "), name)).cast("decimal(10,4)")
     for endpoint_name, price in rates.items():
         rate = F.when(name == endpoint_name, F.lit(price).cast("decimal(10,4)")).otherwise(rate)
-    return (rate * as_column(units).cast("decimal(10,0)")).cast("decimal(10,4)")
+    return (rate * as_column(units).cast("decimal(18,0)")).cast(kind)
 
 
 def call_cost(endpoint, units, status, rates: Mapping[str, Decimal] = RATES) -> Column:

@@ -179,8 +179,7 @@ def cache_savings(work: DataFrame, ledger: DataFrame, now: Column, rates=RATES)
     units = F.when(F.col("action") == "REUSE", F.col("asked_units")).otherwise(F.col("asked_units") - F.col("units"))
     saved = planned.groupBy("endpoint").agg(
         F.sum(calls).cast("bigint").alias("calls_avoided"), F.sum(units).cast("bigint").alias("units_avoided"))
-    cost = call_price("endpoint", F.col("units_avoided").cast("decimal(10,0)"), rates)
-    return saved.withColumn("cost_avoided", cost.cast("decimal(20,4)"))
+    return saved.withColumn("cost_avoided", call_price("endpoint", "units_avoided", rates, "decimal(20,4)"))
 
 
 def track_manifest(pages: DataFrame, segments: DataFrame) -> DataFrame:
