@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lettermill.functions.similarity import grams, trigram_similarity
 from lettermill.functions.stemming import STOP_WORDS, stem
 from lettermill.functions.text import as_column, escape_like
+from lettermill.operators.joins import broadcast_if_small, is_small
 
 # Query limits and snippet sizes.
 MIN_QUERY, MAX_QUERY = 2, 200
@@ -97,7 +98,7 @@ def match_translated(terms: DataFrame, postings: DataFrame, pages: DataFrame) ->
 
     ``pages`` (``owner_id, document_id, page_no``) serves clauses made of negations only.
     """
-    hits = terms.join(postings, ["owner_id", "token"])
+    hits = postings.join(broadcast_if_small(terms), ["owner_id", "token"])
     # A phrase is satisfied where all its terms agree on where it starts.
     start = F.when(F.col("piece_terms") > 1, F.col("position") - F.col("offset"))
     found = hits.groupBy("query_id", "clause", "piece", "negated", "needed", "piece_terms", *PAGE,
@@ -131,13 +132,19 @@ def match_original(queries: DataFrame, pages: DataFrame) -> DataFrame:
 
     A page can only contain the query if it contains the query's first three characters (or
     both of a two-character query). That equi-join on (owner, n-gram) finds candidates; no
-    query is compared with every page.
+    query is compared with every page. A query batch of checked size is broadcast and the
+    pages are scanned once; a larger one is joined on narrow rows before texts are fetched.
     """
     wanted = queries.filter(F.length("q") >= MIN_QUERY).select(
         "query_id", "owner_id", F.col("q"), F.substring(F.lower("q"), 1, 3).alias("gram"))
     sizes = F.array(*(F.array_distinct(grams(F.lower("original_text"), n)) for n in (2, 3)))
-    probes = pages.select("owner_id", *PAGE, "original_text", F.explode(F.flatten(sizes)).alias("gram"))
-    candidates = probes.join(wanted, ["owner_id", "gram"])
+    gram = F.explode(F.flatten(sizes)).alias("gram")
+    if is_small(wanted):
+        probes = pages.select("owner_id", *PAGE, "original_text", gram)
+        candidates = probes.join(F.broadcast(wanted), ["owner_id", "gram"])
+    else:
+        narrow = pages.select("owner_id", *PAGE, gram).join(wanted, ["owner_id", "gram"])
+        candidates = narrow.join(pages.select(*PAGE, "original_text"), PAGE)
     return candidates.filter(contains_text("original_text", "q")).select("query_id", *PAGE)
 
 
