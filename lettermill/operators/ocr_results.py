@@ -76,13 +76,10 @@ def _path_of_text(values: pd.Series, wanted: pd.Series) -> pd.Series:
 def named_page_text(document: Column) -> Column:
     """Text under a configured field of a variant: top level first, then inside an envelope."""
     paths = [f"$.{f}" for f in TEXT_FIELDS] + [f"$.{e}.{f}" for e in ENVELOPES for f in TEXT_FIELDS]
-
-    def text_at(path: str) -> Column:
-        value = F.try_variant_get(document, path, "variant")
-        text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(document, path, "string"))
-        return F.when(~is_blank(text), text)
-
-    return F.coalesce(*(text_at(p) for p in paths))
+    values = F.array(*(F.try_variant_get(document, p, "variant") for p in paths))
+    strings = F.filter(values, lambda v: F.schema_of_variant(v) == "STRING")
+    texts = F.filter(F.transform(strings, lambda v: v.cast("string")), lambda t: ~is_blank(t))
+    return F.get(texts, 0)
 
 
 def extract_page_text(df: DataFrame, json_column: str = "json", out: str = "text") -> DataFrame:

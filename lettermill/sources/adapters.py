@@ -90,8 +90,6 @@ SELECT event_id AS id, event_type AS topic, ts AS created_at,
 FROM events""",
 }
 
-BASE_TABLES = ("conversations", "events", "documents")
-
 
 def view_sql(name: str, engine: str) -> str:
     """The adapter's SQL for ``spark`` or ``duckdb``."""
@@ -108,8 +106,9 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The adapter as a lazily read DataFrame."""
     sql = view_sql(name, "spark").replace("{", "{{").replace("}", "}}")
-    table = next(t for t in BASE_TABLES if re.search(rf"\b{t}\b", sql))
-    sql = re.sub(rf"\b{table}\b", "{source}", sql)
+    source = re.compile(r"\bFROM (conversations|events|documents)\b")
+    table = source.search(sql).group(1)
+    sql = source.sub("FROM {source}", sql)
     return spark.sql(sql, source=base_table(spark, sf_dir, table))
 
 
