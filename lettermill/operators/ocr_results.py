@@ -94,7 +94,10 @@ def extract_page_text(df: DataFrame, json_column: str = "json", out: str = "text
 
 
 def _last_per_ordinal(found: DataFrame) -> DataFrame:
-    return found.groupBy("archive_id", "ordinal").agg(F.max_by("text", "entry_pos").alias("text"))
+    # Entries without text are passed over here: a filter in front would run the fallback twice.
+    place = F.when(F.col("text").isNotNull(), F.col("entry_pos"))
+    last = found.groupBy("archive_id", "ordinal").agg(F.max_by("text", place).alias("text"))
+    return last.filter(F.col("text").isNotNull())
 
 
 def _text_content(df: DataFrame) -> DataFrame:
@@ -110,8 +113,7 @@ def _numbered(entries: DataFrame, pattern: str) -> DataFrame:
 
 def pages_from_json(entries: DataFrame) -> DataFrame:
     """(archive_id, ordinal, text) of ``page_NNN.json`` entries; the last duplicate wins."""
-    found = extract_page_text(_numbered(entries, PAGE_JSON), "content").filter(F.col("text").isNotNull())
-    return _last_per_ordinal(found)
+    return _last_per_ordinal(extract_page_text(_numbered(entries, PAGE_JSON), "content"))
 
 
 def pages_from_text(entries: DataFrame) -> DataFrame:
@@ -238,7 +240,8 @@ def expected_pages(batches: DataFrame) -> DataFrame:
 def text_provenance(entries: DataFrame, texts: DataFrame) -> DataFrame:
     """The first JSON path of an archive whose string equals the text given for it."""
     held = _text_content(entries.filter(F.lower("entry_name").endswith(".json"))).join(texts, "archive_id")
-    found = held.withColumn("path", _path_of_text("content", "text")).filter(F.col("path").isNotNull())
+    found = held.withColumn("path", _path_of_text("content", "text"))
     source = F.concat(F.col("entry_name"), F.lit(" -> "), F.col("path"))
-    first = found.groupBy("archive_id").agg(F.min_by(source, "entry_pos").alias("text_source"))
+    place = F.when(F.col("path").isNotNull(), F.col("entry_pos"))
+    first = found.groupBy("archive_id").agg(F.min_by(source, place).alias("text_source"))
     return texts.join(first, "archive_id", "left")

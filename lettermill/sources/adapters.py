@@ -103,13 +103,12 @@ def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The adapter as a lazily read DataFrame."""
+def adapter(spark: SparkSession, sf_dir: str, name: str, source: DataFrame | None = None) -> DataFrame:
+    """The adapter as a lazily read DataFrame, over its table or over ``source`` in its place."""
     sql = view_sql(name, "spark").replace("{", "{{").replace("}", "}}")
-    source = re.compile(r"\bFROM (conversations|events|documents)\b")
-    table = source.search(sql).group(1)
-    sql = source.sub("FROM {source}", sql)
-    return spark.sql(sql, source=base_table(spark, sf_dir, table))
+    wanted = re.compile(r"\bFROM (conversations|events|documents)\b")
+    table = source if source is not None else base_table(spark, sf_dir, wanted.search(sql).group(1))
+    return spark.sql(wanted.sub("FROM {source}", sql), source=table)
 
 
 def with_views(*names: str) -> str:
