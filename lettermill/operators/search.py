@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.similarity import grams, trigram_similarity
@@ -54,15 +54,22 @@ def build_gram_index(pages: DataFrame, docs: DataFrame, sizes: Sequence[int] = (
     return owned.select("owner_id", *PAGE, F.explode(all_grams).alias("gram"))
 
 
-def write_index(postings: DataFrame, path: str, key: str = "token", buckets: int = 64, spread: int = 16) -> None:
+def write_index(postings: DataFrame, path: str, key: str = "token", buckets: int = 64) -> None:
     """Store postings by hash of their key, so that a search reads only its keys' buckets.
 
-    A common token is spread over ``spread`` files of its bucket.
+    Rebalancing splits the bucket of a common token over several files.
     """
-    placed = postings.withColumn("bucket", bucket_of(key, buckets))
-    salt = F.pmod(F.xxhash64(*PAGE), F.lit(spread))
-    (placed.repartition("bucket", salt).sortWithinPartitions("bucket", key)
-     .write.mode("overwrite").partitionBy("bucket").parquet(path))
+    placed = postings.withColumn("bucket", bucket_of(key, buckets)).hint("rebalance", "bucket")
+    placed.sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, keys: DataFrame, key: str = "token", buckets: int = 64) -> DataFrame:
+    """Stored postings of the buckets that ``keys`` (such as query terms) fall into.
+
+    At most ``buckets`` numbers reach the driver; as a partition filter they prune the scan.
+    """
+    wanted = [row[0] for row in keys.select(bucket_of(key, buckets)).distinct().collect()]
+    return spark.read.parquet(path).filter(F.col("bucket").isin(wanted)).drop("bucket")
 
 
 def bucket_of(key: str, buckets: int = 64) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("usage", "metrics", "text", "limits", "ocr", "enrichment", "state", "search", "accuracy", "streams")
+AREAS = ("usage", "metrics", "text", "limits", "ocr", "enrichment", "state", "search", "accuracy", "sources", "streams")
 
 
 def collect(kind: str) -> dict:
