@@ -26,12 +26,16 @@ def trigrams(value: Column | str) -> Column:
     return F.array_distinct(F.flatten(padded))
 
 
-def trigram_similarity(a: Column | str, b: Column | str) -> Column:
-    """Shared over all trigrams of both; 0 for null or when neither has any."""
-    left, right = trigrams(a), trigrams(b)
+def gram_similarity(left: Column | str, right: Column | str) -> Column:
+    """Shared over all of two sets of trigrams; 0 for null or when neither has any."""
+    left, right = as_column(left), as_column(right)
     shared = F.size(F.array_intersect(left, right))
     total = F.size(left) + F.size(right) - shared
-    return F.coalesce(F.when(total > 0, shared / total), F.lit(0.0))
+    return F.coalesce(F.when(left.isNotNull() & right.isNotNull() & (total > 0), shared / total), F.lit(0.0))
+
+
+def trigram_similarity(a: Column | str, b: Column | str) -> Column:
+    return gram_similarity(trigrams(a), trigrams(b))
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
@@ -55,16 +59,16 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
         for i in places:
             bits[i >> 3] |= 1 << (i & 7)
         masks[symbol] = int.from_bytes(bits, "little")
-    full, last = (1 << len(a)) - 1, len(a) - 1
-    up, down, distance = full, 0, len(a)
+    full = (1 << len(a)) - 1
+    up, down = full, 0
     for symbol in b:
         match = masks.get(symbol, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        right, left = down | (full & ~(diagonal | up)), diagonal & up
-        distance += (right >> last & 1) - (left >> last & 1)
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = down | (full ^ (diagonal | up)), diagonal & up
         right, left = right << 1 & full | 1, left << 1 & full
-        up, down = left | (full & ~(diagonal | right)), right & diagonal
-    return distance
+        up, down = left | (full ^ (diagonal | right)), right & diagonal
+    # The last column starts at len(b); its steps up and down lead to the answer.
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(IntegerType())

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lettermill.functions.similarity import grams, trigram_similarity
+from lettermill.functions.similarity import gram_similarity, grams, trigrams
 from lettermill.functions.stemming import STOP_WORDS, stem
 from lettermill.functions.text import as_column, escape_like
 from lettermill.operators.joins import broadcast_if_small, is_small
@@ -216,17 +216,20 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
         F.max("text_rank").alias("text_rank"), F.min("first_hit").alias("first_hit"),
         F.bool_or("in_translation").alias("in_translation"))
     facts = docs.select("document_id", "title", F.col("year").alias("doc_year"), "tags")
-    asked = valid.select("query_id", "q", "tag", "year", "limit")
+    asked = valid.select("query_id", "q", "tag", "year", "limit", trigrams("q").alias("_q_grams"))
     scoped = found.join(asked, "query_id").join(facts, "document_id").filter(
         (F.col("tag").isNull() | F.array_contains("tags", F.col("tag")))
         & (F.col("year").isNull() | (F.col("doc_year") == F.col("year"))))
-    texts = pages.select(*PAGE, "original_text", "translated_text")
-    ranked = scoped.join(texts, PAGE).withColumn(
-        "rank", F.round(F.col("text_rank") + trigram_similarity("original_text", "q"), 6))
+    # Trigrams are made once per page and once per query, and no text takes part in ranking.
+    page_grams = pages.select(*PAGE, trigrams("original_text").alias("_page_grams"))
+    similarity = gram_similarity("_page_grams", "_q_grams")
+    ranked = scoped.join(page_grams, PAGE).withColumn("rank", F.round(F.col("text_rank") + similarity, 6)).drop(
+        "_page_grams", "_q_grams")
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "page_no", "document_id")
     # The constant bound lets each task keep its own best before the shuffle.
     top = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_LIMIT)
-    return top.filter(F.col("place") <= F.col("limit")).select(
+    texts = pages.select(*PAGE, "original_text", "translated_text")
+    return top.filter(F.col("place") <= F.col("limit")).join(texts, PAGE).select(
         "query_id", "place", "document_id", "title", F.col("doc_year").alias("year"), "tags", "page_no",
         F.when(F.col("in_translation"), "TRANSLATED").otherwise("ORIGINAL").alias("matched_in"),
         F.when(F.col("in_translation"), snippet_translated("translated_text", "first_hit"))
