@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lettermill.functions.calls import call_cost, classify_outcome
-from lettermill.operators.ordering import nearest_rank, percentiles, with_position
+from lettermill.operators.ordering import nearest_rank, percentiles, ranked_percentiles, with_position
 
 COST = "decimal(20,4)"
 
@@ -134,7 +134,7 @@ def limited_requests_per_minute(decided: DataFrame) -> DataFrame:
 def document_durations(docs: DataFrame) -> DataFrame:
     """p50, p95 and longest time from creation to completion, in seconds, per final status."""
     timed = durations(docs)
-    out = percentiles(timed, ["status"], "duration_ms", {"p50": 0.5, "p95": 0.95, "longest": 1.0}, count="documents")
+    out = ranked_percentiles(timed, ["status"], "duration_ms", {"p50": 0.5, "p95": 0.95, "longest": 1.0}, "documents")
     return out.select("status", "documents", *(F.round(F.col(c) / 1000, 4).alias(f"{c}_s")
                                                for c in ("p50", "p95", "longest")))
 

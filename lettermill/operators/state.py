@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.functions.text import content_hash, is_blank, word_count
@@ -124,11 +124,13 @@ def decide_edits(docs: DataFrame, pages: DataFrame, edits: DataFrame, used: Data
     One edit per page is decided in a run, the first by ``edit_id``; others are DEFERRED to
     the next run, where they meet the page as this one left it.
     """
-    first = F.row_number().over(Window.partitionBy(*PAGE, "owner_id").orderBy("edit_id"))
+    # The first edit per page by a minimum, which combines before the shuffle, not by sorting texts.
+    firsts = edits.groupBy(*PAGE, "owner_id").agg(F.min("edit_id").alias("edit_id")).select(
+        "edit_id", F.lit(True).alias("_first"))
     owned = docs.select("document_id", "owner_id", F.lit(True).alias("_doc"))
     current = pages.select(*PAGE, F.col("status").alias("_status"), F.col("text_hash").alias("_hash"))
     joined = (
-        edits.withColumn("_turn", first)
+        edits.join(firsts, "edit_id", "left")
         .join(owned, ["document_id", "owner_id"], "left")
         .join(current, PAGE, "left")
         .withColumn("text_hash", content_hash("text"))
@@ -137,7 +139,7 @@ def decide_edits(docs: DataFrame, pages: DataFrame, edits: DataFrame, used: Data
     unchanged = ~F.col("_status").isin(*STOPPED) & F.col("text_hash").eqNullSafe(F.col("_hash"))
     early = (
         F.when(F.col("_doc").isNull(), "NOT_FOUND").when(F.col("_status").isNull(), "PAGE_NOT_FOUND")
-        .when(F.col("_turn") > 1, "DEFERRED").when(F.col("_status") == "PENDING", "NOT_READY")
+        .when(F.col("_first").isNull(), "DEFERRED").when(F.col("_status") == "PENDING", "NOT_READY")
         .when(is_blank("text"), "INVALID_BLANK").when(F.length("text") > MAX_EDIT_CHARS, "INVALID_TOO_LONG")
         .when(unchanged, "NO_OP")
     )
