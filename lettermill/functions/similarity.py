@@ -26,12 +26,21 @@ def trigrams(value: Column | str) -> Column:
     return F.array_distinct(F.flatten(padded))
 
 
-def gram_similarity(left: Column | str, right: Column | str) -> Column:
-    """Shared over all of two sets of trigrams; 0 for null or when neither has any."""
+def gram_similarity(left: Column | str, right: Column | str, short_right: bool = False) -> Column:
+    """Shared over all of two sets of trigrams; 0 for null or when neither has any.
+
+    With ``short_right`` the few grams on the right are looked up one by one, which is
+    cheaper than building a set of the left ones.
+    """
     left, right = as_column(left), as_column(right)
-    shared = F.size(F.array_intersect(left, right))
-    total = F.size(left) + F.size(right) - shared
-    return F.coalesce(F.when(left.isNotNull() & right.isNotNull() & (total > 0), shared / total), F.lit(0.0))
+    if short_right:
+        shared = F.size(F.filter(right, lambda gram: F.array_contains(left, gram)))
+    else:
+        shared = F.size(F.array_intersect(left, right))
+    both = F.size(left) + F.size(right)
+    # Inside the lambda the shared count is a variable, so it is worked out once.
+    ratio = F.get(F.transform(F.array(shared), lambda s: s / (both - s)), 0)
+    return F.coalesce(F.when(left.isNotNull() & right.isNotNull() & (both > 0), ratio), F.lit(0.0))
 
 
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:

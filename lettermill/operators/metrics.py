@@ -55,7 +55,7 @@ def spend_cumulative(calls: DataFrame, step: str = "minute") -> DataFrame:
 
 
 def spend_per_hour(calls: DataFrame, watermark: str | None = None) -> DataFrame:
-    """Cost over the last hour, every five minutes.
+    """Cost per endpoint over the last hour, every five minutes.
 
     Five-minute sums first, then each counts into its twelve hours, so that the twelvefold
     expansion of a sliding window applies to sums and not to calls. A stream needs one
@@ -64,12 +64,12 @@ def spend_per_hour(calls: DataFrame, watermark: str | None = None) -> DataFrame:
     calls = _event_time(calls, "created_at", watermark)
     cost = call_cost("endpoint", "units", "http_status")
     if not calls.isStreaming:
-        calls = calls.groupBy(F.window("created_at", "5 minutes").start.alias("created_at")).agg(
+        calls = calls.groupBy(F.window("created_at", "5 minutes").start.alias("created_at"), "endpoint").agg(
             F.sum(cost).alias("cost"))
         cost = F.col("cost")
-    grouped = calls.groupBy(F.window("created_at", "1 hour", "5 minutes").alias("w")).agg(
+    grouped = calls.groupBy(F.window("created_at", "1 hour", "5 minutes").alias("w"), "endpoint").agg(
         F.sum(cost).cast(COST).alias("cost"))
-    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "cost")
+    return grouped.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint", "cost")
 
 
 def units_per_minute(calls: DataFrame, watermark: str | None = None) -> DataFrame:

@@ -137,7 +137,7 @@ def stalled_batches(batches: DataFrame, docs: DataFrame, now: Column, limit: int
     """Batches never submitted in time, oldest lease first: back to PENDING with a new lease."""
     stuck = batches.filter(
         F.col("status").isin("PENDING", "RUNNING") & F.col("job_id").isNull()
-        & (F.col("next_poll_at") < now) & (F.col("attempts") < max_submits))
+        & (F.col("next_poll_at") <= now) & (F.col("attempts") < max_submits))
     picked = stuck.orderBy("next_poll_at", "batch_id").limit(limit)
     renewed = picked.withColumns({
         "status": F.lit("PENDING"), "next_poll_at": now + F.make_dt_interval(secs=F.lit(lease_s))})

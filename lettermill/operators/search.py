@@ -222,7 +222,7 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
         & (F.col("year").isNull() | (F.col("doc_year") == F.col("year"))))
     # Trigrams are made once per page and once per query, and no text takes part in ranking.
     page_grams = pages.select(*PAGE, trigrams("original_text").alias("_page_grams"))
-    similarity = gram_similarity("_page_grams", "_q_grams")
+    similarity = gram_similarity("_page_grams", "_q_grams", short_right=True)
     ranked = scoped.join(page_grams, PAGE).withColumn("rank", F.round(F.col("text_rank") + similarity, 6)).drop(
         "_page_grams", "_q_grams")
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "page_no", "document_id")

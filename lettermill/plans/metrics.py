@@ -27,9 +27,9 @@ SELECT endpoint, step_start, cost,
 
 QUERIES["m4_spend_per_hour"] = lambda s, d: metrics.spend_per_hour(view(s, d, "api_call"))
 ORACLES["m4_spend_per_hour"] = f"""{CALLS}
-SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, CAST(sum(cost) AS DECIMAL(20,4)) AS cost
+SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, endpoint, CAST(sum(cost) AS DECIMAL(20,4)) AS cost
 FROM (SELECT time_bucket(INTERVAL 5 MINUTE, created_at) - unnest(range(12)) * INTERVAL 5 MINUTE AS window_start,
-             {COST} AS cost FROM api_call) GROUP BY window_start"""
+             endpoint, {COST} AS cost FROM api_call) GROUP BY window_start, endpoint"""
 
 QUERIES["m5_units_per_minute"] = lambda s, d: metrics.units_per_minute(view(s, d, "api_call"))
 ORACLES["m5_units_per_minute"] = f"""{CALLS}

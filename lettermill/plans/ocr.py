@@ -264,7 +264,7 @@ QUERIES["p17_stalled_batches"] = lambda s, d: planning.stalled_batches(
     batches(s, d), view(s, d, "upload"), now()).select("batch_id", "document_id", "language", "status", "next_poll_at")
 ORACLES["p17_stalled_batches"] = f"""{views('upload')}, {BATCH_SQL}
 SELECT batch_id, document_id, language, 'PENDING' AS status, {NOW} + INTERVAL 60 SECOND AS next_poll_at
-FROM (SELECT * FROM batch WHERE status IN ('PENDING', 'RUNNING') AND job_id IS NULL AND next_poll_at < {NOW} AND attempts < 3
+FROM (SELECT * FROM batch WHERE status IN ('PENDING', 'RUNNING') AND job_id IS NULL AND next_poll_at <= {NOW} AND attempts < 3
       ORDER BY next_poll_at, batch_id LIMIT 20) LEFT JOIN upload USING (document_id)"""
 
 SUBMITTED = "CASE batch_id % 4 WHEN 0 THEN 'submitted' WHEN 1 THEN 'paused' WHEN 2 THEN 'failed' END"

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import functions as F
-
 from lettermill.functions.text import word_count
 from lettermill.operators import metrics
 from lettermill.plans import limits as limit_queries
@@ -52,7 +50,7 @@ ORACLES["m1_calls_per_minute_stream"] = metric_queries.ORACLES["m1_calls_per_min
 QUERIES["m2_latency_quantiles_stream"] = lambda s, d: upserted(
     s, metrics.latency_quantiles_windowed(live(s, d, "api_call", "events"), watermark=LATE), ["window_start", "endpoint"])
 QUERIES["m4_spend_per_hour_stream"] = lambda s, d: upserted(
-    s, metrics.spend_per_hour(live(s, d, "api_call", "events"), LATE), ["window_start", "window_end"])
+    s, metrics.spend_per_hour(live(s, d, "api_call", "events"), LATE), ["window_start", "window_end", "endpoint"])
 ORACLES["m4_spend_per_hour_stream"] = metric_queries.ORACLES["m4_spend_per_hour"]
 QUERIES["m5_units_per_minute_stream"] = lambda s, d: upserted(
     s, metrics.units_per_minute(live(s, d, "api_call", "events"), LATE), ["window_start", "unit_type"])
