@@ -44,7 +44,9 @@ def gram_similarity(left: Column | str, right: Column | str, short_right: bool =
 
 
 def trigram_similarity(a: Column | str, b: Column | str) -> Column:
-    return gram_similarity(trigrams(a), trigrams(b))
+    # As a lambda variable each set of grams is made once, although it is used several times.
+    both = F.array(F.struct(trigrams(a).alias("left"), trigrams(b).alias("right")))
+    return F.get(F.transform(both, lambda pair: gram_similarity(pair["left"], pair["right"])), 0)
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
