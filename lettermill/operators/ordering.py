@@ -77,6 +77,8 @@ def percentiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: d
 
 def _ranked_values(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Distinct values with ``_before`` and ``_upto``, the rows below and up to each, and the group's ``_total``."""
+    if not keys:
+        raise ValueError("give at least one key; a constant column ranks all rows together")
     counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     placed = with_running_total(counted, keys, [value], F.col("_n"), "_upto")
     totals = placed.groupBy(*keys).agg(F.max("_upto").alias("_total"))
