@@ -108,3 +108,16 @@ def test_relay_repeats_nothing(spark, tmp_path):
         relay(source, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = sorted((r["topic"], r["payload"]) for r in spark.read.parquet(f"{tmp_path}/out").select("topic", "payload").collect())
     assert got == sorted((r["topic"], r["payload"]) for r in changes.collect())
+
+
+def test_live_quantiles_of_few_rows_are_observed_values(spark, tmp_path):
+    calls = spark.range(20).selectExpr(
+        "'tts' AS endpoint", "CAST((id + 1) * 10 AS INT) AS latency_ms",
+        "TIMESTAMP '2024-01-01 00:00:00' + (id % 10) * INTERVAL '10' SECOND + CAST(floor(id / 10) AS INT) * INTERVAL '5' MINUTE AS created_at")
+    for part in range(2):
+        feed(calls.filter(F.col("latency_ms") / 10 % 2 == part), tmp_path / "in", part)
+        sinks.start_upserts(metrics.latency_quantiles_windowed(stream(spark, tmp_path / "in", calls.schema), watermark="1 hour"),
+                            f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    got = sinks.read_latest(spark, f"{tmp_path}/out", ["window_start", "endpoint"]).orderBy("window_start").collect()
+    # Windows hold 10..100 and 110..200.
+    assert [(r["p50_ms"], r["p95_ms"]) for r in got] == [(50, 100), (150, 200)]
