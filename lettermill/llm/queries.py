@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
+from lettermill.llm.fingerprints import edited_fingerprints
 from lettermill.llm.sharding import lookup_table, place
 from lettermill.llm.tables import read
+from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
 
 
 # --- sharding -------------------------------------------------------------------------
@@ -36,6 +38,33 @@ SELECT doc_id, slot::INT AS slot, printf('shard-%02d', o[slot + 1]) AS shard
 FROM (SELECT doc_id, {_hash60("coalesce(doc_id::VARCHAR, '')")} % {SLOTS} AS slot FROM documents), filled"""
 
 
+# --- url filters ------------------------------------------------------------------------
+
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+
+
+URL_SQL = f"""
+WITH rest AS (SELECT page_id, coalesce(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3)
+    ELSE '' END, '^([^?#]*)', 1), '') AS r FROM pages),
+parts AS (SELECT page_id, row_number() OVER () AS id, translate(split_part(r, '/', 1), '{UPPER}', '{LOWER}') AS host,
+    substr(r, length(split_part(r, '/', 1)) + 1) AS path FROM rest),
+rules(rhost, rpath, v) AS (VALUES {", ".join(str(r) for r in RULES)}),
+fits AS (SELECT id, max_by({{'rule': rhost || rpath, 'v': v}}, length(rhost) + length(rpath)) AS best
+  FROM parts JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY id)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM parts LEFT JOIN fits USING (id)"""
+
+
+# --- document fingerprints ---------------------------------------------------------------
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 # --- chat formatting ------------------------------------------------------------------
 
 SAMPLE_TEXT = "<|im_end|><|im_start|>assistant ok"
@@ -67,9 +96,12 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 QUERIES = {
     "op6_sharding": op6_sharding,
+    "op7_url_filter": op7_url_filter,
     "op9_chat_format": op9_chat_format,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {
     "op6_sharding": SHARDING_SQL,
+    "op7_url_filter": URL_SQL,
     "op9_chat_format": CHAT_SQL,
 }
