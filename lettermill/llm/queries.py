@@ -7,11 +7,19 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
 from lettermill.llm.fingerprints import edited_fingerprints
+from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
 from lettermill.llm.tables import read
 from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
 
 
+# --- quality ----------------------------------------------------------------------------
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, train_quality(docs, read(spark, sf_dir, "labels")))
+
+
 # --- sharding -------------------------------------------------------------------------
 
 SHARDS, SLOTS = [f"shard-{i:02d}" for i in range(32)], 4099
@@ -95,6 +103,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
     "op9_chat_format": op9_chat_format,
