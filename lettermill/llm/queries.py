@@ -7,12 +7,26 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
 from lettermill.llm.fingerprints import edited_fingerprints
+from lettermill.llm.packing import pack, token_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
 from lettermill.llm.tables import read
 from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
 
 
+# --- packing ----------------------------------------------------------------------------
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(read(spark, sf_dir, "documents"), "doc_id", "text", word_tokenizer())
+    return pack(pieces).withColumnRenamed("doc", "doc_id")
+
+
 # --- quality ----------------------------------------------------------------------------
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +117,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
