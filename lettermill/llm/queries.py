@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
 from lettermill.llm.fingerprints import edited_fingerprints
+from lettermill.llm.near_dups import near_duplicates
 from lettermill.llm.packing import pack, token_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
@@ -27,6 +28,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).withColumnRenamed("doc", "doc_id")
 
 
+# --- near duplicates -----------------------------------------------------------------------
+
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+
+
 # --- quality ----------------------------------------------------------------------------
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +125,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op4_prob_minhash": op4_prob_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
