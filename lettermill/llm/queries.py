@@ -12,6 +12,7 @@ from lettermill.llm.packing import pack, token_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
 from lettermill.llm.tables import read
+from lettermill.llm.top_k import top_k
 from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
 
 
@@ -28,6 +29,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).withColumnRenamed("doc", "doc_id")
 
 
+# --- exact search --------------------------------------------------------------------------
+
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+TOP_K_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(list_inner_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS BIGINT) AS score
+  FROM whole q JOIN whole d ON q.vec_id % 100 = 0 AND q.vec_id <> d.vec_id)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10"""
+
+
 # --- near duplicates -----------------------------------------------------------------------
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +142,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_exact_top_k": op3_exact_top_k,
     "op4_prob_minhash": op4_prob_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
@@ -133,6 +151,7 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {
+    "op3_exact_top_k": TOP_K_SQL,
     "op6_sharding": SHARDING_SQL,
     "op7_url_filter": URL_SQL,
     "op9_chat_format": CHAT_SQL,
