@@ -9,6 +9,7 @@ from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
 from lettermill.llm.fingerprints import edited_fingerprints
 from lettermill.llm.near_dups import near_duplicates
 from lettermill.llm.packing import pack, token_pieces
+from lettermill.llm.piece_sampling import sample_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
 from lettermill.llm.tables import read
@@ -105,6 +106,19 @@ fits AS (SELECT id, max_by({{'rule': rhost || rpath, 'v': v}}, length(rhost) + l
 SELECT page_id, host, path, best.rule AS rule, coalesce(best.v, 'allow') AS verdict FROM parts LEFT JOIN fits USING (id)"""
 
 
+# --- pieces ------------------------------------------------------------------------------
+
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op8_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sample_pieces(read(spark, sf_dir, "documents"), "doc_id", "text", piece_model())
+    return found.withColumn("n_pieces", F.size("ids").cast("long"))
+
+
 # --- document fingerprints ---------------------------------------------------------------
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,6 +161,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_url_filter": op7_url_filter,
+    "op8_piece_sampling": op8_piece_sampling,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprints": op10_fingerprints,
 }
