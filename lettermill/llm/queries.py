@@ -12,6 +12,7 @@ from lettermill.llm.packing import pack, token_pieces
 from lettermill.llm.piece_sampling import sample_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
+from lettermill.llm.suffix_dedup import repeated_passages
 from lettermill.llm.tables import read
 from lettermill.llm.top_k import top_k
 from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
@@ -30,6 +31,17 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces).withColumnRenamed("doc", "doc_id")
 
 
+# --- repeated passages --------------------------------------------------------------------
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(read(spark, sf_dir, "documents")).drop("text_key")
+
+    def total(spans: str):
+        return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+    return found.withColumn("repeated_chars", total("repeated")).withColumn("removed_chars", total("removed"))
+
+
 # --- exact search --------------------------------------------------------------------------
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +168,7 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_prob_minhash": op4_prob_minhash,
     "op5_quality_rules": op5_quality_rules,

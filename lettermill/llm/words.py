@@ -1,6 +1,6 @@
 """Hashes of words and word shingles of many texts at once, for use inside tasks.
 
-A word is a run of bytes other than ASCII white space, in lower case. All words of a block are
+A word is a run of bytes other than ASCII white space, in lower case unless asked for as it is. All words of a block are
 hashed together: a polynomial over random byte values is summed up once along the block, and the
 difference between a word's ends, shifted back to its start, is its hash. Blocks are cut at
 white space and hold about ``BLOCK`` bytes, so memory stays bounded however long a text is.
@@ -54,8 +54,8 @@ def _parts(text: bytes) -> Iterator[bytes]:
     yield text[start:]
 
 
-def _block_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of ``parts`` and the number of words of each part."""
+def _block_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words of ``parts``, the number of words of each part, and words' first and past-last code points."""
     buffer = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     space = _SPACE[buffer]
     before = np.concatenate(([True], space[:-1]))
@@ -64,36 +64,60 @@ def _block_hashes(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inverse = _power(pow(_BASE, -1, 1 << 64), len(buffer))
     hashes = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
     edges = np.cumsum([0] + [len(p) + 1 for p in parts])
-    return hashes, np.diff(np.searchsorted(starts, edges))
+    points = np.concatenate((np.zeros(1, np.int64), np.cumsum((buffer & 0xC0) != 0x80)))
+    counts = np.diff(np.searchsorted(starts, edges))
+    places = points[np.stack((starts, ends))] - np.repeat(points[edges[:-1]], counts)
+    return hashes, counts, places
 
 
 def word_hashes(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, in order, and where each text's words begin (and the last one's end)."""
-    found, counts, parts, owners, size = [], [], [], [], 0
-    texts = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    return placed_words([t.lower() for t in texts])[:2]
+
+
+def placed_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`word_hashes`, without changing case; also first and past-last code point of each word in its text."""
+    found, counts, where, parts, owners, size = [], [], [], [], [], 0
+    texts = [t.encode("utf-8", "surrogatepass") for t in texts]
+    before, passed = [], 0
 
     def flush() -> None:
         if parts:
-            hashes, n = _block_hashes(parts)
+            hashes, n, places = _block_hashes(parts)
             found.append(hashes)
             counts.append(np.stack((np.array(owners), n)))
+            where.append(places + np.repeat(np.array(before), n))
             parts.clear()
             owners.clear()
+            before.clear()
 
     for i, text in enumerate(texts):
+        passed = 0
         for part in _parts(text):
             if size + len(part) > BLOCK:
                 flush()
                 size = 0
             parts.append(part)
             owners.append(i)
+            before.append(passed)
             size += len(part)
+            if len(part) < len(text):
+                passed += len(part.decode("utf-8", "surrogatepass"))
     flush()
     per_text = np.zeros(len(texts), np.int64)
     for pair in counts:
         np.add.at(per_text, pair[0], pair[1])
     offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(per_text)))
-    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), offsets
+    if not found:
+        return np.zeros(0, np.uint64), offsets, np.zeros((2, 0), np.int64)
+    return np.concatenate(found), offsets, np.concatenate(where, axis=1)
+
+
+def run_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs of words from ``starts`` up to ``ends``, whatever stands around them."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * _power(_BASE, len(words)))))
+    inverse = _power(pow(_BASE, -1, 1 << 64), len(words) + 1)
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_hashes(texts: Iterable[str], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
