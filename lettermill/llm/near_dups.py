@@ -109,17 +109,18 @@ def _keys(texts: list[str]) -> list[bytes]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc, key, sig): ids of documents, keys of their texts, and 16 bits of each register."""
+    """(doc, stamp, key, sig): ids of documents, digests of their texts, keys of their words, 16 bits of each register."""
     for batch in batches:
-        pairs = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
-        for chunk in in_chunks(((d, t.as_py()) for d, t in pairs), lambda pair: len(pair[1])):
-            texts = [t for _, t in chunk]
+        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
+        for chunk in in_chunks(((d, s, t.as_py()) for d, s, t in rows), lambda row: len(row[2])):
+            texts = [t for *_, t in chunk]
             sets = weighted_sets(texts)
             registers = mix(prob_minhash(sets)).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([
-                pa.array([d for d, _ in chunk], pa.int64()), pa.array(_keys(texts), pa.binary()),
+                pa.array([d for d, *_ in chunk], pa.int64()), pa.array([s for _, s, _ in chunk], pa.binary()),
+                pa.array(_keys(texts), pa.binary()),
                 pa.array([r.tobytes() if len(s[0]) else None for r, s in zip(registers, sets, strict=True)], pa.binary())],
-                names=["doc", "key", "sig"])
+                names=["doc", "stamp", "key", "sig"])
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,18 +202,48 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the plan ------------------------------------------------------------------------------------
 
 LINKS = "a binary, b binary"
+NO_ID = -(2 ** 63)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, class_id, class_size, text_key) per row of ``docs``."""
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(_signed, "doc long, key binary, sig binary"))
-    texts = signed.groupBy("key").agg(F.min(F.coalesce("doc", F.lit(-(2 ** 63)))).alias("rep"), F.min("sig").alias("sig"))
+    """(key, class_id, class_size) per row of ``docs``."""
+    classed = written(_classed(docs, key, text))
+    sizes = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
+    return classed.join(sizes, "root").select(F.col("doc").alias(key), "class_id", "class_size")
+
+
+def without_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of ``docs`` per class, columns as they are: the smallest id, then the text with the smallest md5."""
+    classed = written(_classed(docs, key, text))
+    first = classed.groupBy("root").agg(F.min(F.struct(_id("doc").alias("doc"), "stamp")).alias("kept"))
+    equal = classed.groupBy(_id("doc").alias("doc"), "stamp").agg(F.count(F.lit(1)).alias("rows"))
+    kept = first.select("kept.*").join(equal, ["doc", "stamp"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _id(key).alias("doc"), _stamp(text).alias("stamp"))
+    joined = rows.join(kept.hint("shuffle_hash"), ["doc", "stamp"])
+    # Of equal rows one is taken; there are few.
+    nth = F.row_number().over(Window.partitionBy("doc", "stamp").orderBy(F.xxhash64("row")))
+    again = joined.filter("rows > 1").withColumn("nth", nth).filter("nth = 1").select("row")
+    return joined.filter("rows = 1").select("row").unionByName(again).select("row.*")
+
+
+def _id(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+
+
+def _stamp(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def _classed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(doc, stamp, root) per row of ``docs``; rows of one class have one root."""
+    rows = docs.select(F.col(key).cast("long").alias("doc"), _stamp(text).alias("stamp"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    signed = written(rows.mapInArrow(_signed, "doc long, stamp binary, key binary, sig binary"))
+    texts = signed.groupBy("key").agg(F.min(_id("doc")).alias("rep"), F.min("sig").alias("sig"))
     texts = written(texts.filter("sig is not null"))
     buckets = _buckets(texts)
     wanted = buckets.select("key").distinct().join(texts, "key").select("rep", F.col("key").alias("wanted"), "sig")
     # Texts move once, and only the wanted ones go on; their keys, the smaller side, are hashed.
-    found = rows.withColumn("rep", F.coalesce("doc", F.lit(-(2 ** 63)))).join(wanted.hint("shuffle_hash"), "rep")
+    found = rows.withColumn("rep", _id("doc")).join(wanted.hint("shuffle_hash"), "rep")
     sets = written(found.select("wanted", "sig", "text").mapInArrow(
         _as_sets, "key binary, sig binary, hashes binary, counts binary"))
     links = None
@@ -224,12 +255,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         roots = written(components(links))
     links = links.unionByName(written(_rest(buckets, roots, sets)))
     roots = components(links)
-    classed = signed.join(roots, signed["key"] == roots["node"], "left").select(
-        "doc", "key", F.coalesce("root", "key").alias("root"))
-    classed = written(classed)
-    sizes = classed.groupBy("root").agg(F.min("doc").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return classed.join(sizes, "root").select(
-        F.col("doc").alias(key), "class_id", "class_size", F.hex("key").alias("text_key"))
+    return signed.join(roots, signed["key"] == roots["node"], "left").select("doc", "stamp", F.coalesce("root", "key").alias("root"))
 
 
 def _buckets(texts: DataFrame) -> DataFrame:

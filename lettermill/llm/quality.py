@@ -140,7 +140,8 @@ def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text:
         usable = usable.filter(place < max_rows / n)
     # At most about max_rows narrow rows are broadcast.
     chosen = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(usable), "id")
-    table = with_statistics(chosen, "text").coalesce(8).sortWithinPartitions("id", "label")
+    # The scan keeps its tasks; the few numbers that are left are dealt out by id, so that a rerun trains alike.
+    table = with_statistics(chosen, "text").repartition(8, "id").sortWithinPartitions("id", "label")
     return fit(written(table))
 
 
@@ -149,3 +150,9 @@ def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str
     scored = with_statistics(docs.select(F.col(key).alias(key), F.col(text).alias("text")), "text").select(
         key, (fold(F.col(key)) == 2).alias("held_out"), model.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, columns as they are, whose text is predicted to be good."""
+    kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
+    return with_statistics(kept, "text").filter(model.score() >= threshold).select("row.*")

@@ -61,7 +61,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 # --- near duplicates -----------------------------------------------------------------------
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_key")
+    return near_duplicates(read(spark, sf_dir, "documents"))
 
 
 # --- quality ----------------------------------------------------------------------------

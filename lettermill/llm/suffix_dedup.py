@@ -168,28 +168,34 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, text) with spans taken out of texts they belong to."""
+    """(row, text): spans are taken out of the texts they belong to, rows pass through."""
     for batch in batches:
-        cells = zip(*(batch.column(i) for i in range(4)), strict=True)
-        for chunk in in_chunks(((r.as_py(), k.as_py(), s.as_py(), t.as_py()) for r, k, s, t in cells), lambda row: len(row[3])):
-            words, offsets, _ = placed_words([t for *_, t in chunk])
-            out = []
-            for (row, keys, spans, text), own in zip(chunk, _text_keys(words, offsets).tolist(), strict=True):
+        names = batch.schema.names
+        texts, keys, spans = (batch.column(names.index(n)) for n in ("text", "keys", "spans"))
+        done = []
+        for chunk in in_chunks(range(batch.num_rows), lambda i: len(texts[i].as_py())):
+            bodies = [texts[i].as_py() for i in chunk]
+            words, offsets, _ = placed_words(bodies)
+            for i, text, own in zip(chunk, bodies, _text_keys(words, offsets).tolist(), strict=True):
                 at, left = 0, []
-                for span in (s for k, of_text in zip(keys or [], spans or [], strict=True) if k == own for s in of_text):
+                for span in (s for k, of_text in zip(keys[i].as_py() or [], spans[i].as_py() or [], strict=True) if k == own for s in of_text):
                     left.append(text[at:span["start"]])
                     at = span["end"]
-                out.append("".join(left) + text[at:])
-            yield pa.RecordBatch.from_arrays([pa.array([r for r, *_ in chunk], pa.int64()), pa.array(out, pa.string())], names=["row", "text"])
+                done.append("".join(left) + text[at:])
+        yield pa.RecordBatch.from_arrays([batch.column(names.index("row")), pa.array(done, pa.string())], names=["row", "text"])
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, text) of every row of ``docs`` with all but the first occurrence of each passage cut out."""
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """``docs`` with all but the first occurrence of each passage cut out of ``text``; other columns stay."""
+    others = [c for c in docs.columns if c != text]
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("doc"), F.struct(*others).alias("row"),
+                       F.coalesce(F.col(text), F.lit("")).alias("text"))
     found = repeated_passages(docs, key, text).select(F.coalesce(key, F.lit(NO_ID)).alias("doc"), "text_key", "removed").filter(
         F.size("removed") > 0)
     spans = found.groupBy("doc").agg(F.collect_list(F.struct("text_key", "removed")).alias("s"))
     joined = rows.join(spans.hint("shuffle_hash"), "doc", "left").select(
-        F.col("doc").alias("row"), F.col("s.text_key").alias("keys"), F.col("s.removed").alias("spans"), "text")
-    cut = joined.mapInArrow(_cut, "row long, text string")
-    return cut.select(F.when(F.col("row") != NO_ID, F.col("row")).alias(key), F.col("text").alias(text))
+        "row", "text", F.col("s.text_key").alias("keys"), F.col("s.removed").alias("spans"))
+    # Only texts that lose something go through Python.
+    cut = joined.filter("keys is not null").mapInArrow(_cut, f"row {joined.schema['row'].dataType.simpleString()}, text string")
+    both = cut.unionByName(joined.filter("keys is null").select("row", "text"))
+    return both.select(*(F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns))
