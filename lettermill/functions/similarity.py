@@ -11,7 +11,8 @@ from pyspark.sql.types import IntegerType
 
 from lettermill.functions.text import as_column
 
-GRAM = "(?s)(?=(.{%d}))"
+# One code point is taken per match, so that no gram starts inside of one.
+GRAM = "(?s)(?=(.{%d}))."
 
 
 def grams(value: Column | str, n: int = 3) -> Column:

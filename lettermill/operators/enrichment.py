@@ -59,8 +59,9 @@ def enrich(calls: DataFrame, fn: Callable[[str], str], payload: str = "chunk", c
             results, errors = [], []
             for text in batch[payload]:
                 try:
-                    results.append(fn(text))
-                    errors.append(None)
+                    found = fn(text)
+                    results.append(found)
+                    errors.append("the call returned nothing" if found is None else None)
                 except Exception as error:  # a failed call is an outcome
                     results.append(None)
                     errors.append(f"{type(error).__name__}: {error}"[:ERROR_LIMIT])

@@ -107,12 +107,12 @@ def limited_path(path: str = "path"):
 def limit_requests(requests: DataFrame, limit: int = REQUESTS_PER_PERIOD, per: str = "1 minute") -> DataFrame:
     """Decide each limited request: the first ``limit`` per address and period are allowed.
 
-    Periods are aligned to the clock and not to an address's first request. ``limit=0``
-    switches the limiter off.
+    Periods are aligned to the clock and not to an address's first request. A limit
+    of 0 or less switches the limiter off.
     """
     timed = requests.filter(limited_path()).withColumn(
         "period_start", F.window(F.col("ts").cast("timestamp"), per).start)
-    if limit == 0:
+    if limit <= 0:
         return timed.withColumn("outcome", F.lit("allowed"))
     flagged = flag_first(timed, ["ip", "period_start"], ["ts", "request_id"], limit, "_allowed")
     return flagged.withColumn("outcome", F.when(F.col("_allowed"), "allowed").otherwise("rejected")).drop("_allowed")

@@ -18,7 +18,6 @@ MAX_PAYLOAD_BYTES = 33_554_432
 PAGES_PER_BATCH = 10
 BATCH_LEASE_S = 60
 MAX_SUBMITS = 3
-SWEEP_LIMIT = 20
 IMAGE_TYPES = ("image/jpeg", "image/png")
 PDF_TYPE = "application/pdf"
 
@@ -122,23 +121,27 @@ def poll_outcomes(polled: DataFrame, give_up_after: int = POLL_LIMIT) -> DataFra
     return polled.withColumn("action", action).withColumn("reason", reason)
 
 
-def due_for_poll(batches: DataFrame, now: Column, limit: int = SWEEP_LIMIT, jitter: bool = True) -> DataFrame:
-    """Claim the batches whose poll is due, oldest first, and schedule their next poll."""
+def _oldest(batches: DataFrame, limit: int | None) -> DataFrame:
+    return batches if limit is None else batches.orderBy("next_poll_at", "batch_id").limit(limit)
+
+
+def due_for_poll(batches: DataFrame, now: Column, limit: int | None = None, jitter: bool = True) -> DataFrame:
+    """Claim the batches whose poll is due and schedule their next poll; with ``limit`` the oldest so many."""
     due = batches.filter((F.col("status") == "RUNNING") & F.col("job_id").isNotNull() & (F.col("next_poll_at") <= now))
-    picked = due.orderBy("next_poll_at", "batch_id").limit(limit)
+    picked = _oldest(due, limit)
     count = F.col("poll_count") + 1
     delay = backoff_delay_ms(count, F.col("batch_id") if jitter else None)
     return picked.withColumns({
         "next_poll_at": now + F.make_dt_interval(secs=(delay / 1000).cast("decimal(18,6)")), "poll_count": count})
 
 
-def stalled_batches(batches: DataFrame, docs: DataFrame, now: Column, limit: int = SWEEP_LIMIT,
+def stalled_batches(batches: DataFrame, docs: DataFrame, now: Column, limit: int | None = None,
                     max_submits: int = MAX_SUBMITS, lease_s: int = BATCH_LEASE_S) -> DataFrame:
-    """Batches never submitted in time, oldest lease first: back to PENDING with a new lease."""
+    """Batches never submitted in time: back to PENDING with a new lease; with ``limit`` the oldest leases."""
     stuck = batches.filter(
         F.col("status").isin("PENDING", "RUNNING") & F.col("job_id").isNull()
         & (F.col("next_poll_at") <= now) & (F.col("attempts") < max_submits))
-    picked = stuck.orderBy("next_poll_at", "batch_id").limit(limit)
+    picked = _oldest(stuck, limit)
     renewed = picked.withColumns({
         "status": F.lit("PENDING"), "next_poll_at": now + F.make_dt_interval(secs=F.lit(lease_s))})
     return renewed.join(docs.select("document_id", "language"), "document_id", "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from lettermill.functions.calls import BUDGET_ZONE, local_day
 from lettermill.functions.text import content_hash, is_blank, strip, word_count
 from lettermill.functions.ranges import absolute_page_no, range_size
 from lettermill.operators.limits import DAILY_WORDS, claim_budget
@@ -24,26 +25,35 @@ PAGE_TEXT = "(?is)^.*page_([0-9]+)\\.(?:md|txt)$"
 PAGE_BREAKS = ("\n---\n", "\f", "<!-- page -->")
 
 
-def _strings(node: dict, path: str = ""):
-    """Strings of nested objects with their dotted path, in document order; arrays are skipped."""
-    for key, value in node.items():
-        here = f"{path}.{key}" if path else key
+def _strings(node: dict) -> list[tuple[tuple[str, ...], str]]:
+    """Strings of nested objects with the keys that lead to them, in document order; arrays are skipped."""
+    found, pending = [], [((), node)]
+    while pending:
+        path, value = pending.pop()
         if isinstance(value, str):
-            yield here, value
+            found.append((path, value))
         elif isinstance(value, dict):
-            yield from _strings(value, here)
+            pending += [((*path, key), inner) for key, inner in reversed(value.items())]
+    return found
 
 
-def _longest(node: dict) -> tuple[str, str] | None:
-    # An object whose longest string is blank offers nothing to the object around it.
-    best = None
-    for key, value in node.items():
-        found = (key, value) if isinstance(value, str) else None
-        if isinstance(value, dict) and (inner := _longest(value)):
-            found = (f"{key}.{inner[0]}", inner[1])
-        if found and (best is None or len(found[1]) > len(best[1])):
-            best = found
-    return best if best and best[1].strip() else None
+def _longest(node: dict) -> str | None:
+    """The longest string; an object whose own longest one is blank offers none to the object around it.
+
+    Strings are folded level by level, the deepest first: those of one object leave one.
+    """
+    offers = [(path, -place, value) for place, (path, value) in enumerate(_strings(node))]
+    for depth in range(max((len(path) for path, _, _ in offers), default=0), 0, -1):
+        folded: dict[tuple, tuple] = {}
+        kept = []
+        for path, place, value in offers:
+            if len(path) < depth:
+                kept.append((path, place, value))
+            else:
+                rival = folded.get(path[:-1])
+                folded[path[:-1]] = max(rival, (len(value), place, value)) if rival else (len(value), place, value)
+        offers = kept + [(path, place, value) for path, (_, place, value) in folded.items() if value.strip()]
+    return offers[0][2] if offers else None
 
 
 def _parse(text: str | None):
@@ -58,8 +68,7 @@ def _parse(text: str | None):
 def _longest_string(values: pd.Series) -> pd.Series:
     def find(text):
         node = _parse(text)
-        best = _longest(node) if node else None
-        return best[1] if best else None
+        return _longest(node) if node else None
 
     return values.map(find, na_action="ignore")
 
@@ -68,7 +77,7 @@ def _longest_string(values: pd.Series) -> pd.Series:
 def _path_of_text(values: pd.Series, wanted: pd.Series) -> pd.Series:
     def find(text, target):
         node = _parse(text) if target is not None else None
-        return next((path for path, value in _strings(node) if value == target), None) if node else None
+        return next((".".join(path) for path, value in _strings(node) if value == target), None) if node else None
 
     return pd.Series([find(t, w) for t, w in zip(values, wanted)], dtype="object")
 
@@ -191,31 +200,41 @@ class OcrApplied(NamedTuple):
 
 def apply_ocr(batches: DataFrame, pages: DataFrame, parsed: DataFrame, docs: DataFrame,
               used: DataFrame | None = None, cap: int = DAILY_WORDS, day: Column | None = None) -> OcrApplied:
-    """Put recovered text onto the pages of finished batches.
+    """Put recovered text onto the pages of finished batches; all other pages stay as they are.
 
     ``parsed`` holds ``document_id, batch_no, ordinal, text``. A page with text becomes
     OCR_DONE, or CAPPED where its words no longer fit its owner's day; one without becomes
-    FAILED. Batches are COMPLETED only when every page was recovered.
+    FAILED. Batches are COMPLETED only when every page was recovered. ``batch_no`` is null for
+    pages outside ``batches``. Claims are decided on word counts; texts join last.
     """
-    day = day if day is not None else F.current_date()
+    day = day if day is not None else local_day(F.current_timestamp(), BUDGET_ZONE)
     texts = parsed.join(batches.select("document_id", "batch_no", "first_page"), ["document_id", "batch_no"]).select(
         "document_id", absolute_page_no("first_page", "ordinal").alias("page_no"), "text")
     texts = texts.filter(~is_blank("text"))
+    sizes = texts.select("document_id", "page_no", word_count("text").alias("words"))
     placed = pages_in_batch(pages.select("document_id", "page_no"), batches)
     owned = placed.join(docs.select("document_id", "owner_id"), "document_id").withColumn("day", day)
-    filled = owned.join(texts, ["document_id", "page_no"], "left").withColumn("words", word_count("text"))
-    claims = claim_budget(filled.filter(F.col("text").isNotNull()), used, cap,
+    filled = owned.join(sizes, ["document_id", "page_no"], "left")
+    claims = claim_budget(filled.filter(F.col("words").isNotNull()), used, cap,
                           order=("document_id", "page_no")).select("document_id", "page_no", "granted")
     decided = filled.join(claims, ["document_id", "page_no"], "left")
-    status = F.when(F.col("text").isNull(), "FAILED").when(F.col("granted"), "OCR_DONE").otherwise("CAPPED")
-    updated = decided.select("document_id", "page_no", "batch_no", status.alias("status"),
-                             F.col("text").alias("original_text"), content_hash("text").alias("text_hash"))
+    status = F.when(F.col("words").isNull(), "FAILED").when(F.col("granted"), "OCR_DONE").otherwise("CAPPED")
+    decided = decided.select("document_id", "page_no", "batch_no", status.alias("status"))
+    updated = decided.join(texts, ["document_id", "page_no"], "left").select(
+        *decided.columns, F.col("text").alias("original_text"), content_hash("text").alias("text_hash"))
     complete = F.bool_and(F.col("status") != "FAILED")
-    settled = updated.groupBy("document_id", "batch_no").agg(
+    settled = decided.groupBy("document_id", "batch_no").agg(
         F.when(complete, "COMPLETED").otherwise("PARTIALLY_COMPLETED").alias("status"))
-    translate = enqueue(updated.filter(F.col("status") == "OCR_DONE"), "translate", "document_id", "page_no")
-    capped = updated.filter(F.col("status") == "CAPPED").select("document_id").distinct()
-    return OcrApplied(updated, settled, translate.unionByName(enqueue(capped, "assemble", "document_id")))
+    translate = enqueue(decided.filter(F.col("status") == "OCR_DONE"), "translate", "document_id", "page_no")
+    capped = decided.filter(F.col("status") == "CAPPED").select("document_id").distinct()
+    return OcrApplied(_with_others(updated, pages), settled, translate.unionByName(enqueue(capped, "assemble", "document_id")))
+
+
+def _with_others(updated: DataFrame, pages: DataFrame) -> DataFrame:
+    """``updated`` and the pages that aren't in it; a translation of a page that was read again goes."""
+    held = [c for c in (*updated.columns, "translated_text") if c in pages.columns]
+    others = pages.select(*held).join(updated.select("document_id", "page_no"), ["document_id", "page_no"], "left_anti")
+    return updated.unionByName(others, allowMissingColumns=True)
 
 
 class BatchesFailed(NamedTuple):
@@ -224,13 +243,16 @@ class BatchesFailed(NamedTuple):
 
 
 def fail_batches(failed: DataFrame, pages: DataFrame) -> BatchesFailed:
-    """Fail batches (with ``reason``): their PENDING pages fail, pages further on keep their state."""
+    """Fail batches (with ``reason``): their PENDING pages fail, all others keep their state.
+
+    ``batch_no`` is null for pages outside the failed batches.
+    """
     placed = pages_in_batch(pages, failed).drop("first_page", "last_page", "batch_index")
     status = F.when(F.col("status") == "PENDING", "FAILED").otherwise(F.col("status"))
     updated = placed.withColumn("status", status)
     settled = failed.select("document_id", "batch_no", F.lit("FAILED").alias("status"),
                             F.col("reason").alias("last_error"))
-    return BatchesFailed(updated, settled)
+    return BatchesFailed(_with_others(updated, pages), settled)
 
 
 def expected_pages(batches: DataFrame) -> DataFrame:

@@ -175,7 +175,7 @@ def snippet_translated(text: Column | str, first_hit: Column | str) -> Column:
     """Up to 25 words around the first hit, as plain text."""
     pieces = F.regexp_extract_all(as_column(text), F.lit(WORD_WITH_REST), 0)
     start = F.greatest(F.lit(1), as_column(first_hit).cast("int") + 1 - FRAGMENT_BEFORE)
-    return F.rtrim(F.array_join(F.slice(pieces, start, F.lit(FRAGMENT_WORDS)), ""))
+    return F.coalesce(F.rtrim(F.array_join(F.slice(pieces, start, F.lit(FRAGMENT_WORDS)), "")), F.lit(""))
 
 
 def filter_tag_year(docs: DataFrame, tag: str | None = None, year: int | None = None) -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lettermill.functions.calls import BUDGET_ZONE, local_day
 from lettermill.functions.text import content_hash, is_blank, word_count
 from lettermill.operators.enrichment import KEY
 from lettermill.operators.limits import DAILY_WORDS, claim_budget
+from lettermill.session import pin
 from lettermill.sources.changes import enqueue
 
 # States in order, and the longest text an edit may carry.
@@ -119,43 +121,56 @@ class Edited(NamedTuple):
 
 def decide_edits(docs: DataFrame, pages: DataFrame, edits: DataFrame, used: DataFrame | None = None,
                  cap: int = DAILY_WORDS) -> DataFrame:
-    """Outcome of each edit (``edit_id, document_id, page_no, owner_id, day, text``).
+    """Outcome of each edit (``edit_id, document_id, page_no, owner_id, day, text``), in order of ``edit_id``.
 
-    One edit per page is decided in a run, the first by ``edit_id``; others are DEFERRED to
-    the next run, where they meet the page as this one left it.
+    An edit meets its page as the last applied edit before it left it, so whether it changes
+    anything depends on earlier grants, and a grant on which earlier edits claimed words. Both are
+    worked out over all edits at once, and again while an outcome changes: each pass settles at
+    least the first edit that was wrong, in practice nearly all. Texts join last.
     """
-    # The first edit per page by a minimum, which combines before the shuffle, not by sorting texts.
-    firsts = edits.groupBy(*PAGE, "owner_id").agg(F.min("edit_id").alias("edit_id")).select(
-        "edit_id", F.lit(True).alias("_first"))
     owned = docs.select("document_id", "owner_id", F.lit(True).alias("_doc"))
     current = pages.select(*PAGE, F.col("status").alias("_status"), F.col("text_hash").alias("_hash"))
-    joined = (
-        edits.join(firsts, "edit_id", "left")
-        .join(owned, ["document_id", "owner_id"], "left")
-        .join(current, PAGE, "left")
-        .withColumn("text_hash", content_hash("text"))
-        .withColumn("words", word_count("text"))
-    )
-    unchanged = ~F.col("_status").isin(*STOPPED) & F.col("text_hash").eqNullSafe(F.col("_hash"))
+    narrow = edits.select(
+        "edit_id", *PAGE, "owner_id", "day", content_hash("text").alias("text_hash"), word_count("text").alias("words"),
+        is_blank("text").alias("_blank"), (F.length("text") > MAX_EDIT_CHARS).alias("_long"))
     early = (
         F.when(F.col("_doc").isNull(), "NOT_FOUND").when(F.col("_status").isNull(), "PAGE_NOT_FOUND")
-        .when(F.col("_first").isNull(), "DEFERRED").when(F.col("_status") == "PENDING", "NOT_READY")
-        .when(is_blank("text"), "INVALID_BLANK").when(F.length("text") > MAX_EDIT_CHARS, "INVALID_TOO_LONG")
-        .when(unchanged, "NO_OP")
+        .when(F.col("_status") == "PENDING", "NOT_READY")
+        .when(F.col("_blank"), "INVALID_BLANK").when(F.col("_long"), "INVALID_TOO_LONG")
     )
-    decided = joined.withColumn("_early", early)
-    claims = claim_budget(decided.filter(F.col("_early").isNull()), used, cap, order=("edit_id",))
-    granted = claims.select("edit_id", "granted")
-    late = F.when(F.col("granted"), "APPLIED").otherwise("OVER_BUDGET")
-    return decided.join(granted, "edit_id", "left").withColumn("outcome", F.coalesce("_early", late)).select(
-        "edit_id", *PAGE, "owner_id", "text", "text_hash", "words", "outcome")
+    joined = narrow.join(owned, ["document_id", "owner_id"], "left").join(current, PAGE, "left").withColumn("_early", early)
+    decided = pin(joined.select("edit_id", *PAGE, "owner_id", "day", "text_hash", "words", "_status", "_hash", "_early"))
+    live = decided.filter(F.col("_early").isNull()).drop("_early")
+    before = Window.partitionBy(*PAGE).orderBy("edit_id").rowsBetween(Window.unboundedPreceding, -1)
+    # The first pass takes it that no earlier edit was applied.
+    guess = live.withColumn("_applied", F.lit(False))
+    while True:
+        last = F.last(F.when(F.col("_applied"), F.col("text_hash")), ignorenulls=True).over(before)
+        seen = guess.withColumn("_last", last)
+        stands = F.when(F.col("_last").isNotNull(), F.col("_last") == F.col("text_hash")).otherwise(
+            ~F.col("_status").isin(*STOPPED) & F.col("text_hash").eqNullSafe(F.col("_hash")))
+        seen = seen.withColumn("_same", F.coalesce(stands, F.lit(False)))
+        claims = claim_budget(seen.filter(~F.col("_same")), used, cap, order=("edit_id",)).select("edit_id", "granted")
+        after = pin(seen.join(claims, "edit_id", "left").withColumn("_now", F.coalesce("granted", F.lit(False))))
+        wrong = after.filter(F.col("_now") != F.col("_applied")).limit(1).count()
+        if not wrong:
+            break
+        guess = after.withColumn("_applied", F.col("_now")).select(*live.columns, "_applied")
+    outcome = F.when(F.col("_same"), "NO_OP").when(F.col("_now"), "APPLIED").otherwise("OVER_BUDGET")
+    late = after.select("edit_id", outcome.alias("_late"))
+    outcomes = decided.join(late, "edit_id", "left").select(
+        "edit_id", *PAGE, "owner_id", "text_hash", "words", F.coalesce("_early", "_late").alias("outcome"))
+    return outcomes.join(edits.select("edit_id", "text"), "edit_id")
 
 
 def apply_edits(docs: DataFrame, pages: DataFrame, edits: DataFrame, used: DataFrame | None = None,
                 cap: int = DAILY_WORDS) -> Edited:
     """Decide edits and put the applied ones onto their pages, to be translated again."""
     outcomes = decide_edits(docs, pages, edits, used, cap)
-    taken = outcomes.filter(F.col("outcome") == "APPLIED")
+    applied = outcomes.filter(F.col("outcome") == "APPLIED")
+    # Of several applied edits of a page the last one stands.
+    newest = applied.groupBy(*PAGE).agg(F.max("edit_id").alias("edit_id"))
+    taken = applied.join(newest.select("edit_id"), "edit_id", "left_semi")
     new = taken.select(*PAGE, F.col("text").alias("_text"), F.col("text_hash").alias("_new_hash"))
     joined = pages.join(new, PAGE, "left")
     edited = F.col("_new_hash").isNotNull()
@@ -181,7 +196,7 @@ def plan_retries(docs: DataFrame, pages: DataFrame, used: DataFrame | None = Non
         docs.select("document_id", "owner_id"), "document_id")
     capped = F.col("status") == "CAPPED"
     sized = stopped.withColumn("words", word_count("original_text")).withColumn(
-        "day", day if day is not None else F.current_date())
+        "day", day if day is not None else local_day(F.current_timestamp(), BUDGET_ZONE))
     claims = claim_budget(sized.filter(capped), used, cap, order=tuple(PAGE)).select(*PAGE, "granted")
     decided = sized.join(claims, PAGE, "left")
     target = (

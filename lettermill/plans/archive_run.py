@@ -29,13 +29,17 @@ def run_archive(docs: DataFrame, pages: DataFrame, batches: DataFrame, parsed: D
                 used: DataFrame | None = None, cap: int = DAILY_WORDS,
                 translate_limit: int = TRANSLATE_LIMIT, speech_limit: int = SPEECH_LIMIT,
                 concurrency: int = 8) -> ArchiveRun:
-    """OCR text onto pages, then translation, speech and settlement.
+    """OCR text onto pages, then translation, speech and settlement, over the whole page table.
+
+    Documents with pages that no finished batch covers yet are DEFERRED.
 
     Pages are pinned where a stage has been paid for, so that no later step repeats it. With
     the returned ledgers a second run makes no call.
     """
     read = apply_ocr(batches, pages, parsed, docs, used, cap, day).pages.drop("batch_no")
-    read = pin(read.withColumn("translated_text", F.lit(None).cast("string")))
+    if "translated_text" not in read.columns:
+        read = read.withColumn("translated_text", F.lit(None).cast("string"))
+    read = pin(read)
 
     translated = translate_pages(read, docs, translation_ledger, translate, now, translate_limit, concurrency)
     results = translated.results.filter(F.col("translated_text").isNotNull()).withColumn(

@@ -195,16 +195,23 @@ def ocr_run(s, d):
                              day=F.lit("2024-01-02").cast("date"))
 
 
-APPLIED = f"""{views('document', 'page')}, {SMALL},
+OCR_PAGE = ["document_id", "page_no", "batch_no", "status", "original_text", "text_hash"]
+
+
+def applied_sql(finished: str = "true") -> str:
+    return f"""{views('document', 'page')}, {SMALL},
 texts AS (SELECT document_id, page_no, batch_no, owner_id, original_text AS text, {word_count('original_text')} AS words
           FROM page JOIN small USING (document_id) JOIN document USING (document_id)
-          WHERE page_no BETWEEN first_page AND last_page),
+          WHERE page_no BETWEEN first_page AND last_page AND {finished}),
 claims AS (SELECT * FROM texts WHERE NOT {blank('text')}),
 {budget_ctes('claims', 'owner_id', 'document_id, page_no', OCR_CAP)},
 applied AS (SELECT document_id, page_no, batch_no, CASE WHEN {blank('text')} THEN NULL ELSE text END AS original_text,
                    CASE WHEN granted IS NULL THEN 'FAILED' WHEN granted THEN 'OCR_DONE' ELSE 'CAPPED' END AS status
             FROM texts LEFT JOIN granted USING (document_id, page_no))"""
-QUERIES["p12_apply_ocr_pages"] = lambda s, d: ocr_run(s, d).pages
+
+
+APPLIED = applied_sql()
+QUERIES["p12_apply_ocr_pages"] = lambda s, d: ocr_run(s, d).pages.select(*OCR_PAGE)
 ORACLES["p12_apply_ocr_pages"] = f"""{APPLIED}
 SELECT document_id, page_no, batch_no, status, original_text, {content_hash('original_text')} AS text_hash FROM applied"""
 QUERIES["p12_apply_ocr_batches"] = lambda s, d: ocr_run(s, d).batches
@@ -226,7 +233,9 @@ def failed_run(s, d):
 QUERIES["p13_fail_batches_pages"] = lambda s, d: failed_run(s, d).pages
 ORACLES["p13_fail_batches_pages"] = f"""{views('page')}, {SMALL}
 SELECT document_id, page_no, CASE WHEN status = 'PENDING' THEN 'FAILED' ELSE status END AS status, batch_no
-FROM page JOIN small USING (document_id) WHERE page_no BETWEEN first_page AND last_page AND document_id % 3 = 0"""
+FROM page JOIN small USING (document_id) WHERE page_no BETWEEN first_page AND last_page AND document_id % 3 = 0
+UNION ALL SELECT document_id, page_no, status, NULL FROM page
+WHERE document_id % 3 <> 0 OR NOT EXISTS (FROM small s WHERE s.document_id = page.document_id AND page_no BETWEEN first_page AND last_page)"""
 QUERIES["p13_fail_batches"] = lambda s, d: failed_run(s, d).batches
 ORACLES["p13_fail_batches"] = f"""{views('page')}, {SMALL}
 SELECT document_id, batch_no, 'FAILED' AS status, 'job ended as FAILED' AS last_error FROM small WHERE document_id % 3 = 0"""
@@ -257,15 +266,14 @@ QUERIES["p16_due_for_poll"] = lambda s, d: planning.due_for_poll(batches(s, d),
 ORACLES["p16_due_for_poll"] = f"""{views('upload')}, {BATCH_SQL}
 SELECT batch_id, document_id, job_id, poll_count + 1 AS poll_count,
        {NOW} + {DELAY.format(n='(poll_count + 1)')} * INTERVAL 1 MILLISECOND AS next_poll_at
-FROM (SELECT * FROM batch WHERE status = 'RUNNING' AND job_id IS NOT NULL AND next_poll_at <= {NOW}
-      ORDER BY next_poll_at, batch_id LIMIT 20)"""
+FROM batch WHERE status = 'RUNNING' AND job_id IS NOT NULL AND next_poll_at <= {NOW}"""
 
 QUERIES["p17_stalled_batches"] = lambda s, d: planning.stalled_batches(
     batches(s, d), view(s, d, "upload"), now()).select("batch_id", "document_id", "language", "status", "next_poll_at")
 ORACLES["p17_stalled_batches"] = f"""{views('upload')}, {BATCH_SQL}
 SELECT batch_id, document_id, language, 'PENDING' AS status, {NOW} + INTERVAL 60 SECOND AS next_poll_at
-FROM (SELECT * FROM batch WHERE status IN ('PENDING', 'RUNNING') AND job_id IS NULL AND next_poll_at <= {NOW} AND attempts < 3
-      ORDER BY next_poll_at, batch_id LIMIT 20) LEFT JOIN upload USING (document_id)"""
+FROM (SELECT * FROM batch WHERE status IN ('PENDING', 'RUNNING') AND job_id IS NULL AND next_poll_at <= {NOW} AND attempts < 3)
+LEFT JOIN upload USING (document_id)"""
 
 SUBMITTED = "CASE batch_id % 4 WHEN 0 THEN 'submitted' WHEN 1 THEN 'paused' WHEN 2 THEN 'failed' END"
 

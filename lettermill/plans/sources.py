@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lettermill.plans.archive_run import run_archive
 from lettermill.plans.common import now, view, views
 from lettermill.plans.enrichment import empty_ledger, mark
-from lettermill.plans.ocr import APPLIED, OCR_CAP, small_batches
+from lettermill.plans.ocr import applied_sql, OCR_CAP, small_batches
 from lettermill.operators import ocr_planning as planning
 from lettermill.session import scratch_dir
 from lettermill.sources import archives, tables
@@ -74,18 +74,27 @@ QUERIES["s4_write_partitioned"] = s4_write_partitioned
 ORACLES["s4_write_partitioned"] = f"{views('api_call')} SELECT call_id, endpoint, units FROM api_call WHERE endpoint = 'tts'"
 
 
+#: Some documents have batches that aren't finished yet.
+FINISHED = "(document_id + batch_no) % 9 <> 0"
+
+
 def whole_run(s, d):
-    docs, pages, batches = view(s, d, "document"), view(s, d, "page"), small_batches(s, d)
+    docs, pages, batches = view(s, d, "document"), view(s, d, "page"), small_batches(s, d).filter(FINISHED)
     parsed = planning.pages_in_batch(pages, batches).select(
         "document_id", "batch_no", F.col("batch_index").alias("ordinal"), F.col("original_text").alias("text"))
+    pages = pages.select("document_id", "page_no", F.lit("PENDING").alias("status"))
     return run_archive(docs, pages, batches, parsed, empty_ledger(s), empty_ledger(s), mark, mark, now(),
                        F.lit("2024-01-02").cast("date"), cap=OCR_CAP, translate_limit=120, speech_limit=150)
 
 
 QUERIES["run_archive_documents"] = lambda s, d: whole_run(s, d).documents
-ORACLES["run_archive_documents"] = f"""{APPLIED}
-SELECT document_id, CASE WHEN bool_or(status IN ('FAILED', 'CAPPED')) THEN 'PARTIAL' ELSE 'COMPLETE' END AS outcome
-FROM applied GROUP BY document_id"""
+RUN = f"""{applied_sql(FINISHED)},
+state AS (SELECT page.document_id, page.page_no, coalesce(a.status, 'PENDING') AS status
+          FROM page LEFT JOIN applied a ON a.document_id = page.document_id AND a.page_no = page.page_no),
+outcome AS (SELECT document_id, CASE WHEN bool_or(status = 'PENDING') THEN 'DEFERRED'
+  WHEN bool_or(status IN ('FAILED', 'CAPPED')) THEN 'PARTIAL' ELSE 'COMPLETE' END AS outcome FROM state GROUP BY document_id)"""
+ORACLES["run_archive_documents"] = f"{RUN} SELECT * FROM outcome"
 QUERIES["run_archive_pages"] = lambda s, d: whole_run(s, d).pages.select("document_id", "page_no", "status")
-ORACLES["run_archive_pages"] = f"""{APPLIED}
-SELECT document_id, page_no, CASE WHEN status = 'OCR_DONE' THEN 'INDEXED' ELSE status END AS status FROM applied"""
+ORACLES["run_archive_pages"] = f"""{RUN}
+SELECT document_id, page_no, CASE WHEN status <> 'OCR_DONE' THEN status WHEN outcome = 'DEFERRED' THEN 'AUDIO_DONE' ELSE 'INDEXED' END AS status
+FROM state JOIN outcome USING (document_id)"""

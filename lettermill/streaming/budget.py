@@ -39,7 +39,7 @@ def claim_budget_stream(claims: DataFrame, path: str, checkpoint: str, cap: int
 
 def limit_requests_stream(requests: DataFrame, path: str, checkpoint: str, limit: int = REQUESTS_PER_PERIOD,
                           per: str = "1 minute", keep: Column | None = None) -> StreamingQuery:
-    """Allow the first ``limit`` requests per address and period over all micro-batches."""
+    """Allow the first ``limit`` requests per address and period over all micro-batches; 0 or less allows all."""
     keys = ["ip", "period_start"]
 
     def step(batch: DataFrame, seen: DataFrame | None):
@@ -49,7 +49,10 @@ def limit_requests_stream(requests: DataFrame, path: str, checkpoint: str, limit
             timed = timed.join(seen, keys, "left").withColumn("_left", F.lit(limit) - F.coalesce("seen", F.lit(0)))
         else:
             timed = timed.withColumn("_left", F.lit(limit))
-        flagged = flag_first(timed, keys, ["ts", "request_id"], F.col("_left"), "_allowed")
+        if limit <= 0:
+            flagged = timed.withColumn("_allowed", F.lit(True))
+        else:
+            flagged = flag_first(timed, keys, ["ts", "request_id"], F.col("_left"), "_allowed")
         outcome = F.when(F.col("_allowed"), "allowed").otherwise("rejected")
         decided = pin(flagged.withColumn("outcome", outcome).select("request_id", *keys, "ts", "outcome"))
         counted = decided.filter("outcome = 'allowed'").groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
