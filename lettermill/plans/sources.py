@@ -66,12 +66,12 @@ UNION ALL SELECT DISTINCT archive_id, NULL, NULL, 'unreadable' FROM ocr_entry WH
 def s4_write_partitioned(s, d):
     root = folder(s)
     tables.write_partitioned(view(s, d, "api_call"), f"{root}/api_call", ["endpoint"])
-    stored = s.read.parquet(f"{root}/api_call").filter("endpoint = 'tts'")
+    stored = s.read.parquet(f"{root}/api_call")
     return stored.select("call_id", "endpoint", "units")
 
 
 QUERIES["s4_write_partitioned"] = s4_write_partitioned
-ORACLES["s4_write_partitioned"] = f"{views('api_call')} SELECT call_id, endpoint, units FROM api_call WHERE endpoint = 'tts'"
+ORACLES["s4_write_partitioned"] = f"{views('api_call')} SELECT call_id, endpoint, units FROM api_call"
 
 
 #: Some documents have batches that aren't finished yet.

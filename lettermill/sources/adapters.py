@@ -14,6 +14,11 @@ TOKENS = {
     "duckdb": {"SHA": lambda x: f"sha256({x})", "G": ", 'g'"},
 }
 
+#: A text as the inside of a JSON string; chr() means the same to both engines, escapes in literals don't.
+JSON_TEXT = "text"
+for _code, _mark in ((92, "chr(92)"), (34, "chr(34)"), (10, "'n'"), (13, "'r'"), (9, "'t'")):
+    JSON_TEXT = f"replace({JSON_TEXT}, chr({_code}), concat(chr(92), {_mark}))"
+
 VIEWS = {
     "document": """
 SELECT conv_id AS document_id, concat('owner', CAST(conv_id % 7 AS STRING)) AS owner_id,
@@ -70,7 +75,7 @@ SELECT CAST(floor(doc_id / 10.0) AS BIGINT) AS archive_id, CAST(doc_id % 10 AS I
          WHEN 1 THEN concat('{{"result": {{"text": "', t, '"}}}}')
          WHEN 2 THEN concat('{{"markdown": 7, "text": "', t, '"}}')
          ELSE concat('{{"id": "x", "body": "', t, '"}}') END AS json
-FROM (SELECT doc_id, trim(regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '' {G})) AS t FROM documents) d""",
+FROM (SELECT doc_id, """ + JSON_TEXT + """ AS t FROM documents) d""",
     "ocr_pair": """
 SELECT doc_id AS sample_id, lang AS language, text AS reference,
        replace(replace(text, 'th', 't'), 'e ', 'a ') AS hypothesis
