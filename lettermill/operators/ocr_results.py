@@ -232,7 +232,7 @@ def apply_ocr(batches: DataFrame, pages: DataFrame, parsed: DataFrame, docs: Dat
 
 def _with_others(updated: DataFrame, pages: DataFrame) -> DataFrame:
     """``updated`` and the pages that aren't in it; a translation of a page that was read again goes."""
-    held = [c for c in (*updated.columns, "translated_text") if c in pages.columns]
+    held = [c for c in dict.fromkeys((*updated.columns, "translated_text")) if c in pages.columns]
     others = pages.select(*held).join(updated.select("document_id", "page_no"), ["document_id", "page_no"], "left_anti")
     return updated.unionByName(others, allowMissingColumns=True)
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from lettermill.functions.text import word_count
 from lettermill.operators import metrics
 from lettermill.plans import limits as limit_queries
 from lettermill.plans import metrics as metric_queries
 from lettermill.session import scratch_dir
 from lettermill.sources.adapters import adapter, base_table
-from lettermill.sources.changes import change_stream, enqueue, relay
+from lettermill.sources.changes import change_stream, relay
 from lettermill.streaming import budget, sinks, states
 
 QUERIES, ORACLES = {}, {}
@@ -119,12 +121,13 @@ QUERIES["d16_progress_stream"] = lambda s, d: appended(
 def s5_change_stream(s, d):
     """Outbox rows written as change files, relayed into one folder per topic, and read back."""
     out, checkpoint = folders(s)
-    changes = enqueue(adapter(s, d, "outbox").filter("published_at IS NULL"), "translate", "id")
+    changes = adapter(s, d, "outbox").filter("published_at IS NULL").select(
+        "topic", "id", F.to_json(F.struct("id")).alias("payload"))
     changes.write.parquet(f"{out}/changes")
-    relay(change_stream(s, f"{out}/changes", changes.schema, 1), f"{out}/queues", checkpoint).awaitTermination()
-    return s.read.parquet(f"{out}/queues").select("topic", "payload")
+    relay(change_stream(s, f"{out}/changes", changes.schema, 1), f"{out}/queues", checkpoint, order="id").awaitTermination()
+    return s.read.parquet(f"{out}/queues").select("topic", "id", "payload")
 
 
 QUERIES["s5_change_stream"] = s5_change_stream
 ORACLES["s5_change_stream"] = """
-SELECT 'translate' AS topic, format('{{"id":{}}}', event_id) AS payload FROM events WHERE event_id % 10 = 0"""
+SELECT event_type AS topic, event_id AS id, format('{{"id":{}}}', event_id) AS payload FROM events WHERE event_id % 10 = 0"""

@@ -108,3 +108,26 @@ def test_second_batch_lands_on_absolute_pages(spark):
     assert {r["batch_no"]: r["status"] for r in run.batches.collect()} == {0: "COMPLETED", 1: "PARTIALLY_COMPLETED"}
     topics = [r["topic"] for r in run.work.collect()]
     assert topics.count("translate") == 10 and topics.count("assemble") == 1
+
+
+def test_pages_outside_finished_batches_stay(spark):
+    docs = spark.createDataFrame([("d", "o", 12)], "document_id string, owner_id string, total_pages int")
+    pages = spark.range(1, 13).selectExpr(
+        "'d' AS document_id", "CAST(id AS INT) AS page_no", "IF(id = 11, 'TRANSLATED', 'PENDING') AS status",
+        "IF(id = 11, 'old', NULL) AS original_text", "IF(id = 11, 'alt', NULL) AS translated_text")
+    first = planning.plan_batches(docs).filter("batch_no = 0")
+    parsed = spark.createDataFrame([("d", 0, i, f"p{i}") for i in range(1, 11)], "document_id string, batch_no int, ordinal int, text string")
+    got = {r["page_no"]: r for r in results.apply_ocr(first, pages, parsed, docs).pages.collect()}
+    assert len(got) == 12 and got[12]["status"] == "PENDING" and got[12]["batch_no"] is None
+    assert (got[11]["status"], got[11]["original_text"], got[11]["translated_text"]) == ("TRANSLATED", "old", "alt")
+    assert got[1]["status"] == "OCR_DONE"
+    failed = results.fail_batches(first.withColumn("reason", F.lit("x")), pages).pages.collect()
+    assert sorted(r["status"] for r in failed) == ["FAILED"] * 10 + ["PENDING", "TRANSLATED"]
+
+
+def test_longest_string_folds_inner_objects():
+    find = results._longest
+    assert find({"a": "xx", "b": {"c": "yyy", "d": "zzz"}}) == "yyy"
+    assert find({"a": "x", "b": {"c": "     ", "d": "zz"}}) == "x"
+    assert find({"a": " ", "b": {"c": {"d": "q"}}}) == "q" and find({"a": "  ", "b": {"c": {"d": "q"}}}) is None
+    assert find({"a": [{"b": "listed"}], "n": 5}) is None and find({}) is None
