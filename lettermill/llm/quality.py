@@ -7,8 +7,8 @@ are compiled into one column expression, so scoring is a single pass without Pyt
 A model is fitted on at most about ``max_rows`` labelled rows, chosen by a hash of their id; that
 bound is the only thing that doesn't grow. Everything else reads whole texts of all rows.
 
-Defined results: a null text is empty, and statistics of an empty text are 0; a null label or a
-label without its document teaches nothing; a document labelled twice counts twice; without
+Defined results: a null text is empty, and statistics of an empty text are 0; a label other than 0
+or 1 and a label without its document teach nothing; a document labelled twice counts twice; without
 labels of both kinds the score is the share of good ones (0.5 without labels); a null id counts as
 the empty text when folds are dealt; other columns are ignored.
 """
@@ -132,7 +132,7 @@ def fold(key: Column, folds: int = 4) -> Column:
 def train_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality",
                   max_rows: int = MAX_ROWS, held_out_fold: int = 2) -> Model:
     """Learn from labelled documents outside the held-out fold, at most about ``max_rows`` of them."""
-    usable = labels.filter(F.col(quality).isNotNull() & F.col(key).isNotNull() & (fold(F.col(key)) != held_out_fold)).select(
+    usable = labels.filter(F.col(quality).isin(0, 1) & F.col(key).isNotNull() & (fold(F.col(key)) != held_out_fold)).select(
         F.col(key).alias("id"), F.col(quality).cast("double").alias("label"))
     n = usable.count()
     if n > max_rows:
