@@ -51,7 +51,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "repeat_share": repeated / n_words,
         "distinct_share": F.size(F.array_distinct(words)) / n_words,
         "line_words": F.size(words) / n_lines,
-        "same_lines": F.lit(1.0) - F.size(F.array_distinct(lines)) / n_lines,
+        "same_lines": (F.size(lines) - F.size(F.array_distinct(lines))) / n_lines,
     }
 
 
