@@ -6,9 +6,9 @@ Every shingle is a Poisson process whose rate is its weight: its arrivals each h
 registers, a register keeps its earliest arrival, and a shingle stops once it arrives later than
 all registers of its text. Registers of two texts agree with the probability of their similarity.
 
-Registers are banded, and texts that share a band are candidates. Of every text's candidates the
-band leaders it meets most often are verified on whole shingle sets, and verified links are
-joined to components, twice in different orders. Bands that then still hold several components
+Registers are banded, and texts that share a band are candidates. Every band has two leaders; of a
+text's candidates the leaders it meets in most bands are verified on whole shingle sets, and verified
+links are joined to components. Bands that then still hold several components
 are searched in full, block against block: every text outside a band's largest component meets
 every text of the band that isn't in its component. So each link that shares a band is found or
 its ends are already joined, and no band has a cap. Equal texts are one node throughout.
@@ -36,9 +36,9 @@ from lettermill.llm.words import WORDS, in_chunks, mix, shingle_hashes, word_has
 BANDS, ROWS = 30, 5
 M = BANDS * ROWS
 SIMILARITY = 0.8
-#: Over four standard deviations of the estimate below the threshold; the exact check decides above it.
-SURELY_LESS = SIMILARITY - 0.15
-BLOCK_TEXTS, LEADERS = 512, 2
+#: Four standard deviations of the estimate below the threshold; the exact check decides above it.
+SURELY_LESS = SIMILARITY - 4 * (SIMILARITY * (1 - SIMILARITY) / M) ** 0.5
+BLOCK_TEXTS, LEADERS = 512, 4
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,14 +81,15 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
     """The exact similarity of two weighted sets with sorted hashes."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
+    if a[1].max() == b[1].max() == 1:
+        place = np.minimum(np.searchsorted(a[0], b[0]), len(a[0]) - 1)
+        both = np.count_nonzero(a[0][place] == b[0])
+        return both / (len(a[0]) + len(b[0]) - both)
     union = np.union1d(a[0], b[0])
     x, y = np.zeros(len(union)), np.zeros(len(union))
     x[np.searchsorted(union, a[0])], y[np.searchsorted(union, b[0])] = a[1], b[1]
     x, y = x / x.sum(), y / y.sum()
     shared = np.flatnonzero((x > 0) & (y > 0))
-    if (a[1] == 1).all() and (b[1] == 1).all():
-        larger = max(len(a[0]), len(b[0]))
-        return float(len(shared) / (len(a[0]) + len(b[0]) - len(shared))) if larger else 1.0
     # For each shared shingle: sum of max(x / x_i, y / y_i), by the order of the ratios x / y.
     with np.errstate(divide="ignore"):
         ratio = np.where(y > 0, x / np.where(y > 0, y, 1), np.inf)
@@ -124,18 +125,18 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _as_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, sig, hashes, counts) of texts that have the key they are wanted for."""
+    """(node, sig, hashes, counts) of texts that have the key they are wanted for."""
     for batch in batches:
-        rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True)
-        for chunk in in_chunks(((k, s, t.as_py()) for k, s, t in rows), lambda row: len(row[2])):
-            keys = _keys([t for _, _, t in chunk])
-            found = [(key, sig, *s) for (key, sig, _), own, s in zip(chunk, keys, weighted_sets([t for _, _, t in chunk]), strict=True)
+        rows = zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True)
+        for chunk in in_chunks(((n, k, s, t.as_py()) for n, k, s, t in rows), lambda row: len(row[3])):
+            texts = [t for *_, t in chunk]
+            found = [(node, sig, *s) for (node, key, sig, _), own, s in zip(chunk, _keys(texts), weighted_sets(texts), strict=True)
                      if key == own]
             yield pa.RecordBatch.from_arrays([
-                pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.binary()),
+                pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.binary()),
                 pa.array([f[2].tobytes() for f in found], pa.binary()),
                 pa.array([f[3].astype(np.uint32).tobytes() for f in found], pa.binary())],
-                names=["key", "sig", "hashes", "counts"])
+                names=["node", "sig", "hashes", "counts"])
 
 
 def _set(hashes: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -149,43 +150,51 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = zip(*(batch.column(i) for i in range(2, 6)), strict=True)
         good = [probability_jaccard(_set(s[0].as_py(), s[1].as_py()), _set(s[2].as_py(), s[3].as_py())) >= SIMILARITY for s in sets]
         yield pa.RecordBatch.from_arrays([
-            pa.array([x for x, g in zip(a, good, strict=True) if g], pa.binary()),
-            pa.array([x for x, g in zip(b, good, strict=True) if g], pa.binary())], names=["a", "b"])
+            pa.array([x for x, g in zip(a, good, strict=True) if g], pa.int64()),
+            pa.array([x for x, g in zip(b, good, strict=True) if g], pa.int64())], names=["a", "b"])
 
 
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between components within tasks, which come sorted; a task's texts are one block against another."""
+    """Links between components within tasks, which come sorted; a task's texts are one block against another.
+
+    Rows are (task, band, role, node, root, sig, hashes, counts); the role is 0 for residents of a band's largest
+    component, 1 for other residents, 2 for probes. A pair is checked in the first band that its
+    texts share only, and two texts outside the largest component once.
+    """
     def rows() -> Iterator[tuple]:
         for batch in batches:
             yield from zip(*(column.to_pylist() for column in batch.columns), strict=True)
 
-    def search(group: list[tuple]) -> list[tuple[bytes, bytes]]:
-        residents, probes = [r for r in group if not r[1]], [r for r in group if r[1]]
+    def search(group: list[tuple]) -> list[tuple[int, int]]:
+        residents, probes = [r for r in group if r[2] < 2], [r for r in group if r[2] == 2]
         if not residents or not probes:
             return []
-        parent: dict[bytes, bytes] = {}
+        parent: dict[int, int] = {}
 
-        def root(x: bytes) -> bytes:
+        def root(x: int) -> int:
             while parent.get(x, x) != x:
                 x = parent[x]
             return x
 
-        signatures = np.frombuffer(b"".join(r[4] for r in residents), np.uint16).reshape(len(residents), -1)
+        signatures = np.frombuffer(b"".join(r[5] for r in residents), np.uint16).reshape(len(residents), -1)
+        sets = [_set(*r[6:]) for r in residents]
+        nodes, other = np.array([r[3] for r in residents]), np.array([r[2] == 1 for r in residents])
         links = []
         for probe in probes:
-            near = (signatures == np.frombuffer(probe[4], np.uint16)).mean(axis=1)
-            for i in np.argsort(-near, kind="stable"):
-                if near[i] < SURELY_LESS:
-                    break
-                r = residents[i]
-                x, y = root(probe[3]), root(r[3])
-                if x != y and probability_jaccard(_set(*probe[5:]), _set(*r[5:])) >= SIMILARITY:
-                    links.append((probe[2], r[2]))
+            same = signatures == np.frombuffer(probe[5], np.uint16)
+            near = same.mean(axis=1)
+            first = same.reshape(len(residents), BANDS, ROWS).all(axis=2).argmax(axis=1)
+            due = np.flatnonzero((near >= SURELY_LESS) & (first == probe[1]) & ~(other & (nodes <= probe[3])))
+            own = _set(*probe[6:])
+            for i in due[np.argsort(-near[due], kind="stable")].tolist():
+                x, y = root(probe[4]), root(residents[i][4])
+                if x != y and probability_jaccard(own, sets[i]) >= SIMILARITY:
+                    links.append((probe[3], residents[i][3]))
                     parent[x] = y
         return links
 
     def flush(links: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     group, found = [], []
     for row in rows():
@@ -201,7 +210,7 @@ def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- the plan ------------------------------------------------------------------------------------
 
-LINKS = "a binary, b binary"
+LINKS = "a long, b long"
 NO_ID = -(2 ** 63)
 
 
@@ -239,53 +248,45 @@ def _classed(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = docs.select(F.col(key).cast("long").alias("doc"), _stamp(text).alias("stamp"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     signed = written(rows.mapInArrow(_signed, "doc long, stamp binary, key binary, sig binary"))
     texts = signed.groupBy("key").agg(F.min(_id("doc")).alias("rep"), F.min("sig").alias("sig"))
-    texts = written(texts.filter("sig is not null"))
-    buckets = _buckets(texts)
-    wanted = buckets.select("key").distinct().join(texts, "key").select("rep", F.col("key").alias("wanted"), "sig")
-    # Texts move once, and only the wanted ones go on; their keys, the smaller side, are hashed.
+    # The written table gives each different text a number.
+    texts = written(texts.withColumn("node", F.monotonically_increasing_id()))
+    buckets = _buckets(texts.filter("sig is not null"))
+    wanted = texts.join(buckets.select("node").distinct(), "node", "left_semi").select("rep", "node", F.col("key").alias("wanted"), "sig")
+    # Texts move once, and only the wanted ones go on; their numbers, the smaller side, are hashed.
     found = rows.withColumn("rep", _id("doc")).join(wanted.hint("shuffle_hash"), "rep")
-    sets = written(found.select("wanted", "sig", "text").mapInArrow(
-        _as_sets, "key binary, sig binary, hashes binary, counts binary"))
-    links = None
-    roots = None
-    for seed in range(2):
-        pairs = _with_leaders(buckets, roots, seed)
-        more = written(_checked(pairs, sets))
-        links = more if links is None else links.unionByName(more)
-        roots = written(components(links))
+    sets = written(found.select("node", "wanted", "sig", "text").mapInArrow(
+        _as_sets, "node long, sig binary, hashes binary, counts binary"))
+    links = written(_checked(_with_leaders(buckets), sets))
+    roots = written(components(links))
     links = links.unionByName(written(_rest(buckets, roots, sets)))
-    roots = components(links)
-    return signed.join(roots, signed["key"] == roots["node"], "left").select("doc", "stamp", F.coalesce("root", "key").alias("root"))
+    rooted = texts.select("key", "node").join(components(links), "node", "left").select("key", F.coalesce("root", "node").alias("root"))
+    return signed.select("doc", "stamp", "key").join(rooted, "key").select("doc", "stamp", "root")
 
 
 def _buckets(texts: DataFrame) -> DataFrame:
-    """(bucket, key) of all bands that more than one text is in."""
+    """(bucket, band, node) of all bands that more than one text is in."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.substring("sig", (i * 2 * ROWS + 1).cast("int"), F.lit(2 * ROWS))))
-    dealt = texts.select("key", F.explode(bands).alias("bucket"))
+    dealt = texts.select("node", F.posexplode(bands).alias("band", "bucket"))
     n = F.count(F.lit(1)).over(Window.partitionBy("bucket"))
-    return written(dealt.withColumn("n", n).filter("n > 1"))
+    return written(dealt.withColumn("n", n).filter("n > 1").drop("n"))
+
 
+def _with_leaders(buckets: DataFrame) -> DataFrame:
+    """Each text with the leaders it meets in most bands; a band has one leader in each of two orders."""
+    def least(seed: int) -> Column:
+        return F.min(F.struct(F.xxhash64("node", F.lit(seed)).alias("h"), "node"))["node"]
 
-def _with_leaders(buckets: DataFrame, roots: DataFrame | None, seed: int) -> DataFrame:
-    """Each text with the leaders it meets in most bands, of those it isn't joined with yet."""
-    led = buckets
-    if roots is not None:
-        led = buckets.join(roots, buckets["key"] == roots["node"], "left").select(
-            "key", "bucket", F.coalesce("root", "key").alias("root"))
-    else:
-        led = buckets.select("key", "bucket", F.col("key").alias("root"))
-    order = F.struct(F.xxhash64("key", F.lit(seed)).alias("h"), "key", "root")
-    leaders = led.groupBy("bucket").agg(F.min(order).alias("leader"))
-    met = led.join(leaders, "bucket").filter(F.col("root") != F.col("leader.root")).groupBy(
-        "key", F.col("leader.key").alias("leader")).count()
-    best = F.row_number().over(Window.partitionBy("key").orderBy(F.col("count").desc(), "leader"))
-    return met.withColumn("at", best).filter(F.col("at") <= LEADERS).select(F.col("key").alias("a"), F.col("leader").alias("b"))
+    leaders = buckets.groupBy("bucket").agg(F.array_distinct(F.array(least(0), least(1))).alias("leaders"))
+    met = buckets.join(leaders, "bucket").select("node", F.explode("leaders").alias("leader")).filter("node <> leader").groupBy(
+        "node", "leader").count()
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("count").desc(), "leader"))
+    return met.withColumn("at", best).filter(F.col("at") <= LEADERS).select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
-    two = sets.select(F.col("key").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
+    one = sets.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
+    two = sets.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "ca", "hb", "cb").mapInArrow(_verified, LINKS)
 
 
@@ -295,20 +296,19 @@ def _numbers(below: str) -> Column:
 
 def _rest(buckets: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """Links within bands that still hold several components, all others of a band against its texts."""
-    rooted = buckets.join(roots, buckets["key"] == roots["node"], "left").select(
-        "bucket", "key", F.coalesce("root", "key").alias("root"))
+    rooted = buckets.join(roots, "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
     shares = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = shares.groupBy("bucket").agg(
         F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"))
     mixed = written(rooted.join(largest.filter("parts > 1"), "bucket").select(
-        "bucket", "key", "root", F.col("top.root").alias("top"), F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"),
+        "bucket", "band", "node", "root", F.col("top.root").alias("top"), F.ceil(F.col("n") / BLOCK_TEXTS).cast("int").alias("blocks"),
         F.ceil((F.col("n") - F.col("top.n")) / BLOCK_TEXTS).cast("int").alias("probe_blocks")))
-    own, other = F.pmod(F.xxhash64("key"), F.col("blocks")), F.pmod(F.xxhash64("key"), F.col("probe_blocks"))
-    residents = mixed.select("bucket", "key", "root", F.lit(False).alias("probe"), own.alias("x"),
+    own, other = F.pmod(F.xxhash64("node"), F.col("blocks")), F.pmod(F.xxhash64("node"), F.col("probe_blocks"))
+    residents = mixed.select("bucket", "band", "node", "root", (F.col("root") != F.col("top")).cast("int").alias("role"), own.alias("x"),
                              F.explode(_numbers("probe_blocks")).alias("y"))
-    probes = mixed.filter("root <> top").select("bucket", "key", "root", F.lit(True).alias("probe"),
+    probes = mixed.filter("root <> top").select("bucket", "band", "node", "root", F.lit(2).alias("role"),
                                                 F.explode(_numbers("blocks")).alias("x"), other.alias("y"))
-    both = residents.unionByName(probes).select(F.concat_ws(" ", "bucket", "x", "y").alias("task"), "probe", "key", "root")
+    both = residents.unionByName(probes).select(F.concat_ws(" ", "bucket", "x", "y").alias("task"), "band", "role", "node", "root")
     blocks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ready = both.join(sets, "key").repartition(blocks, "task").sortWithinPartitions("task")
-    return ready.select("task", "probe", "key", "root", "sig", "hashes", "counts").mapInArrow(_searched, LINKS)
+    ready = both.join(sets, "node").repartition(blocks, "task").sortWithinPartitions("task")
+    return ready.select("task", "band", "role", "node", "root", "sig", "hashes", "counts").mapInArrow(_searched, LINKS)
