@@ -19,14 +19,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lettermill.llm.tables import written
 from lettermill.llm.tokens import encode_words
 from lettermill.llm.words import in_chunks
 
-FINE_ROUNDS, SHARE = 7, 3
+FINE_ROUNDS, SHARE, ROWS_PER_TASK, CHARS = 7, 3, 50_000, 1 << 22
 PARTS = "array<struct<uid:bigint,at:int>>"
 
 
@@ -41,7 +41,7 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, window: i
         for batch in batches:
             kind_of_key = batch.column(0).type
             pairs = zip(batch.column(0), batch.column(1), strict=True)
-            for chunk in in_chunks(((k.as_py(), t.as_py()) for k, t in pairs), lambda pair: len(pair[1])):
+            for chunk in in_chunks(((k.as_py(), t.as_py()) for k, t in pairs), lambda pair: len(pair[1]), CHARS):
                 found = encode_words([t for _, t in chunk], tokenizer)
                 out = [(k, i, at // 4, len(piece) // 4, zlib.crc32(piece), piece)
                        for (k, _), ids in zip(chunk, found, strict=True)
@@ -78,11 +78,11 @@ def _place(rests: DataFrame, window: int) -> DataFrame:
     sequences = -(-total // window)
     gaps = spark.range(sequences).select(F.col("id").alias("seq"), F.lit(window).alias("size"))
     mean = top = float(window)
-    rounds, placements = 0, []
+    rows, rounds, placements = rests.count() + sequences, 0, []
     while total:
         rounds += 1
         bundle = max(1, int(mean / SHARE if rounds <= FINE_ROUNDS else top * 2 / 3))
-        after = written(_round(_bundled(rests, bundle), gaps))
+        after = written(_round(_bundled(rests, bundle), gaps, _tasks(spark, rows)))
         placements.append(after.filter("kind = 2").select("seq", (F.lit(window) - F.col("size")).cast("long").alias("offset"), "parts"))
         # At most two counts per size within the window come to the driver.
         sizes = after.filter("kind < 2").select("kind", F.explode(
@@ -100,6 +100,7 @@ def _place(rests: DataFrame, window: int) -> DataFrame:
             sequences, top = sequences + more, window
         n_gaps = sum(open_.values()) + more
         mean = (sum(n * c for n, c in open_.items()) + more * window) / max(1, n_gaps)
+        rows = sum(left.values()) + n_gaps
     if not placements:
         return spark.createDataFrame([], "uid long, sequence_id long, offset long")
     found = placements[0]
@@ -109,6 +110,11 @@ def _place(rests: DataFrame, window: int) -> DataFrame:
         F.col("p.uid").alias("uid"), "sequence_id", (F.col("offset") + F.col("p.at")).alias("offset"))
 
 
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks of a round: they follow its rows, as there are many rounds and the last ones are small."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 + rows // ROWS_PER_TASK)
+
+
 def _bundled(rests: DataFrame, bundle: int) -> DataFrame:
     """Rests as objects: those up to half of ``bundle`` together, per task, until they come to ``bundle``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +147,9 @@ def _bundled(rests: DataFrame, bundle: int) -> DataFrame:
     return rests.select("uid", "size").mapInArrow(run, f"size int, parts {PARTS}, lengths array<int>")
 
 
-def _round(objects: DataFrame, gaps: DataFrame) -> DataFrame:
+def _round(objects: DataFrame, gaps: DataFrame, blocks: int) -> DataFrame:
     """One round: rows of kind 0 (gap left), 1 (object left) and 2 (object placed into ``seq`` where ``size`` was open)."""
     spark = objects.sparkSession
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     both = gaps.select("size", F.lit(0).alias("kind"), "seq", F.lit(None).cast(PARTS).alias("parts"),
                        F.lit(None).cast("array<int>").alias("lengths")).unionByName(
         objects.select("size", F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "parts", "lengths"))
@@ -178,8 +183,8 @@ def _round(objects: DataFrame, gaps: DataFrame) -> DataFrame:
         row(F.lit(0).alias("kind"), F.col("seq"), F.col("gap").alias("size"), *nothing)))
     left = items.filter("block is null").select(
         F.lit(1).alias("kind"), F.lit(None).cast("long").alias("seq"), "size", "parts", "lengths")
-    after = met.select(F.inline(of_met)).unionByName(left).unionByName(swept.filter("rank is null").select(*columns))
-    return after.filter("kind > 0 or size > 0")
+    after = met.select(F.inline(of_met)).coalesce(blocks).unionByName(left).unionByName(swept.filter("rank is null").select(*columns))
+    return after.filter("kind > 0 or size > 0").coalesce(blocks)
 
 
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,9 +192,10 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     Gives kind 2 and a smaller gap for a match; what stays open has a rank in its order.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    found = [batch for batch in batches if batch.num_rows]
+    if not found:
         return
+    table = pa.Table.from_batches(found)
     kinds, sizes = table["kind"].to_numpy().tolist(), table["size"].to_numpy().copy()
     rank, mate = np.full(len(kinds), -1, np.int64), np.full(len(kinds), -1, np.int64)
     stack, unmatched = [], 0

@@ -3,40 +3,98 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
-from collections.abc import Callable
 
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
-_known: dict[str, tuple[Callable, dict[str, bytes]]] = {}
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
+KEPT_WORDS, KEPT_LENGTH, JOINED = 500_000, 48, 100
+#: Letters that stay one pre-token, whatever their case, and marks that are a pre-token of their own behind them.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
+_known: dict[str, WordIds] = {}
 
-def _tokenizer(path: str) -> tuple[Callable, dict[str, bytes]]:
-    if path not in _known:
+
+class WordIds:
+    """Ids of words as little-endian unsigned 32-bit values, remembered up to a bound.
+
+    For vocabularies of lower-case words with a mark on every word's last token, whose tokens never
+    span a blank or a line end.
+    """
+
+    def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        _known[path] = (Tokenizer.from_file(path), {})
-    return _known[path]
 
+        self.tokenizer = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-def encode_words(texts: list[str], path: str) -> list[bytes]:
-    """The ids of each text as little-endian unsigned 32-bit values.
+    def _single(self, words: list[str]) -> list[bytes]:
+        return [array("I", found.ids).tobytes() for start in range(0, len(words), 10_000)
+                for found in self.tokenizer.encode_batch_fast(words[start:start + 10_000], add_special_tokens=False)]
 
-    For vocabularies whose tokens never span a blank or a line end: words between these are
-    encoded once per worker and remembered, up to a bound.
-    """
-    tokenizer, known = _tokenizer(path)
-    split = [text.replace("\n", " ").split(" ") for text in texts]
-    missing = set().union(*split).difference(known)
-    if len(known) + len(missing) > KEPT_WORDS:
-        known.clear()
-        missing = set().union(*split)
-    words = list(missing)
-    for start in range(0, len(words), 20_000):
-        part = words[start:start + 20_000]
-        for word, found in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            known[word] = array("I", found.ids).tobytes()
-    out = [b"".join(map(known.__getitem__, text)) for text in split]
-    for word in words:
-        if len(word) > KEPT_LENGTH:
-            del known[word]
-    return out
+    def _stems(self, words: list[str]) -> None:
+        """Words of plain letters are encoded together and told apart by their last tokens."""
+        groups = [words[start:start + JOINED] for start in range(0, len(words), JOINED)]
+        for start in range(0, len(groups), 100):
+            part = groups[start:start + 100]
+            joined = self.tokenizer.encode_batch_fast([" ".join(g) for g in part], add_special_tokens=False)
+            for group, found in zip(part, joined, strict=True):
+                ids = np.array(found.ids, "<u4")
+                ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+                data = ids.tobytes()
+                each = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._single(group)
+                self.stems.update(zip(group, each, strict=True))
+
+    def _learn(self, words: list[str]) -> None:
+        plain, odd, stems = [], [], set()
+        for word in words:
+            m = _PLAIN.fullmatch(word)
+            if m:
+                stem, tail = m[1].lower(), m[2]
+                plain.append((word, stem, tail))
+                stems.add(stem)
+                if tail not in self.words:
+                    self.words[tail] = self._single([tail])[0]
+            else:
+                odd.append(word)
+        if len(self.stems) + len(stems) > KEPT_WORDS:
+            self.stems.clear()
+        self._stems(list(stems.difference(self.stems)))
+        for word, stem, tail in plain:
+            self.words[word] = self.stems[stem] + self.words[tail]
+        self.words.update(zip(odd, self._single(odd), strict=True))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each different word of ``texts`` is looked up once; the rest are gathers over arrays."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.values.dictionary_encode()
+        words, of_word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        missing = [word for word in words if word not in self.words]
+        if len(self.words) + len(missing) > KEPT_WORDS:
+            self.words.clear()
+            missing = words
+        self._learn(missing)
+        found = [self.words[word] for word in words]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, counts = np.frombuffer(b"".join(found), "<u4"), sizes[of_word]
+        ends = np.cumsum(counts)
+        places = np.repeat((np.cumsum(sizes) - sizes)[of_word] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+        data = flat[places].tobytes()
+        edges = np.concatenate(([0], ends))[split.offsets.to_numpy()] * 4
+        for word in missing:
+            if len(word) > KEPT_LENGTH:
+                del self.words[word]
+        return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def encode_words(texts: list[str], path: str) -> list[bytes]:
+    """The ids of each text as little-endian unsigned 32-bit values."""
+    if path not in _known:
+        _known[path] = WordIds(path)
+    return _known[path].encode(texts)
