@@ -2,6 +2,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lettermill.llm import near_dups as nd
@@ -115,3 +116,15 @@ def test_components(spark):
     want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 8: 8, 9: 8, **{i: 100 for i in range(100, 161)}, **{i: 500 for i in range(500, 560)}}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+@pytest.mark.parametrize("agreeing", [5, 97, 100, 150])
+def test_pairs_of_a_band_are_verified_however_few_registers_agree(agreeing):
+    a, b = (hashed(" ".join(f"w{i}" for i in range(start, start + 100))) for start in (0, 5))
+    assert 0.8 <= nd.probability_jaccard(a, b) < 1
+    sigs = [np.arange(nd.M, dtype=np.uint16), np.arange(nd.M, dtype=np.uint16)]
+    sigs[1][agreeing:] += 1000
+    rows = [("t", 0, role, node, node, sig.tobytes(), h.tobytes(), n.astype(np.uint32).tobytes())
+            for role, node, sig, (h, n) in ((0, 1, sigs[0], a), (2, 2, sigs[1], b))]
+    batch = pa.RecordBatch.from_pylist([dict(zip("abcdefgh", r, strict=True)) for r in rows])
+    assert [tuple(r.values()) for out in nd._searched(iter([batch])) for r in out.to_pylist()] == [(2, 1)]
