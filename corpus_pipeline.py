@@ -3,8 +3,9 @@
 Every stage returns whole rows of documents (doc_id, text, lang, source, n_chars), the last the
 pieces of the packed token sequences. A stage works on all that the one before it kept:
 
-1. quality: documents that the rule ensemble predicts to be bad go; it learns from the labels of
-   the documents it is given.
+1. quality: documents that the rule ensemble predicts to be bad go; it learns from the documents and
+   labels of ``sf_dir``, whichever rows it is handed. If no rule is learned, as without labels of both
+   kinds, nothing tells documents apart and all are kept.
 2. near-duplicates: of each class the document with the smallest id stays (of equal ids the one
    whose text sorts first by its digest; of equal rows one).
 3. repeated passages: every passage of 50 words or more stays where it occurs first and is cut
@@ -33,8 +34,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    docs = docs.select(*COLUMNS)
-    return keep_good(docs, train_quality(docs, read(spark, sf_dir, "labels")))
+    model = train_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return keep_good(docs.select(*COLUMNS), model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

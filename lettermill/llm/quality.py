@@ -153,6 +153,8 @@ def score_quality(docs: DataFrame, model: Model, key: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, columns as they are, whose text is predicted to be good."""
+    """The rows of ``docs``, columns as they are, whose text is predicted to be good; all rows if the model has no rules."""
+    if not model.rules:
+        return docs
     kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
     return with_statistics(kept, "text").filter(model.score() >= threshold).select("row.*")

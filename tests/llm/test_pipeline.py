@@ -3,12 +3,13 @@
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_near_dups import classes
 from test_suffix_dedup import brute_force
 from tokenizers import Tokenizer
 
 import corpus_pipeline as pipeline
-from lettermill.llm.quality import score_quality, train_quality
+from lettermill.llm.quality import fold, score_quality, train_quality
 from lettermill.llm.tables import read, written
 
 FOLDER = "/root/testdata/sf0.001"
@@ -39,6 +40,21 @@ def test_quality(spark, kept):
     assert texts(kept[1]) == {d: t for d, t in texts(docs).items() if d in good} and len(good) < docs.count()
 
 
+@pytest.mark.parametrize("usable", [
+    lambda: F.lit(False), lambda: F.col("doc_id") < 0, lambda: fold(F.col("doc_id")) == 2, lambda: F.col("quality") == 0])
+def test_quality_keeps_all_without_rules(spark, kept, tmp_path, usable):
+    read(spark, FOLDER, "documents").write.parquet(f"{tmp_path}/documents.parquet")
+    read(spark, FOLDER, "labels").filter(usable()).write.parquet(f"{tmp_path}/labels.parquet")
+    assert texts(pipeline.quality(spark, kept[0], str(tmp_path))) == texts(kept[0])
+
+
+def test_quality_learns_from_the_folder_whatever_it_is_handed(spark, kept):
+    labels = read(spark, FOLDER, "labels")
+    unlabelled = kept[0].join(labels, "doc_id", "left_anti")
+    left = texts(unlabelled).keys()
+    assert left and texts(pipeline.quality(spark, unlabelled, FOLDER)) == {d: t for d, t in texts(kept[1]).items() if d in left}
+
+
 def test_near_duplicates(kept):
     first = {int(c) for _, c in classes(sorted(texts(kept[1]).items()))}
     assert texts(kept[2]) == {d: t for d, t in texts(kept[1]).items() if d in first}
