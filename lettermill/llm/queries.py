@@ -45,7 +45,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- exact search --------------------------------------------------------------------------
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return top_k(read(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, one_per_id=False)
 
 
 TOP_K_SQL = """

@@ -12,7 +12,9 @@ the branches within a block's own tree whose bound is below the worst kth score
 score starts from the sample and rises as blocks are searched.
 
 Defined results: null vectors and ids, empty vectors and vectors with null or non-finite components take no
-part; a shorter vector counts as padded with zeros; of rows with one id the least vector counts;
+part; a shorter vector counts as padded with zeros; of rows with one id the least vector counts, or with
+``one_per_id=False`` every row does: it is a candidate to all queries of other ids, and the queries of one
+id share one ranking, in which a pair of rows has one place. The registered query and its SQL do the latter;
 scores must fit into 63 bits; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -120,27 +122,31 @@ def _matrix(data: bytes, dim: int, wide: bool) -> np.ndarray:
     return values if wide else values.astype(np.float64)
 
 
-def integer_vectors(df: DataFrame, key: str, vector: str, scale: int = 1024) -> DataFrame:
-    """(id, v) with v the components times ``scale``, rounded down; one row per id."""
+def integer_vectors(df: DataFrame, key: str, vector: str, scale: int = 1024, one_per_id: bool = True) -> DataFrame:
+    """(id, v) with v the components times ``scale``, rounded down; one row per id, or all rows."""
     parts = F.transform(vector, lambda x: x.cast("double"))
     finite = F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = df.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0) & finite)
     whole = F.transform(parts, lambda x: F.floor(x * scale).cast("bigint"))
-    return usable.select(F.col(key).cast("long").alias("id"), whole.alias("v")).groupBy("id").agg(F.min("v").alias("v"))
+    rows = usable.select(F.col(key).cast("long").alias("id"), whole.alias("v"))
+    return rows.groupBy("id").agg(F.min("v").alias("v")) if one_per_id else rows
 
 
-def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024) -> DataFrame:
+def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "embedding", k: int = 10, scale: int = 1024,
+          one_per_id: bool = True) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that ``queries`` (a condition on ``id``) holds for, its best others."""
     spark = df.sparkSession
     schema = "query_id long, rank int, vec_id long, score long"
-    rows = written(integer_vectors(df, key, vector, scale).withColumn("is_query", F.coalesce(queries, F.lit(False))))
+    whole = integer_vectors(df, key, vector, scale, one_per_id).withColumn("is_query", F.coalesce(queries, F.lit(False)))
+    # Rows are sampled and dealt by their number, so that an id of many rows fills many blocks.
+    rows = written(whole.withColumn("row", F.monotonically_increasing_id()))
     about = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"), F.max(F.size("v")).alias("dim"),
                      F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("top")).first()
     n, n_queries, dim = about["n"], about["q"] or 0, about["dim"]
     if not n_queries:
         return spark.createDataFrame([], schema)
     wide = about["top"] ** 2 * dim >= 2 ** 53
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)
+    share = F.pmod(F.xxhash64("row"), F.lit(1 << 40)) / float(1 << 40)
     # About SAMPLE rows, whatever the table's size: centres, and first lower bounds of the kth scores.
     sample = sorted((r["id"], r["v"]) for r in rows.filter(share < SAMPLE / n).select("id", "v").collect()) or [
         tuple(rows.select("id", "v").first())]
@@ -167,11 +173,11 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
                 group, group_far = nearest_centre(f, groups)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0), pa.array(node, pa.int32()), pa.array(far), pa.array(group, pa.int32()), pa.array(group_far),
-                    batch.column(2), pa.array([row.tobytes() for row in m.astype("<i8")], pa.binary())],
-                    names=["id", "node", "far", "group", "group_far", "is_query", "vector"])
+                    batch.column(2), batch.column(3), pa.array([row.tobytes() for row in m.astype("<i8")], pa.binary())],
+                    names=["id", "node", "far", "group", "group_far", "is_query", "row", "vector"])
 
-    assigned = written(rows.select("id", "v", "is_query").mapInArrow(
-        assign, "id long, node int, far double, group int, group_far double, is_query boolean, vector binary"))
+    assigned = written(rows.select("id", "v", "is_query", "row").mapInArrow(
+        assign, "id long, node int, far double, group int, group_far double, is_query boolean, row long, vector binary"))
     # One row per node; at most MAX_NODES.
     nodes = {r["node"]: r for r in assigned.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     data = _blocks(assigned, "node")
@@ -207,7 +213,12 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of each query within a group's slice of blocks."""
         def out(best: Best) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(best.ids[best.query]), pa.array(best.found), pa.array(best.score)],
+            """At most ``k`` rows per id, however many queries have it."""
+            ids = best.ids[best.query]
+            order = np.lexsort((best.found, -best.score, ids))
+            ids = ids[order]
+            order = order[np.arange(len(ids)) - np.searchsorted(ids, ids) < k]
+            return pa.RecordBatch.from_arrays([pa.array(best.ids[best.query[order]]), pa.array(best.found[order]), pa.array(best.score[order])],
                                               names=["query_id", "vec_id", "score"])
 
         now, best = None, None
@@ -226,7 +237,7 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
 
     found = dealt.select("group", "part", "slice", "q_ids", "q_vectors", "least", "ids", "vectors").mapInArrow(
         search, "query_id long, vec_id long, score long")
-    # At most k rows per query and slice are left to rank.
+    # At most k rows per id of queries, part and slice are left to rank.
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
     ranked = found.groupBy("query_id").agg(best.alias("best"))
     return ranked.select("query_id", F.posexplode("best").alias("place", "b")).select(
@@ -238,7 +249,7 @@ def _blocks(assigned: DataFrame, node: str) -> DataFrame:
     counts = assigned.groupBy(node).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     parts = int(assigned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = assigned.join(F.broadcast(counts), node).select(
-        F.col(node).alias("node"), F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "vector")
+        F.col(node).alias("node"), F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"), "id", "vector")
     sorted_ = dealt.repartition(parts, "node", "block").sortWithinPartitions("node", "block", "id")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,13 @@
 import math
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lettermill.llm import top_k as tk
+from lettermill.llm.queries import TOP_K_SQL, op3_exact_top_k
 
 
 def best(rows, k=10, scale=1024):
@@ -48,6 +50,21 @@ def test_odd_vectors(spark):
     assert found(df.limit(0)) == [] and found(df.filter("vec_id = 0")) == []
 
 
+def test_query_keeps_rows_of_one_id_as_its_sql_does(spark, monkeypatch, tmp_path):
+    """A third of all rows have one id, some of them equal; queries repeat as well."""
+    for name, value in (("SAMPLE", 64), ("BLOCK", 40), ("LEAF", 8), ("FAN", 4)):
+        monkeypatch.setattr(tk, name, value)
+    rng = random.Random(5)
+    ids = [*range(300), *range(0, 300, 50), 100, 100, *[7] * 150]
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(4)]) for i in ids]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+        wanted = con.execute(TOP_K_SQL).fetchall()
+    got = op3_exact_top_k(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(wanted) and any(r[2] == 7 for r in wanted)
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=(300, 5)), rng.normal(size=(400, 5))
