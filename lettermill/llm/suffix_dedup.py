@@ -1,15 +1,19 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by hashes of sparse suffixes and of windows.
+
+This stands in for a sorted sparse suffix array: nothing is sorted and no neighbours are compared, but
+equal hashes are grouped. A group is then an aggregation, counted map-side, while a sort by words would
+move the words of all suffixes and, unless salted, put a passage that very many texts share into one
+range. Runs of words count as equal if two hashes of 64 bits are, one of the first ``K`` words and one of all.
 
 Of all suffixes only those at minimisers are kept: of the ``WORDS - K + 1`` runs of ``K`` words in
 every window of ``WORDS`` words, the first of the least hash. Equal windows choose the same place,
 so every window has one suffix that stands for it, and a suffix stands for a stretch of windows.
 
-Suffixes are grouped by their first ``K`` words. Where suffixes also agree in all words of their
-windows, to the left and to the right, they match as a whole; the first of them, by document and
-place, stays as their neighbour to the others of their group. Where a group holds suffixes that
-disagree somewhere, their matches are extended left and right from the minimiser as far as whole
-windows agree, by the hashes of the windows. So a word is reported exactly if it lies in a run of
-``WORDS`` words that occurs again anywhere.
+Suffixes are grouped by the hash of their first ``K`` words. Where suffixes also agree in all words of
+their windows, to the left and to the right, they match as a whole, and one row stands for them, the
+first by document and place. Where a group holds suffixes that disagree somewhere, each of their kinds
+is expanded into the hashes of all its windows, and these are grouped again. So a word is reported
+exactly if it lies in a run of ``WORDS`` words that occurs again anywhere.
 
 Groups are counted map-side before they are shuffled, nothing is listed per group, and a suffix
 moves as a few numbers; texts move once, to those suffixes that have to be extended.
