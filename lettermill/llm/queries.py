@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from lettermill.llm.chat import END, SEP, START, chat_digests, format_chats
 from lettermill.llm.fingerprints import edited_fingerprints
+from lettermill.llm.mixing import mix
 from lettermill.llm.near_dups import near_duplicates
 from lettermill.llm.packing import pack, token_pieces
 from lettermill.llm.piece_sampling import sample_pieces
 from lettermill.llm.quality import score_quality, train_quality
 from lettermill.llm.sharding import lookup_table, place
+from lettermill.llm.spelling import group_spellings, text_vocabulary
 from lettermill.llm.suffix_dedup import repeated_passages
 from lettermill.llm.tables import read
 from lettermill.llm.top_k import top_k
 from lettermill.llm.url_filter import LOWER, UPPER, judge_urls
+from lettermill.llm.whitening import whiten
 
 
 # --- packing ----------------------------------------------------------------------------
@@ -166,6 +169,24 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
   CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g"""
 
 
+# --- mixing ---------------------------------------------------------------------------
+
+def op11_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+# --- spelling variants ------------------------------------------------------------------
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(text_vocabulary(read(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+# --- whitening ------------------------------------------------------------------------
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -177,6 +198,9 @@ QUERIES = {
     "op8_piece_sampling": op8_piece_sampling,
     "op9_chat_format": op9_chat_format,
     "op10_fingerprints": op10_fingerprints,
+    "op11_cube_mixing": op11_cube_mixing,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_whitening": op13_whitening,
 }
 ORACLES = {
     "op3_exact_top_k": TOP_K_SQL,
