@@ -38,7 +38,9 @@ def statistics(text: Column) -> dict[str, Column]:
     words, lines = F.col("_words"), F.col("_lines")
     n_words = F.greatest(F.size(words), F.lit(1)).cast("double")
     n_lines = F.greatest(F.size(lines), F.lit(1)).cast("double")
-    repeated = F.size(F.filter(words, lambda w, i: (i > 0) & (w == F.get(words, i - 1))))
+    # One fold: an array that a lambda names once more may be built once more for every word.
+    repeated = F.aggregate(words, F.struct(F.lit("").alias("last"), F.lit(0).alias("n")), lambda found, w: F.struct(
+        w.alias("last"), (found["n"] + (w == found["last"]).cast("int")).alias("n")), lambda found: found["n"])
     return {
         "log_words": F.log1p(F.size(words).cast("double")),
         "word_length": F.length(text) / n_words,
@@ -157,4 +159,7 @@ def keep_good(docs: DataFrame, model: Model, text: str = "text", threshold: floa
     if not model.rules:
         return docs
     kept = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).alias("text"))
-    return with_statistics(kept, "text").filter(model.score() >= threshold).select("row.*")
+    # A filter on a plain column would be pushed below the statistics, which every rule would then work out anew;
+    # it can't pass the generator.
+    scored = with_statistics(kept, "text").select("row", F.explode(F.array(model.score())).alias("score"))
+    return scored.filter(F.col("score") >= threshold).select("row.*")

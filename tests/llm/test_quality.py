@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import pytest
@@ -61,8 +62,24 @@ def test_odd_tables(spark, tables, model):
                                 "doc_id long, text string, score double")
     rows = q.score_quality(odd, model).collect()
     assert len(rows) == 4 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    kept = q.keep_good(odd.withColumn("row", F.lit("clash")).withColumn("_words", F.lit(0)), model)
+    good = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows if r["predicted"])
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == good
+    assert kept.columns == [*odd.columns, "row", "_words"] and q.keep_good(docs.limit(0), model).collect() == []
     assert q.keep_good(docs, model).columns == docs.columns
     assert q.score_quality(docs.limit(0), model).collect() == []
     assert q.train_quality(docs, labels.limit(0)) == q.Model(0.0, ())
     only = q.train_quality(docs, labels.filter("quality = 1"))
     assert only.rules == () and only.intercept > 5
+
+
+def test_keeping_is_linear_in_text_length(spark, model):
+    """A score that the filter works out anew per rule, or an array built once more per word, takes minutes here."""
+    texts = spark.createDataFrame([(i, "Word other, word. " * 6_667) for i in range(8)], "doc_id long, text string")
+    kept = q.keep_good(texts, model)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("split(") <= 2 and "Generate explode" in plan
+    started = time.perf_counter()
+    kept.count()
+    q.score_quality(texts, model).agg(F.sum("score")).collect()
+    assert time.perf_counter() - started < 20
