@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lettermill.llm.tables import written
@@ -82,7 +82,7 @@ def _place(rests: DataFrame, window: int) -> DataFrame:
     while total:
         rounds += 1
         bundle = max(1, int(mean / SHARE if rounds <= FINE_ROUNDS else top * 2 / 3))
-        after = written(_round(_bundled(rests, bundle), gaps, _tasks(spark, rows)))
+        after = written(_round(_bundled(rests, bundle), gaps, _tasks(rows)))
         placements.append(after.filter("kind = 2").select("seq", (F.lit(window) - F.col("size")).cast("long").alias("offset"), "parts"))
         # At most two counts per size within the window come to the driver.
         sizes = after.filter("kind < 2").select("kind", F.explode(
@@ -110,9 +110,9 @@ def _place(rests: DataFrame, window: int) -> DataFrame:
         F.col("p.uid").alias("uid"), "sequence_id", (F.col("offset") + F.col("p.at")).alias("offset"))
 
 
-def _tasks(spark: SparkSession, rows: int) -> int:
-    """Tasks of a round: they follow its rows, as there are many rounds and the last ones are small."""
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 + rows // ROWS_PER_TASK)
+def _tasks(rows: int) -> int:
+    """Tasks of a round: they follow its rows, as there are many rounds, the last ones are small, and a task holds its range."""
+    return 2 + rows // ROWS_PER_TASK
 
 
 def _bundled(rests: DataFrame, bundle: int) -> DataFrame:

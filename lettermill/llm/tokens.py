@@ -3,19 +3,41 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_WORDS, KEPT_LENGTH, JOINED = 500_000, 48, 100
+KEPT_STEMS, KEPT_LENGTH, JOINED = 600_000, 48, 100
 #: Letters that stay one pre-token, whatever their case, and marks that are a pre-token of their own behind them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?)]*)")
+_PLAIN, _MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?)"
 _known: dict[str, WordIds] = {}
 
 
+def _strings(words: pa.Array) -> list[str]:
+    return words.to_numpy(zero_copy_only=False).tolist()
+
+
+class Recent:
+    """A dictionary that forgets the older half of what it holds when it is full."""
+
+    def __init__(self, kept: int) -> None:
+        self.half, self.new, self.old = kept // 2, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(key) <= KEPT_LENGTH:
+            if len(self.new) >= self.half:
+                self.new, self.old = {}, self.new
+            self.new[key] = value
+
+
 class WordIds:
     """Ids of words as little-endian unsigned 32-bit values, remembered up to a bound.
 
@@ -28,8 +50,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        # Lower-case words of plain letters, and all else: other words, and marks behind words.
+        self.stems, self.odd = Recent(KEPT_STEMS), Recent(KEPT_STEMS // 4)
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -38,8 +60,9 @@ class WordIds:
         return [array("I", found.ids).tobytes() for start in range(0, len(words), 10_000)
                 for found in self.tokenizer.encode_batch_fast(words[start:start + 10_000], add_special_tokens=False)]
 
-    def _stems(self, words: list[str]) -> None:
+    def _joined(self, words: list[str]) -> list[bytes]:
         """Words of plain letters are encoded together and told apart by their last tokens."""
+        out: list[bytes] = []
         groups = [words[start:start + JOINED] for start in range(0, len(words), JOINED)]
         for start in range(0, len(groups), 100):
             part = groups[start:start + 100]
@@ -48,49 +71,47 @@ class WordIds:
                 ids = np.array(found.ids, "<u4")
                 ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
                 data = ids.tobytes()
-                each = [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._single(group)
-                self.stems.update(zip(group, each, strict=True))
-
-    def _learn(self, words: list[str]) -> None:
-        plain, odd, stems = [], [], set()
-        for word in words:
-            m = _PLAIN.fullmatch(word)
-            if m:
-                stem, tail = m[1].lower(), m[2]
-                plain.append((word, stem, tail))
-                stems.add(stem)
-                if tail not in self.words:
-                    self.words[tail] = self._single([tail])[0]
-            else:
-                odd.append(word)
-        if len(self.stems) + len(stems) > KEPT_WORDS:
-            self.stems.clear()
-        self._stems(list(stems.difference(self.stems)))
-        for word, stem, tail in plain:
-            self.words[word] = self.stems[stem] + self.words[tail]
-        self.words.update(zip(odd, self._single(odd), strict=True))
+                out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)] if len(ends) == len(group) else self._single(group)
+        return out
+
+    @staticmethod
+    def _through(cache: Recent, words: list[str], encode) -> list[bytes]:
+        found = list(map(cache.new.get, words))
+        for i, ids in enumerate(found):
+            if ids is None:
+                found[i] = cache.get(words[i])
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(missing, encode([words[i] for i in missing]), strict=True):
+            found[i] = ids
+            cache.put(words[i], ids)
+        return found
+
+    def _words(self, words: pa.Array) -> list[bytes]:
+        """The ids of distinct words: of their letters, each stem once, and of the marks behind them."""
+        letters = pc.utf8_rtrim(words, characters=_MARKS)
+        # Only plain letters are lowered here: some others have plain ones as their lower case, but not in the tokenizer.
+        stems = pc.if_else(pc.match_substring_regex(letters, _PLAIN), pc.utf8_lower(letters), letters).dictionary_encode()
+        plain = pc.match_substring_regex(stems.dictionary, _PLAIN).to_numpy(zero_copy_only=False)
+        known = _strings(stems.dictionary.filter(pa.array(plain)))
+        of_stem = np.full(len(plain), None, object)
+        of_stem[np.flatnonzero(plain)] = self._through(self.stems, known, self._joined)
+        heads = of_stem[stems.indices.to_numpy()].tolist()
+        texts, sizes = _strings(words), pc.utf8_length(letters).to_numpy().tolist()
+        tails = [text[size:] if head is not None else text for text, size, head in zip(texts, sizes, heads, strict=True)]
+        others = list(set(tails))
+        of_other = dict(zip(others, self._through(self.odd, others, self._single), strict=True))
+        return [head + of_other[tail] if head else of_other[tail] for head, tail in zip(heads, tails, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Each different word of ``texts`` is looked up once; the rest are gathers over arrays."""
+        """Each different word of ``texts`` is looked up once."""
         split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
         coded = split.values.dictionary_encode()
-        words, of_word = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        missing = [word for word in words if word not in self.words]
-        if len(self.words) + len(missing) > KEPT_WORDS:
-            self.words.clear()
-            missing = words
-        self._learn(missing)
-        found = [self.words[word] for word in words]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat, counts = np.frombuffer(b"".join(found), "<u4"), sizes[of_word]
-        ends = np.cumsum(counts)
-        places = np.repeat((np.cumsum(sizes) - sizes)[of_word] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-        data = flat[places].tobytes()
-        edges = np.concatenate(([0], ends))[split.offsets.to_numpy()] * 4
-        for word in missing:
-            if len(word) > KEPT_LENGTH:
-                del self.words[word]
-        return [data[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        found, of_word = self._words(coded.dictionary), coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.concatenate(([0], np.cumsum(sizes[of_word])))
+        edges = ends[split.offsets.to_numpy()].tolist()
+        data = b"".join(map(found.__getitem__, of_word.tolist()))
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def encode_words(texts: list[str], path: str) -> list[bytes]:
