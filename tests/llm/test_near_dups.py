@@ -1,5 +1,7 @@
 import collections
 import random
+from fractions import Fraction
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +19,24 @@ def bag(text):
 
 
 def similarity(a, b):
-    """Probability Jaccard by its definition."""
+    """Probability Jaccard by its definition: for each shared i, one by the sum over j of max(x[j] / x[i], y[j] / y[i]).
+
+    Where x[j] / y[j] is at least x[i] / y[i] the first is the larger, so sums along that order do.
+    """
     if not a or not b:
         return float(not a and not b)
+    total_a, total_b = sum(a.values()), sum(b.values())
     x, y = ({k: v / sum(c.values()) for k, v in c.items()} for c in (a, b))
-    return sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+    ratio = {j: Fraction(a.get(j, 0) * total_b, b[j] * total_a) if b.get(j) else float("inf") for j in x.keys() | y.keys()}
+    above, below, at = {}, {}, 0.0
+    for r, same in groupby(sorted(ratio, key=ratio.get, reverse=True), key=ratio.get):
+        at += sum(x.get(j, 0) for j in same)
+        above[r] = at
+    at = 0.0
+    for r, same in groupby(sorted(ratio, key=ratio.get), key=ratio.get):
+        below[r] = at
+        at += sum(y.get(j, 0) for j in same)
+    return sum(1 / (above[ratio[i]] / x[i] + below[ratio[i]] / y[i]) for i in x.keys() & y.keys())
 
 
 def classes(rows):
@@ -100,6 +115,15 @@ def test_crowded_bands_against_brute_force(spark, crowded, monkeypatch):
     assert found(df) == classes(crowded)
 
 
+def test_brute_force_follows_the_definition():
+    rng = random.Random(1)
+    for _ in range(50):
+        a, b = (collections.Counter(rng.choices("abcdefg", k=rng.randint(1, 12))) for _ in "ab")
+        x, y = ({k: v / sum(c.values()) for k, v in c.items()} for c in (a, b))
+        want = sum(1 / sum(max(x.get(j, 0) / x[i], y.get(j, 0) / y[i]) for j in x.keys() | y.keys()) for i in x.keys() & y.keys())
+        assert similarity(a, b) == pytest.approx(want)
+
+
 def test_odd_rows(spark):
     long = " ".join(f"w{i}" for i in range(30_000))
     rows = [(None, "a b"), (None, "A  b"), (3, None), (4, ""), (5, " \n"), (6, long), (6, long), (7, long + " x"), (8, "one"), (8, "two"), (9, "ONE ")]

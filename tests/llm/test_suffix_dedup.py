@@ -91,5 +91,5 @@ def test_odd_rows(spark):
     spans = {(r["doc_id"], r["text_key"]): (len(r["repeated"]), len(r["removed"])) for r in sd.repeated_passages(df).collect()}
     assert sorted((str(d), *n) for (d, _), n in spans.items()) == [("1", 1, 1), ("2", 1, 1), ("None", 1, 0)]
     cut = sorted(map(str, (tuple(r) for r in sd.without_repeats(df).collect())))
-    assert cut == sorted(map(str, [(None, long), (None, ""), (1, " x"), (1, "short"), (2, ""), (2, "")]))
+    assert cut == sorted(map(str, [(None, long, 5), (None, "", 5), (1, " x", 5), (1, "short", 5), (2, "", 5), (2, "", 5)]))
     assert sd.repeated_passages(df.limit(0)).collect() == []
