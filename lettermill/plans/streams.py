@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -39,9 +40,9 @@ def upserted(spark, stream, keys):
     return sinks.read_latest(spark, out, keys)
 
 
-def appended(spark, stream):
+def appended(spark, stream, idle_batches=True):
     out, checkpoint = folders(spark)
-    sinks.start_appends(stream, out, checkpoint).awaitTermination()
+    sinks.start_appends(stream, out, checkpoint, idle_batches=idle_batches).awaitTermination()
     return sinks.read_appended(spark, out)
 
 
@@ -59,11 +60,26 @@ QUERIES["m5_units_per_minute_stream"] = lambda s, d: upserted(
 ORACLES["m5_units_per_minute_stream"] = metric_queries.ORACLES["m5_units_per_minute"]
 
 
+def in_parts(spark, rows, part, n):
+    """Rows written as ``n`` parts, one after the other, and read as a stream in that order, a file a micro-batch."""
+    root = f"{scratch_dir(spark)}/parts-{uuid.uuid4().hex}"
+    rows = rows.withColumn("_part", part)
+    for i in range(n):
+        rows.filter(F.col("_part") == i).drop("_part").coalesce(2).write.parquet(f"{root}/{i}")
+    return spark.readStream.schema(rows.drop("_part").schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", "true").parquet(root)
+
+
+def third(df, key):
+    """Three parts of about equal length in order of a whole key."""
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    width = (high - low) // 3 + 1 if low is not None else 1
+    return F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int")
+
+
 def b4_claim_budget_stream(s, d):
-    out, checkpoint = folders(s)
-    claims = live(s, d, "word_claim", "documents").withColumn("words", word_count("text")).drop("text")
-    budget.claim_budget_stream(claims, out, checkpoint, cap=3000).awaitTermination()
-    return sinks.read_appended(s, f"{out}/results")
+    claims = adapter(s, d, "word_claim").withColumn("words", word_count("text")).drop("text")
+    return appended(s, budget.claim_budget_stream(in_parts(s, claims, third(claims, "claim_id"), 3), cap=3000), idle_batches=False)
 
 
 QUERIES["b4_claim_budget_stream"] = b4_claim_budget_stream
@@ -71,14 +87,33 @@ ORACLES["b4_claim_budget_stream"] = limit_queries.ORACLES["b1_claim_budget"]
 
 
 def b6_limit_requests_stream(s, d):
-    out, checkpoint = folders(s)
-    budget.limit_requests_stream(live(s, d, "request", "events"), out, checkpoint, 1, "1 hour").awaitTermination()
-    return sinks.read_appended(s, f"{out}/results").select("request_id", "ip", "outcome")
+    requests = adapter(s, d, "request")
+    live_requests = in_parts(s, requests, third(requests, "request_id"), 3)
+    return appended(s, budget.limit_requests_stream(live_requests, 1, "1 hour"), idle_batches=False).select("request_id", "ip", "outcome")
 
 
 QUERIES["b6_limit_requests_stream"] = b6_limit_requests_stream
 ORACLES["b6_limit_requests_stream"] = limit_queries.ORACLES["b5_limit_requests"]
 
+DELAY_DAYS = 4
+
+
+def out_of_order(s, d, columns):
+    """Event rows as changes in parts of eight days; a row may come up to three days late, and a heartbeat ends the stream."""
+    events = base_table(s, d, "events")
+    changes = events.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()), "CAST(ts AS TIMESTAMP) AS ts")
+    low, high = changes.agg(F.min("ts"), F.max("ts")).first()
+    if low is None:
+        low = high = datetime.datetime(2024, 1, 1)
+    end = changes.limit(1).select(*(
+        F.lit(states.HEARTBEAT).alias(c) if c == "kind" else F.lit(-1).cast(t).alias(c) if c in ("document_id", "page_no", "seq") else
+        F.lit(high + datetime.timedelta(days=2 * DELAY_DAYS)).alias(c) if c == "ts" else F.lit(None).cast(t).alias(c) for c, t in changes.dtypes))
+    days = (F.unix_timestamp("ts") - F.unix_timestamp(F.lit(low)) + F.pmod(F.xxhash64("seq"), F.lit(3 * 86400))) / (8 * 86400)
+    n = (high - low).days // 8 + 3
+    part = F.when(F.col("kind") == states.HEARTBEAT, n - 1).otherwise(F.least(F.floor(days), F.lit(n - 2))).cast("int")
+    return in_parts(s, changes.unionByName(end), part, n)
+
+
 CHANGE = {
     "document_id": "user_id", "page_no": "CAST(event_id % 2 + 1 AS INT)", "seq": "event_id",
     "kind": "CASE CAST(floor(event_id / 2) AS BIGINT) % 7 WHEN 0 THEN 'ocr' WHEN 1 THEN 'translated' WHEN 2 THEN 'audio' "
@@ -86,8 +121,7 @@ CHANGE = {
     "text_hash": "CASE WHEN event_type = 'view' THEN 'h2' ELSE 'h1' END",
 }
 CHANGES = ", ".join(f"{e} AS {c}" for c, e in CHANGE.items())
-QUERIES["d15_page_state_stream"] = lambda s, d: appended(
-    s, states.page_state_stream(stream_of(s, d, "events").selectExpr(*(f"{e} AS {c}" for c, e in CHANGE.items()))))
+QUERIES["d15_page_state_stream"] = lambda s, d: appended(s, states.page_state_stream(out_of_order(s, d, CHANGE), f"{DELAY_DAYS} days"))
 ORACLES["d15_page_state_stream"] = f"""
 WITH changes AS (SELECT {CHANGES} FROM events),
 lists AS (SELECT document_id, page_no, list({{'seq': seq, 'kind': kind, 'h': text_hash}} ORDER BY seq) AS it FROM changes GROUP BY 1, 2),
@@ -113,9 +147,18 @@ PROGRESS = {
     "page_status": "CASE event_type WHEN 'view' THEN 'OCR_DONE' WHEN 'click' THEN 'TRANSLATED' WHEN 'signup' THEN 'INDEXED' "
                    "WHEN 'error' THEN 'FAILED' END",
     "document_status": "CASE WHEN event_type = 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'COMPLETE' ELSE 'PROCESSING' END END",
+    "kind": "'change'",
 }
-QUERIES["d16_progress_stream"] = lambda s, d: appended(
-    s, states.progress_stream(stream_of(s, d, "events").selectExpr(*(f"{e} AS {c}" for c, e in PROGRESS.items()))))
+QUERIES["d16_progress_stream"] = lambda s, d: appended(s, states.progress_stream(out_of_order(s, d, PROGRESS), f"{DELAY_DAYS} days"))
+# A terminal status ends a run of snapshots; within a run each page shows its last state.
+ORACLES["d16_progress_stream"] = f"""
+WITH changes AS (SELECT {", ".join(f"{e} AS {c}" for c, e in PROGRESS.items())} FROM events),
+runs AS (SELECT *, count(*) FILTER (document_status = 'COMPLETE') OVER (
+  PARTITION BY document_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM changes),
+pages AS (SELECT document_id, seq, coalesce(last_value(document_status IGNORE NULLS) OVER w, 'PROCESSING') AS status,
+  {", ".join(f"last_value(CASE WHEN page_no = {n} THEN '{n}:' || page_status END IGNORE NULLS) OVER w AS p{n}" for n in (1, 2, 3))}
+  FROM runs WINDOW w AS (PARTITION BY document_id, run ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT document_id, seq, status, concat_ws(',', p1, p2, p3) AS pages, status = 'COMPLETE' AS closed FROM pages"""
 
 
 def s5_change_stream(s, d):

@@ -1,63 +1,124 @@
-"""Word budgets and request limits on live input.
+"""Word budgets and request limits on live input, one small value of keyed state per owner and day or address and period.
 
-Both decide each micro-batch with the batch operator, which copes with busy owners and
-addresses, and carry one count per key to the next.
+A micro-batch's rows of a key come in pieces. Of what a piece adds, only rows that can still
+be granted are held, so a busy key needs no more memory than its cap allows.
+State goes once nothing has arrived for a key for so long that none can any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from lettermill.operators.limits import (
-    DAILY_WORDS, REQUESTS_PER_PERIOD, budget_used, claim_budget, limited_path,
-)
-from lettermill.operators.ordering import flag_first
-from lettermill.session import pin
-from lettermill.streaming.sinks import start_with_state
+from lettermill.operators.limits import DAILY_WORDS, REQUESTS_PER_PERIOD, limited_path
+from lettermill.streaming.sinks import use_keyed_state
 
+#: A day's claims end with the day; two days cover every zone. A period's requests end with it.
+BUDGET_KEPT, REQUESTS_KEPT = datetime.timedelta(days=2), datetime.timedelta(hours=2)
 
-def claim_budget_stream(claims: DataFrame, path: str, checkpoint: str, cap: int = DAILY_WORDS,
-                        keys: Sequence[str] = ("owner_id", "day"), order: Sequence[str] = ("claim_id",),
-                        keep: Column | None = None) -> StreamingQuery:
-    """Grant claims as they arrive; what was granted before is never granted again.
 
-    ``keep`` tells which keys can still receive claims; others leave the state.
-    """
-    def step(batch: DataFrame, used: DataFrame | None):
-        decided = pin(claim_budget(batch, used, cap, keys, order))
-        taken = budget_used(decided, keys)
-        if used is not None:
-            taken = used.unionByName(taken).groupBy(*keys).agg(F.sum("used").alias("used"))
-        return decided, taken.filter(keep) if keep is not None else taken
+class Counted(StatefulProcessor):
+    """Keeps one number per key, with a time to live."""
 
-    return start_with_state(claims, step, path, checkpoint)
+    def __init__(self, keys: Sequence[str], kept: datetime.timedelta) -> None:
+        self.keys, self.kept_ms = list(keys), int(kept.total_seconds() * 1000)
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.count = handle.getValueState("count", "n bigint", self.kept_ms)
+
+    def so_far(self) -> int:
+        return int(self.count.get()[0]) if self.count.exists() else 0
+
+    def keyed(self, key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        for name, value in zip(self.keys, key, strict=True):
+            rows[name] = value
+        return rows
+
+    def close(self) -> None:
+        pass
+
+
+class Budget(Counted):
+    """Grants claims in order of ``order`` within a micro-batch, as long as they fit."""
+
+    def __init__(self, keys: Sequence[str], order: str, cap: int, kept: datetime.timedelta) -> None:
+        super().__init__(keys, kept)
+        self.order, self.cap = order, cap
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        used = self.so_far()
+        left, held = max(self.cap - used, 0), None
+        for frame in rows:
+            piece = frame[[self.order, "words"]]
+            free = piece["words"] <= 0
+            piece = pd.concat([held, piece[~free]] if held is not None else [piece[~free]]).sort_values(["words", self.order], kind="stable")
+            # Of claims of one size the granted ones come first and are at most left / size.
+            rank = piece.groupby("words").cumcount().to_numpy()
+            can = rank < left // np.maximum(piece["words"].to_numpy(), 1)
+            held = piece[can]
+            settled = pd.concat([frame.loc[free, [self.order, "words"]].assign(granted=True), piece[~can].assign(granted=False)])
+            if len(settled):
+                yield self.keyed(key, settled)
+        held = held.sort_values(self.order)
+        granted = []
+        for words in held["words"].tolist():
+            fits = words <= left
+            left -= words if fits else 0
+            granted.append(fits)
+        taken = int(held["words"][np.array(granted, bool)].sum())
+        if taken:
+            self.count.update((used + taken,))
+        if granted:
+            yield self.keyed(key, held.assign(granted=granted))
 
-def limit_requests_stream(requests: DataFrame, path: str, checkpoint: str, limit: int = REQUESTS_PER_PERIOD,
-                          per: str = "1 minute", keep: Column | None = None) -> StreamingQuery:
-    """Allow the first ``limit`` requests per address and period over all micro-batches; 0 or less allows all."""
-    keys = ["ip", "period_start"]
 
-    def step(batch: DataFrame, seen: DataFrame | None):
-        timed = batch.filter(limited_path()).withColumn(
-            "period_start", F.window(F.col("ts").cast("timestamp"), per).start)
-        if seen is not None:
-            timed = timed.join(seen, keys, "left").withColumn("_left", F.lit(limit) - F.coalesce("seen", F.lit(0)))
-        else:
-            timed = timed.withColumn("_left", F.lit(limit))
-        if limit <= 0:
-            flagged = timed.withColumn("_allowed", F.lit(True))
-        else:
-            flagged = flag_first(timed, keys, ["ts", "request_id"], F.col("_left"), "_allowed")
-        outcome = F.when(F.col("_allowed"), "allowed").otherwise("rejected")
-        decided = pin(flagged.withColumn("outcome", outcome).select("request_id", *keys, "ts", "outcome"))
-        counted = decided.filter("outcome = 'allowed'").groupBy(*keys).agg(F.count(F.lit(1)).alias("seen"))
-        if seen is not None:
-            counted = seen.unionByName(counted).groupBy(*keys).agg(F.sum("seen").alias("seen"))
-        return decided, counted.filter(keep) if keep is not None else counted
-
-    return start_with_state(requests, step, path, checkpoint)
+class Permits(Counted):
+    """Allows the first requests of a key, in order of time and id within a micro-batch."""
+
+    def __init__(self, keys: Sequence[str], limit: int, kept: datetime.timedelta) -> None:
+        super().__init__(keys, kept)
+        self.limit = limit
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen = self.so_far()
+        left, held = max(self.limit - seen, 0), None
+        for frame in rows:
+            piece = frame[["request_id", "ts"]]
+            piece = (piece if held is None else pd.concat([held, piece])).sort_values(["ts", "request_id"])
+            held = piece.head(left)
+            if len(piece) > left:
+                yield self.keyed(key, piece.iloc[left:].assign(outcome="rejected"))
+        if len(held):
+            self.count.update((seen + len(held),))
+            yield self.keyed(key, held.assign(outcome="allowed"))
+
+
+def claim_budget_stream(claims: DataFrame, cap: int = DAILY_WORDS, keys: Sequence[str] = ("owner_id", "day"), order: str = "claim_id",
+                        kept: datetime.timedelta = BUDGET_KEPT) -> DataFrame:
+    """Grant claims as they arrive; what was granted before is never granted again."""
+    use_keyed_state(claims.sparkSession)
+    rows = claims.select(*keys, order, F.col("words").cast("int").alias("words"))
+    schema = rows.withColumn("granted", F.lit(True)).schema
+    return rows.groupBy(*keys).transformWithStateInPandas(Budget(keys, order, cap, kept), schema, "Append", "ProcessingTime")
+
+
+def limit_requests_stream(requests: DataFrame, limit: int = REQUESTS_PER_PERIOD, per: str = "1 minute",
+                          kept: datetime.timedelta = REQUESTS_KEPT) -> DataFrame:
+    """Allow the first ``limit`` requests per address and period over all micro-batches; 0 or less allows all.
+
+    ``kept`` must be longer than a period and the delay of its requests.
+    """
+    keys = ["ip", "period_start"]
+    timed = requests.filter(limited_path()).withColumn(
+        "period_start", F.window(F.col("ts").cast("timestamp"), per).start).select(*keys, "request_id", F.col("ts").cast("timestamp").alias("ts"))
+    if limit <= 0:
+        return timed.withColumn("outcome", F.lit("allowed"))
+    use_keyed_state(requests.sparkSession)
+    schema = timed.withColumn("outcome", F.lit("")).schema
+    return timed.groupBy(*keys).transformWithStateInPandas(Permits(keys, limit, kept), schema, "Append", "ProcessingTime")

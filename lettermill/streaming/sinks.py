@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from lettermill.session import SETTINGS
+
+STATE_STORE = SETTINGS["spark.sql.streaming.stateStore.providerClass"]
 BATCH = "_batch"
 
 
@@ -20,12 +23,20 @@ def start_upserts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
-def start_appends(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
+def start_appends(stream: DataFrame, path: str, checkpoint: str, mode: str = "append", idle_batches: bool = True) -> StreamingQuery:
+    """``idle_batches=False`` runs no micro-batch without rows: state with a time to live would ask for them without end."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
 
-    return (stream.writeStream.outputMode(mode).foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    conf, setting = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(setting)
+    # A query keeps the settings it is started with.
+    conf.set(setting, str(idle_batches).lower())
+    try:
+        return (stream.writeStream.outputMode(mode).foreachBatch(write)
+                .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    finally:
+        conf.set(setting, before)
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
@@ -40,24 +51,9 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop(BATCH)
 
 
-def start_with_state(stream: DataFrame, step: Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]],
-                     path: str, checkpoint: str) -> StreamingQuery:
-    """Run a batch operator with carried state on each micro-batch.
-
-    ``step(batch, state)`` returns results and the next state. Batch n reads the state that
-    batch n - 1 wrote and overwrites its own, so repeating it gives the same again. For
-    states of one small row per key; larger ones belong in the state store.
-    """
-    spark = stream.sparkSession
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        state = spark.read.parquet(f"{path}/state/{batch_id - 1}") if batch_id > 0 else None
-        decided, following = step(batch, state)
-        decided.write.mode("overwrite").parquet(f"{path}/results/{BATCH}={batch_id}")
-        following.write.mode("overwrite").parquet(f"{path}/state/{batch_id}")
-
-    return (stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+def use_keyed_state(spark: SparkSession) -> None:
+    """Keyed state with timers needs this store; it spills to disk and writes changes to the query's checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
 def late_rows(query: StreamingQuery) -> int:

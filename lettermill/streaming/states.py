@@ -1,12 +1,22 @@
-"""Page transitions and document progress on a stream of changes."""
+"""Page transitions and document progress on a stream of changes, in order of event time.
+
+Changes may arrive out of order by up to the watermark's delay. Each waits in its key's list state
+until the watermark has passed it; a timer then releases what has become due, in order of ``seq``.
+Changes behind the watermark are dropped and counted by the query (``sinks.late_rows``). A row of
+kind ``heartbeat`` moves the watermark on and has no outcome.
+"""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from lettermill.streaming.sinks import use_keyed_state
 
 # The state each kind of change leads to, and the states it may start from.
 TARGET = {"ocr": "OCR_DONE", "capped": "CAPPED", "translated": "TRANSLATED", "audio": "AUDIO_DONE",
@@ -17,50 +27,108 @@ ALLOWED_FROM = {
     "edited": ("OCR_DONE", "TRANSLATED", "AUDIO_DONE", "INDEXED", "FAILED", "CAPPED"),
 }
 TERMINAL = ("PARTIAL", "COMPLETE")
+HEARTBEAT = "heartbeat"
 
 PAGE_OUTPUT = "document_id bigint, page_no int, seq bigint, kind string, status string, accepted boolean"
-PAGE_STATE = "status string, text_hash string"
 PROGRESS_OUTPUT = "document_id bigint, seq bigint, status string, pages string, closed boolean"
-PROGRESS_STATE = "status string, page_nos array<int>, statuses array<string>"
 
 
-def page_state_stream(changes: DataFrame) -> DataFrame:
-    """Accept or refuse each change (``document_id, page_no, seq, kind, text_hash``) of a page.
+def _plain(column: pd.Series) -> list:
+    """Values of a column of strings or whole numbers; missing ones make floats of the latter."""
+    return [None if pd.isna(v) else v if isinstance(v, str) else int(v) for v in column]
 
-    A translation only counts for the text it was made from. A refused change, also a
-    repeated one, comes out with ``accepted`` false and leaves the page as it was.
+
+class InOrder(StatefulProcessor):
+    """Holds a key's changes back until the watermark has passed them and hands them on in order.
+
+    Subclasses name the ``columns`` of a change, their ``kinds``, and the state they keep per key; after ``idle_ms``
+    without a change a key's state goes.
     """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        status, known_hash = state.get if state.exists else ("PENDING", None)
-        # A page sees a handful of changes in a micro-batch.
-        rows = pd.concat(list(batches)).sort_values("seq")
+    columns: tuple[str, ...]
+    waiting_schema: str
+    state_schema: str
+
+    def __init__(self, idle_ms: int) -> None:
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at bigint, {self.waiting_schema}")
+        self.state = handle.getValueState("state", f"last bigint, {self.state_schema}")
+
+    def outcomes(self, key: tuple, changes: list[tuple], state: tuple | None) -> tuple[pd.DataFrame, tuple | None]:
+        """What the changes of a key lead to, and its state behind them (none: no state)."""
+        raise NotImplementedError
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            frame = frame[frame["kind"] != HEARTBEAT] if "kind" in frame else frame
+            at = [int(t.timestamp() * 1000) for t in frame["ts"]]
+            if at:
+                values = zip(*(_plain(frame[c]) for c in self.columns), strict=True)
+                self.waiting.appendList([(t, *row) for t, row in zip(at, values, strict=True)])
+                first = min([*at, first] if first is not None else at)
+        if first is not None:
+            self.handle.registerTimer(first)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due = sorted((tuple(row) for row in held if row[0] <= now), key=lambda row: row[1])
+        rest = [tuple(row) for row in held if row[0] > now]
+        if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+            state = tuple(self.state.get()) if self.state.exists() else None
+            if state and state[0] + self.idle_ms < min(row[0] for row in due):
+                state = None
+            found, state = self.outcomes(key, [row[1:] for row in due], state[1:] if state else None)
+            if state is None:
+                self.state.clear()
+            else:
+                last = max(row[0] for row in due)
+                self.state.update((last, *state))
+                self.handle.registerTimer(last + self.idle_ms)
+            yield found
+        elif self.state.exists() and self.state.get()[0] + self.idle_ms <= now:
+            self.state.clear()
+        if rest:
+            self.handle.registerTimer(min(row[0] for row in rest))
+
+    def close(self) -> None:
+        pass
+
+
+class PageStates(InOrder):
+    columns = ("seq", "kind", "text_hash")
+    waiting_schema = "seq bigint, kind string, text_hash string"
+    state_schema = "status string, text_hash string"
+
+    def outcomes(self, key, changes, state):
+        status, known_hash = state or ("PENDING", None)
         out = []
-        for seq, kind, text_hash in zip(rows["seq"], rows["kind"], rows["text_hash"]):
+        for seq, kind, text_hash in changes:
             ok = status in ALLOWED_FROM.get(kind, ()) and (kind != "translated" or text_hash == known_hash)
             if ok:
                 status = TARGET[kind]
                 known_hash = text_hash if kind in ("ocr", "edited") else known_hash
-            out.append((key[0], key[1], seq, kind, status, ok))
-        state.update((status, known_hash))
-        yield pd.DataFrame(out, columns=["document_id", "page_no", "seq", "kind", "status", "accepted"])
+            out.append((*key, seq, kind, status, ok))
+        return pd.DataFrame(out, columns=["document_id", "page_no", "seq", "kind", "status", "accepted"]), (status, known_hash)
 
-    return changes.groupBy("document_id", "page_no").applyInPandasWithState(
-        step, PAGE_OUTPUT, PAGE_STATE, "append", GroupStateTimeout.NoTimeout)
 
+class Progress(InOrder):
+    columns = ("seq", "page_no", "page_status", "document_status")
+    waiting_schema = "seq bigint, page_no int, page_status string, document_status string"
+    state_schema = "status string, page_nos array<int>, statuses array<string>"
 
-def progress_stream(changes: DataFrame) -> DataFrame:
-    """A full snapshot of a document after each change of it.
-
-    ``changes``: ``document_id, seq`` with ``page_no, page_status`` or ``document_status``.
-    A terminal document status closes the stream of snapshots and drops the state.
-    """
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState):
-        status, page_nos, statuses = state.get if state.exists else ("PROCESSING", [], [])
-        pages = dict(zip(page_nos, statuses))
-        rows = pd.concat(list(batches)).sort_values("seq")
-        out = []
-        for seq, page_no, page_status, document_status in zip(
-                rows["seq"], rows["page_no"], rows["page_status"], rows["document_status"]):
+    def outcomes(self, key, changes, state):
+        status, page_nos, statuses = state or ("PROCESSING", [], [])
+        pages, out = dict(zip(page_nos, statuses, strict=True)), []
+        for seq, page_no, page_status, document_status in changes:
             if page_status is not None:
                 pages[int(page_no)] = page_status
             status = document_status if document_status is not None else status
@@ -69,11 +137,30 @@ def progress_stream(changes: DataFrame) -> DataFrame:
             out.append((key[0], seq, status, listed, closed))
             if closed:
                 status, pages = "PROCESSING", {}
-        if pages:
-            state.update((status, list(pages), list(pages.values())))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["document_id", "seq", "status", "pages", "closed"])
-
-    return changes.groupBy("document_id").applyInPandasWithState(
-        step, PROGRESS_OUTPUT, PROGRESS_STATE, "append", GroupStateTimeout.NoTimeout)
+        kept = (status, list(pages), list(pages.values())) if pages or status != "PROCESSING" else None
+        return pd.DataFrame(out, columns=["document_id", "seq", "status", "pages", "closed"]), kept
+
+
+def _run(changes: DataFrame, keys: list[str], processor: InOrder, output: str, delay: str) -> DataFrame:
+    use_keyed_state(changes.sparkSession)
+    # Event time without a zone is read as UTC.
+    timed = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "EventTime")
+
+
+def page_state_stream(changes: DataFrame, delay: str = "1 day", idle: datetime.timedelta = datetime.timedelta(days=90)) -> DataFrame:
+    """Accept or refuse each change (``document_id, page_no, seq, ts, kind, text_hash``) of a page.
+
+    A translation only counts for the text it was made from. A refused change, also a
+    repeated one, comes out with ``accepted`` false and leaves the page as it was.
+    """
+    return _run(changes, ["document_id", "page_no"], PageStates(int(idle.total_seconds() * 1000)), PAGE_OUTPUT, delay)
+
+
+def progress_stream(changes: DataFrame, delay: str = "1 day", idle: datetime.timedelta = datetime.timedelta(days=90)) -> DataFrame:
+    """A full snapshot of a document after each change of it.
+
+    ``changes``: ``document_id, seq, ts`` with ``page_no, page_status`` or ``document_status``, and ``kind`` if there are heartbeats.
+    A terminal document status closes the stream of snapshots and drops the state.
+    """
+    return _run(changes, ["document_id"], Progress(int(idle.total_seconds() * 1000)), PROGRESS_OUTPUT, delay)

@@ -135,7 +135,7 @@ def test_edit_outcomes(spark):
     run = state.apply_edits(docs, pages, edits, cap=3)
     assert {r["edit_id"]: r["outcome"] for r in run.outcomes.collect()} == {
         1: "NOT_READY", 2: "NO_OP", 3: "APPLIED", 4: "OVER_BUDGET", 5: "INVALID_BLANK", 6: "INVALID_TOO_LONG",
-        7: "PAGE_NOT_FOUND", 8: "NOT_FOUND", 9: "NOT_FOUND", 10: "DEFERRED", 11: "DEFERRED"}
+        7: "PAGE_NOT_FOUND", 8: "NOT_FOUND", 9: "NOT_FOUND", 10: "APPLIED", 11: "APPLIED"}
     page = {r["page_no"]: r for r in run.pages.collect()}
     assert page[3]["status"] == "OCR_DONE" and page[3]["translated_text"] is None and page[3]["edited"]
     assert page[2]["translated_text"] == "t" and not page[2]["edited"]

@@ -1,5 +1,7 @@
+import datetime
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lettermill.operators import limits, metrics
@@ -16,29 +18,77 @@ def stream(spark, path, schema):
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(path))
 
 
-def test_budget_over_micro_batches_equals_one_batch(spark, tmp_path):
+def run_parts(spark, tmp_path, df, part, n, make, idle_batches=True):
+    """Each part as a run of its own: the query restarts from its checkpoint."""
+    dropped = 0
+    for i in range(n):
+        feed(df.filter(part == i), tmp_path / "in", i)
+        query = sinks.start_appends(make(stream(spark, tmp_path / "in", df.schema)), f"{tmp_path}/out", f"{tmp_path}/cp", idle_batches=idle_batches)
+        query.awaitTermination()
+        dropped += sinks.late_rows(query)
+    return sinks.read_appended(spark, f"{tmp_path}/out").collect(), dropped
+
+
+def test_budget_over_restarts_equals_one_batch(spark, tmp_path):
     rng = random.Random(9)
-    rows = [("hot" if rng.random() < 0.6 else f"o{rng.randint(0, 3)}", 1, i, rng.choice([1, 2, 5, 30, 80])) for i in range(900)]
+    rows = [("hot" if rng.random() < 0.6 else f"o{rng.randint(0, 3)}", 1, i, rng.choice([-1, 0, 1, 2, 5, 30, 80])) for i in range(900)]
     claims = spark.createDataFrame(rows, "owner_id string, day int, claim_id int, words int")
-    for part in range(3):
-        feed(claims.filter(F.floor(F.col("claim_id") / 300) == part), tmp_path / "in", part)
-        budget.claim_budget_stream(stream(spark, tmp_path / "in", claims.schema), str(tmp_path / "out"), str(tmp_path / "cp"),
-                                   cap=120).awaitTermination()
-    got = {r["claim_id"]: r["granted"] for r in sinks.read_appended(spark, f"{tmp_path}/out/results").collect()}
-    expected = {r["claim_id"]: r["granted"] for r in limits.claim_budget(claims, cap=120).collect()}
-    assert got == expected
+    found, _ = run_parts(spark, tmp_path, claims, F.floor(F.col("claim_id") / 300), 3, lambda s: budget.claim_budget_stream(s, cap=120), False)
+    assert len(found) == 900 and {r["claim_id"]: r["granted"] for r in found} == {
+        r["claim_id"]: r["granted"] for r in limits.claim_budget(claims, cap=120).collect()}
+
+
+def test_an_expired_budget_starts_anew(spark, tmp_path):
+    claims = spark.createDataFrame([("o", 1, i, 60) for i in range(4)], "owner_id string, day int, claim_id int, words int")
+    make = lambda s: budget.claim_budget_stream(s, cap=120, kept=datetime.timedelta(milliseconds=1))
+    found, _ = run_parts(spark, tmp_path, claims, F.floor(F.col("claim_id") / 2), 2, make, False)
+    # The second run no longer knows the first one's claims.
+    assert len(found) == 4 and all(r["granted"] for r in found)
+
+
+class Kept:
+    """A value state outside a stream."""
+    value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
 
+    def update(self, value):
+        self.value = value
 
-def test_request_limit_over_micro_batches(spark, tmp_path):
+
+def test_a_busy_key_holds_no_more_than_fits():
+    """Frames of one key, as a large micro-batch brings them; the result is that of one sorted frame."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice([0, 1, 3, 7, 50])) for i in range(5000)]
+    rng.shuffle(rows)
+    frames = [pd.DataFrame(rows[i:i + 100], columns=["claim_id", "words"]) for i in range(0, 5000, 100)]
+    whole = budget.Budget(["owner_id"], "claim_id", 200, datetime.timedelta(days=1))
+    pieces = budget.Budget(["owner_id"], "claim_id", 200, datetime.timedelta(days=1))
+    whole.count, pieces.count = Kept(), Kept()
+    one = pd.concat(whole.handleInputRows(("o",), iter([pd.concat(frames)]), None))
+    many = list(pieces.handleInputRows(("o",), iter(frames), None))
+    assert whole.count.value == pieces.count.value and max(map(len, many[1:])) < 1500
+    key = lambda df: sorted(map(tuple, df[["claim_id", "words", "granted"]].values.tolist()))
+    assert key(pd.concat(many)) == key(one) and len(one) == 5000
+
+
+def test_request_limit_over_restarts(spark, tmp_path):
     requests = spark.range(600).selectExpr(
         "id AS request_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('ip', id % 20) END AS ip", "'/api/x' AS path",
         "TIMESTAMP '2024-01-01 00:00:00' + id * INTERVAL '1' SECOND AS ts")
-    for part in range(3):
-        feed(requests.filter(F.floor(F.col("request_id") / 200) == part), tmp_path / "in", part)
-        budget.limit_requests_stream(stream(spark, tmp_path / "in", requests.schema), str(tmp_path / "out"), str(tmp_path / "cp"),
-                                     4).awaitTermination()
-    got = {r["request_id"]: r["outcome"] for r in sinks.read_appended(spark, f"{tmp_path}/out/results").collect()}
-    assert got == {r["request_id"]: r["outcome"] for r in limits.limit_requests(requests, 4).collect()}
+    found, _ = run_parts(spark, tmp_path, requests, F.floor(F.col("request_id") / 200), 3, lambda s: budget.limit_requests_stream(s, 4), False)
+    got = {r["request_id"]: r["outcome"] for r in found}
+    assert len(found) == 600 and got == {r["request_id"]: r["outcome"] for r in limits.limit_requests(requests, 4).collect()}
+
+
+def test_no_limit_allows_all(spark, tmp_path):
+    requests = spark.range(5).selectExpr("id AS request_id", "'a' AS ip", "'/api/x' AS path", "TIMESTAMP '2024-01-01 00:00:00' AS ts")
+    found, _ = run_parts(spark, tmp_path, requests, F.lit(0), 1, lambda s: budget.limit_requests_stream(s, 0))
+    assert {r["outcome"] for r in found} == {"allowed"} and len(found) == 5
 
 
 def test_windows_over_micro_batches_equal_batch(spark, tmp_path):
@@ -72,32 +122,45 @@ def test_rows_behind_the_watermark_are_counted(spark, tmp_path):
     assert dropped == 1
 
 
-def test_page_changes_are_guarded_across_micro_batches(spark, tmp_path):
+def timed(changes):
+    """One change a minute, with a heartbeat an hour after the last."""
+    return changes.withColumn("ts", F.expr("TIMESTAMP '2024-01-01 00:00:00' + seq * INTERVAL '1' MINUTE"))
+
+
+def test_page_changes_out_of_order_are_released_in_order(spark, tmp_path):
     rows = [(1, "ocr", "h1"), (2, "audio", None), (3, "translated", "h0"), (4, "translated", "h1"), (5, "translated", "h1"), (6, "edited", "h2"),
             (7, "translated", "h1"), (8, "translated", "h2"), (9, "audio", None), (10, "indexed", None), (11, "failed", None)]
-    changes = spark.createDataFrame([(7, 1, *r) for r in rows], "document_id bigint, page_no int, seq bigint, kind string, text_hash string")
-    for part in range(2):
-        feed(changes.filter((F.col("seq") > 5) == F.lit(bool(part))), tmp_path / "in", part)
-        sinks.start_appends(states.page_state_stream(stream(spark, tmp_path / "in", changes.schema)),
-                            f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = sorted((r["seq"], r["status"], r["accepted"]) for r in sinks.read_appended(spark, f"{tmp_path}/out").collect())
-    assert got == [(1, "OCR_DONE", True), (2, "OCR_DONE", False), (3, "OCR_DONE", False), (4, "TRANSLATED", True), (5, "TRANSLATED", False),
-                   (6, "OCR_DONE", True), (7, "OCR_DONE", False), (8, "TRANSLATED", True), (9, "AUDIO_DONE", True), (10, "INDEXED", True),
-                   (11, "INDEXED", False)]
+    changes = timed(spark.createDataFrame([(7, 1, *r) for r in rows] + [(-1, -1, 100, "heartbeat", None), (7, 1, 12, "edited", "h3")],
+                                          "document_id bigint, page_no int, seq bigint, kind string, text_hash string"))
+    # Even ones first, then odd ones within the delay, a heartbeat, and one that is too late.
+    part = F.when(F.col("kind") == "heartbeat", 2).when(F.col("seq") == 12, 3).otherwise(F.col("seq") % 2)
+    found, late = run_parts(spark, tmp_path, changes, part, 4, lambda s: states.page_state_stream(s, "30 minutes"))
+    assert sorted((r["seq"], r["status"], r["accepted"]) for r in found) == [
+        (1, "OCR_DONE", True), (2, "OCR_DONE", False), (3, "OCR_DONE", False), (4, "TRANSLATED", True), (5, "TRANSLATED", False),
+        (6, "OCR_DONE", True), (7, "OCR_DONE", False), (8, "TRANSLATED", True), (9, "AUDIO_DONE", True), (10, "INDEXED", True),
+        (11, "INDEXED", False)]
+    assert late == 1
+
+
+def test_idle_pages_leave_the_state(spark, tmp_path):
+    rows = [(7, 1, 1, "ocr", "h"), (-1, -1, 500, "heartbeat", None), (7, 1, 501, "translated", "h"), (-1, -1, 1000, "heartbeat", None)]
+    changes = timed(spark.createDataFrame(rows, "document_id bigint, page_no int, seq bigint, kind string, text_hash string"))
+    found, _ = run_parts(spark, tmp_path, changes, F.when(F.col("seq") < 2, 0).when(F.col("seq") < 501, 1).when(F.col("seq") < 502, 2).otherwise(3), 4,
+                         lambda s: states.page_state_stream(s, "10 minutes", datetime.timedelta(hours=2)))
+    # The page was forgotten, so its translation has no text to belong to.
+    assert sorted((r["seq"], r["status"], r["accepted"]) for r in found) == [(1, "OCR_DONE", True), (501, "PENDING", False)]
 
 
 def test_progress_snapshots(spark, tmp_path):
-    rows = [(1, 1, "OCR_DONE", None), (2, 2, "OCR_DONE", None), (3, 1, "INDEXED", None), (4, None, None, "PARTIAL"), (5, 2, "OCR_DONE", None)]
-    changes = spark.createDataFrame([(7, *r) for r in rows],
-                                    "document_id bigint, seq bigint, page_no int, page_status string, document_status string")
-    for part in range(2):
-        feed(changes.filter((F.col("seq") > 2) == F.lit(bool(part))), tmp_path / "in", part)
-        sinks.start_appends(states.progress_stream(stream(spark, tmp_path / "in", changes.schema)),
-                            f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
-    got = sorted((r["seq"], r["status"], r["pages"], r["closed"]) for r in sinks.read_appended(spark, f"{tmp_path}/out").collect())
-    assert got == [(1, "PROCESSING", "1:OCR_DONE", False), (2, "PROCESSING", "1:OCR_DONE,2:OCR_DONE", False),
-                   (3, "PROCESSING", "1:INDEXED,2:OCR_DONE", False), (4, "PARTIAL", "1:INDEXED,2:OCR_DONE", True),
-                   (5, "PROCESSING", "2:OCR_DONE", False)]
+    rows = [(1, 1, "OCR_DONE", None, "change"), (2, 2, "OCR_DONE", None, "change"), (3, 1, "INDEXED", None, "change"), (4, None, None, "PARTIAL", "change"),
+            (5, 2, "OCR_DONE", None, "change")]
+    changes = timed(spark.createDataFrame([(7, *r) for r in rows] + [(-1, 100, None, None, None, "heartbeat")],
+                                          "document_id bigint, seq bigint, page_no int, page_status string, document_status string, kind string"))
+    part = F.when(F.col("seq") > 99, 2).otherwise(F.col("seq") % 2)
+    found, _ = run_parts(spark, tmp_path, changes, part, 3, lambda s: states.progress_stream(s, "30 minutes"))
+    assert sorted((r["seq"], r["status"], r["pages"], r["closed"]) for r in found) == [
+        (1, "PROCESSING", "1:OCR_DONE", False), (2, "PROCESSING", "1:OCR_DONE,2:OCR_DONE", False),
+        (3, "PROCESSING", "1:INDEXED,2:OCR_DONE", False), (4, "PARTIAL", "1:INDEXED,2:OCR_DONE", True), (5, "PROCESSING", "2:OCR_DONE", False)]
 
 
 def test_relay_repeats_nothing(spark, tmp_path):
