@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lettermill.llm.tables import written
+from lettermill.llm.tables import arrow_batches, written
 from lettermill.llm.tokens import encode_words
 from lettermill.llm.words import in_chunks
 
-FINE_ROUNDS, SHARE, ROWS_PER_TASK, CHARS = 7, 3, 50_000, 1 << 22
+FINE_ROUNDS, SHARE, ROWS_PER_TASK, CHARS, TEXT_ROWS = 7, 3, 50_000, 1 << 21, 1000
 PARTS = "array<struct<uid:bigint,at:int>>"
 
 
@@ -38,6 +38,8 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, window: i
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A worker may come from another stage; what that one has freed goes back.
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             kind_of_key = batch.column(0).type
             pairs = zip(batch.column(0), batch.column(1), strict=True)
@@ -52,7 +54,8 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, window: i
                     pa.array(c, pa.int64()) for c in columns[2:5])]
                 names = ["doc", "piece", "start", "length", "ids_crc32"]
                 if keep_ids:
-                    arrays.append(pa.array([np.frombuffer(p, "<u4").astype(np.int32) for p in columns[5]], pa.list_(pa.int32())))
+                    edges = np.concatenate(([0], np.cumsum(columns[3]))).astype(np.int32)
+                    arrays.append(pa.ListArray.from_arrays(edges, np.frombuffer(b"".join(columns[5]), "<i4")))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -62,7 +65,8 @@ def token_pieces(docs: DataFrame, key: str, text: str, tokenizer: str, window: i
 
 def pack(pieces: DataFrame, window: int = 4096) -> DataFrame:
     """``pieces`` with sequence_id and offset. Each full piece is a sequence of its own."""
-    pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    with arrow_batches(pieces.sparkSession, TEXT_ROWS):
+        pieces = written(pieces.withColumn("uid", F.monotonically_increasing_id()))
     full = pieces.filter(F.col("length") == window).select(
         *pieces.columns, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rests = pieces.filter(F.col("length") < window)

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-KEPT_STEMS, KEPT_LENGTH, JOINED = 600_000, 48, 100
+KEPT_STEMS, KEPT_LENGTH, JOINED = 400_000, 48, 100
 #: Letters that stay one pre-token, whatever their case, and marks that are a pre-token of their own behind them.
 _PLAIN, _MARKS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?)"
 _known: dict[str, WordIds] = {}
