@@ -23,6 +23,14 @@ SELECT owner_id, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(greatest(3000 -
        CAST(3000 AS BIGINT) AS daily_limit
 FROM (SELECT DISTINCT owner_id FROM word_claim) LEFT JOIN used USING (owner_id)"""
 
+QUERIES["b2_remaining_budget_by_day"] = lambda s, d: limits.remaining_budget(
+    view(s, d, "word_claim"), limits.budget_used(decided_claims(s, d)), 3000, ["owner_id", "day"])
+ORACLES["b2_remaining_budget_by_day"] = f"""{FOLDED},
+used AS (SELECT owner_id, day, sum(CASE WHEN granted THEN greatest(words, 0) ELSE 0 END) AS used FROM granted GROUP BY 1, 2)
+SELECT owner_id, day, CAST(coalesce(used, 0) AS BIGINT) AS used, CAST(greatest(3000 - coalesce(used, 0), 0) AS BIGINT) AS remaining,
+       CAST(3000 AS BIGINT) AS daily_limit
+FROM (SELECT DISTINCT owner_id, day FROM word_claim) LEFT JOIN used USING (owner_id, day)"""
+
 QUERIES["b3_budget_reset_at"] = lambda s, d: limits.with_reset_at(view(s, d, "api_call"), "created_at").select(
     "call_id", "reset_at")
 ORACLES["b3_budget_reset_at"] = f"""{CALLS}

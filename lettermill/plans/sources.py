@@ -41,6 +41,59 @@ SELECT CAST(document_id AS VARCHAR) AS document_id, http_status, count(*) AS cal
 FROM api_call GROUP BY 1, 2"""
 
 
+#: Per archive table: the test view it is stored from, its columns, and what is counted of it: a group, an optional column, an amount.
+STORED = {
+    "document": ("document", ["CAST(document_id AS STRING) AS document_id", "owner_id", "title", "language", "array(tag) AS tags", "year",
+                              "CAST(created_at AS TIMESTAMP) AS created_at", "CAST(completed_at AS TIMESTAMP) AS completed_at"],
+                 ("concat(language, ' ', tags[0])", "completed_at", "year")),
+    "page": ("page", ["CAST(document_id AS STRING) AS document_id", "page_no", "status", "original_text", "translated_text"],
+             ("status", "translated_text", "page_no")),
+    "ocr_batch": ("page", ["CAST(document_id AS STRING) AS document_id", "concat('1-', CAST(page_no AS STRING)) AS page_range",
+                           "CASE status WHEN 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END AS status", "page_no AS attempts"],
+                  ("status", "page_range", "attempts")),
+    "stage_task": ("stage_task", ["idempotency_key", "attempts", "status", "result", "CAST(lease_until AS TIMESTAMP) AS lease_until"],
+                   ("status", "result", "attempts")),
+    "api_call": ("api_call", ["CAST(call_id AS STRING) AS call_id", "endpoint", "units", "unit_type", "latency_ms", "http_status",
+                              "CAST(created_at AS TIMESTAMP) AS created_at"], ("endpoint", "created_at", "units")),
+    "outbox": ("outbox", ["CAST(id AS STRING) AS id", "topic", "CAST(published_at AS TIMESTAMP) AS published_at", "CAST(id % 3 AS INT) AS attempts"],
+               ("topic", "published_at", "attempts")),
+    "user_daily_usage": ("word_claim", ["owner_id", "date_add(DATE '2024-01-01', day) AS day", "CAST(length(text) AS BIGINT) AS used"],
+                         ("CAST(day AS STRING)", "owner_id", "used")),
+}
+
+
+def s1_read_all_tables(s, d):
+    """All seven archive tables stored, read back with their schemas and counted; a column that wasn't stored reads as null."""
+    root, found = folder(s), None
+    for name, (source, columns, _) in STORED.items():
+        view(s, d, source).selectExpr(*columns).write.parquet(f"{root}/{name}")
+    for name, table in tables.read_tables(s, root).items():
+        group, optional, amount = STORED[name][2]
+        missing = [c for c in table.columns if not any(e == c or e.endswith(f" AS {c}") for e in STORED[name][1])]
+        unstored = F.lit(0).cast("bigint")
+        for c in missing:
+            unstored = unstored + F.count(c)
+        counted = table.groupBy(F.lit(name).alias("table_name"), F.expr(group).alias("kind")).agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count(optional).alias("filled"), F.sum(amount).cast("bigint").alias("amount"),
+            unstored.alias("unstored"))
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+QUERIES["s1_read_all_tables"] = s1_read_all_tables
+ORACLES["s1_read_all_tables"] = f"""{views('document', 'page', 'stage_task', 'api_call', 'outbox', 'word_claim')},
+counted AS (
+SELECT 'document' AS table_name, concat(language, ' ', tag) AS kind, completed_at IS NOT NULL AS has, year AS amount FROM document
+UNION ALL SELECT 'page', status, translated_text IS NOT NULL, page_no FROM page
+UNION ALL SELECT 'ocr_batch', CASE status WHEN 'FAILED' THEN 'FAILED' ELSE 'COMPLETED' END, true, page_no FROM page
+UNION ALL SELECT 'stage_task', status, result IS NOT NULL, attempts FROM stage_task
+UNION ALL SELECT 'api_call', endpoint, true, units FROM api_call
+UNION ALL SELECT 'outbox', topic, published_at IS NOT NULL, id % 3 FROM outbox
+UNION ALL SELECT 'user_daily_usage', strftime(DATE '2024-01-01' + day, '%Y-%m-%d'), owner_id IS NOT NULL, length(text) FROM word_claim)
+SELECT table_name, kind, count(*) AS n_rows, count(*) FILTER (has) AS filled, CAST(sum(amount) AS BIGINT) AS amount, 0::BIGINT AS unstored
+FROM counted GROUP BY 1, 2"""
+
+
 def zipped(s, d):
     """One ZIP per OCR archive; every seventh is cut short."""
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
