@@ -26,7 +26,7 @@ from lettermill.llm.tables import arrow_batches, written
 from lettermill.llm.tokens import encode_words
 from lettermill.llm.words import in_chunks
 
-FINE_ROUNDS, SHARE, ROWS_PER_TASK, CHARS, TEXT_ROWS = 7, 3, 50_000, 1 << 21, 1000
+FINE_ROUNDS, SHARE, ROWS_PER_TASK, CHARS, TEXT_ROWS = 7, 3, 50_000, 1 << 22, 1000
 PARTS = "array<struct<uid:bigint,at:int>>"
 
 
