@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from lettermill.functions.similarity import gram_similarity, grams, trigrams
 from lettermill.functions.stemming import STOP_WORDS, stem
 from lettermill.functions.text import as_column, escape_like
+from lettermill.operators import index_store
 from lettermill.operators.joins import broadcast_if_small, is_small
+from lettermill.session import pin
 
 # Query limits and snippet sizes.
 MIN_QUERY, MAX_QUERY = 2, 200
@@ -155,6 +157,76 @@ def match_original(queries: DataFrame, pages: DataFrame) -> DataFrame:
     return candidates.filter(contains_text("original_text", "q")).select("query_id", *PAGE)
 
 
+def gram_postings(pages: DataFrame, docs: DataFrame) -> DataFrame:
+    """One row per (owner, page, position, gram): the three characters at every place of the lower-case original text.
+
+    The last place but one has two characters, so that ``head``, the first two of a gram, finds every pair.
+    """
+    owned = pages.join(docs.select("document_id", "owner_id"), "document_id")
+    at = F.posexplode(F.regexp_extract_all(F.lower("original_text"), F.lit("(?s)(?=(.{2,3}))."), 1)).alias("position", "gram")
+    return owned.select("owner_id", *PAGE, at).withColumn("head", F.substring("gram", 1, 2))
+
+
+def _count_grams(postings: DataFrame, path: str, version: int) -> None:
+    counts = postings.groupBy("owner_id", "head", "gram").agg(F.count(F.lit(1)).alias("postings"))
+    write_index(counts, f"{path}/counts/version={version}", "head")
+
+
+def create_gram_index(pages: DataFrame, docs: DataFrame, path: str) -> None:
+    """Store the positions of all grams and how many postings each has, both by buckets of ``head``."""
+    index_store.create(gram_postings(pages, docs), f"{path}/grams", "head")
+    _count_grams(index_store.read(pages.sparkSession, f"{path}/grams", key="head"), path, 0)
+
+
+def update_gram_index(changed: DataFrame, docs: DataFrame, path: str) -> None:
+    """Give the ``changed`` pages their new text; only buckets of its grams are written.
+
+    Counts are added up and never taken back. They only say which gram is looked up first, and
+    that a gram without any count is nowhere.
+    """
+    postings = gram_postings(changed, docs)
+    # Counts come first: without them the grams of a version would count as missing.
+    version = index_store.next_version(changed.sparkSession, f"{path}/grams")
+    _count_grams(postings, path, version)
+    index_store.apply_changes(postings, changed, f"{path}/grams", "head")
+
+
+def match_gram_index(queries: DataFrame, path: str) -> DataFrame:
+    """:func:`match_original` from a stored gram index alone: no text is read.
+
+    Of each query its rarest gram is looked up first, which gives the places where the query may
+    start. The grams at every third character, and the last, cover the whole query; a page matches
+    where all of them stand at their distance from one such place. Queries with a gram that their
+    owner's pages lack end before any posting is read, and only buckets of wanted grams are read.
+    """
+    spark = queries.sparkSession
+    asked = queries.filter(F.length("q") >= MIN_QUERY).select("query_id", "owner_id", F.lower("q").alias("q"), F.length(F.lower("q")).alias("size"))
+    grams_of = asked.filter("size > 2").select("query_id", "owner_id", "size", F.posexplode(grams("q", 3)).alias("offset", "gram"))
+    terms = grams_of.withColumn("head", F.substring("gram", 1, 2))
+    pairs = asked.filter("size = 2").select("query_id", "owner_id", F.col("q").alias("head"))
+    counted = read_index(spark, f"{path}/counts", terms, "head").groupBy("owner_id", "head", "gram").agg(F.sum("postings").alias("postings"))
+    found = counted.join(broadcast_if_small(terms), ["owner_id", "head", "gram"])
+    # A query has at most 200 characters, so these groups are small.
+    of_query = Window.partitionBy("query_id")
+    rarity = F.row_number().over(of_query.orderBy("postings", "offset"))
+    covers = (F.col("offset") % 3 == 0) | (F.col("offset") == F.col("size") - 3)
+    complete = found.withColumn("have", F.count(F.lit(1)).over(of_query)).withColumn("rarity", rarity).filter(F.col("have") == F.col("size") - 2)
+    needed = complete.filter((F.col("rarity") == 1) | covers).withColumn("checks", F.count_if(F.col("rarity") > 1).over(of_query))
+    needed = pin(needed.select("query_id", "owner_id", "head", "gram", "offset", "rarity", "checks"))
+
+    postings = index_store.read(spark, f"{path}/grams", needed.select("head").union(pairs.select("head")), "head")
+    at = [*PAGE, (F.col("position") - F.col("offset")).alias("start")]
+    look_up = lambda part: postings.join(broadcast_if_small(part), ["owner_id", "head", "gram"])
+    starts = pin(look_up(needed.filter("rarity = 1")).select("query_id", "checks", *at).filter("start >= 0"))
+    rest = look_up(needed.filter("rarity > 1")).select("query_id", *at)
+    place = ["query_id", *PAGE, "start"]
+    aligned = rest.join(broadcast_if_small(starts.filter("checks > 0")), place).groupBy(*place, "checks").agg(
+        F.count(F.lit(1)).alias("n")).filter("n = checks")
+    short = postings.join(broadcast_if_small(pairs), ["owner_id", "head"])
+    return starts.filter("checks = 0").select("query_id", *PAGE).union(aligned.select("query_id", *PAGE)).union(
+        short.select("query_id", *PAGE)).distinct()
+
+
 def contains_text(text: Column | str, q: Column | str) -> Column:
     """``ILIKE %q%`` with the wildcards of ``q`` taken literally."""
     return F.lower(as_column(text)).contains(F.lower(as_column(q)))
@@ -197,19 +269,20 @@ def validate_queries(queries: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: DataFrame | None = None,
-           english: bool = True) -> DataFrame:
+           english: bool = True, grams_path: str | None = None) -> DataFrame:
     """Ranked hits of every valid query within its owner's documents.
 
     ``queries``: ``query_id, owner_id, q, tag, year, limit`` (tag, year and limit may be null).
     A page found on both sides counts as TRANSLATED. Rank falls, then page number rises,
-    then the document decides.
+    then the document decides. With ``grams_path`` original texts are searched in that stored index.
     """
     valid = validate_queries(queries).filter(F.col("reject_reason").isNull())
     owned = pages.join(docs.select("document_id", "owner_id"), "document_id")
     postings = postings if postings is not None else build_index(pages, docs, english)
     translated = match_translated(parse_queries(valid, english), postings, owned).withColumn(
         "in_translation", F.lit(True))
-    original = match_original(valid, owned).select(
+    in_original = match_gram_index(valid, grams_path) if grams_path else match_original(valid, owned)
+    original = in_original.select(
         "query_id", *PAGE, F.lit(0.0).alias("text_rank"), F.lit(None).cast("int").alias("first_hit"),
         F.lit(False).alias("in_translation"))
     found = translated.unionByName(original).groupBy("query_id", *PAGE).agg(

@@ -3,11 +3,14 @@
 The SQL checks use plain words: stop words and stems are a Python rule of ours.
 """
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lettermill.functions.similarity import trigram_similarity
-from lettermill.operators import search as sr
+from lettermill.operators import index_store, search as sr
 from lettermill.plans.common import documents_with_tags, table, view, views
+from lettermill.session import scratch_dir
 
 QUERIES, ORACLES = {}, {}
 
@@ -92,6 +95,47 @@ ORACLES["q4_match_original"] = f"""{views('document', 'page')}, {ASKED}
 SELECT query_id, document_id, page_no FROM asked JOIN document d USING (owner_id) JOIN page USING (document_id)
 WHERE length(q) >= 2 AND contains(lower(original_text), lower(q))"""
 
+
+
+def gram_index(s, d):
+    path = f"{scratch_dir(s)}/gram-index-{uuid.uuid4().hex}"
+    sr.create_gram_index(view(s, d, "page"), view(s, d, "document"), path)
+    return path
+
+
+QUERIES["q4_match_gram_index"] = lambda s, d: sr.match_gram_index(queries(s, d), gram_index(s, d))
+ORACLES["q4_match_gram_index"] = ORACLES["q4_match_original"]
+
+# Pages edited after the index was built: some get another text, some lose theirs.
+AMENDED = """CASE page_no % 4 WHEN 1 THEN concat('amended ', coalesce(translated_text, 'anew'), ' again')
+  WHEN 2 THEN CAST(NULL AS STRING) ELSE translated_text END AS translated_text"""
+
+
+def index_kept_current(s, d):
+    """The index after two changes, one merge and one more change of the same pages."""
+    docs, pages = view(s, d, "document"), view(s, d, "page")
+    path = f"{scratch_dir(s)}/index-{uuid.uuid4().hex}"
+    index_store.create(sr.build_index(pages, docs, english=False), path, "token")
+    amended = pages.selectExpr("document_id", "page_no", AMENDED)
+
+    def change(part):
+        index_store.apply_changes(sr.build_index(part, docs, english=False), part, path, "token")
+
+    change(amended.filter("page_no % 4 = 1").withColumn("translated_text", F.lit("first draft")))
+    change(amended.filter("page_no % 4 = 2"))
+    index_store.merge(s, path, "token")
+    change(amended.filter("page_no % 4 = 1"))
+    return index_store.read(s, path)
+
+
+QUERIES["q1_index_kept_current"] = index_kept_current
+AMENDED_TOKENS = TOKENS.replace("lower(translated_text)", "lower(t)").replace(
+    "FROM page JOIN document USING (document_id) WHERE translated_text IS NOT NULL",
+    f"FROM (SELECT document_id, page_no, {AMENDED.replace('AS translated_text', 'AS t').replace('STRING', 'VARCHAR')} FROM page) "
+    "JOIN document USING (document_id) WHERE t IS NOT NULL")
+ORACLES["q1_index_kept_current"] = f"""{views('document', 'page')}, {AMENDED_TOKENS}
+SELECT owner_id, document_id, page_no, CAST(position AS INT) AS position, token FROM posting"""
+
 GRAMS = lambda x: (f"list_distinct(flatten(list_transform(regexp_extract_all(lower({x}), {WORD}), "
                    "lambda w: list_transform(range(1, length(w) + 2), lambda i: substr(concat('  ', w, ' '), i, 3)))))")
 SIMILARITY = ("CASE WHEN len(list_distinct(list_concat(ga, gb))) > 0 THEN len(list_intersect(ga, gb)) "
