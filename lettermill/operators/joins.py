@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 
-def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than one row beyond."""
-    return df.select(F.lit(1)).limit(rows + 1).count() <= rows
+def _bytes(name: str, kind: DataType) -> Column:
+    column = F.col(f"`{name}`")
+    if isinstance(kind, (ArrayType, MapType, StructType)):
+        column = F.to_json(F.struct(column))
+    elif not isinstance(kind, (StringType, BinaryType)):
+        return F.lit(8)
+    return F.coalesce(F.octet_length(column), F.lit(0))
+
+
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes; reads no more than one row beyond."""
+    each = F.lit(0).cast("bigint")
+    for field in df.schema.fields:
+        each = each + _bytes(field.name, field.dataType)
+    found = df.select(each.alias("bytes")).limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= size
 
 
 def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,6 +9,8 @@ from lettermill.functions.calls import call_cost, classify_outcome
 from lettermill.operators.ordering import nearest_rank, percentiles, ranked_percentiles, with_position
 
 COST = "decimal(20,4)"
+#: A sketch of this size is off by 0.7 % of all ranks in one of a hundred cases, and practically never by 2 %.
+SKETCH_SIZE, RANK_ERROR = 400, 0.02
 
 
 def _event_time(df: DataFrame, column: str, watermark: str | None) -> DataFrame:
@@ -42,6 +44,30 @@ def latency_quantiles_windowed(calls: DataFrame, width: str = "5 minutes", accur
                           F.col("q")[0].alias("p50_ms"), F.col("q")[1].alias("p95_ms"))
 
 
+def latency_sketches(calls: DataFrame, width: str = "5 minutes", k: int = SKETCH_SIZE, watermark: str | None = None) -> DataFrame:
+    """One mergeable quantile sketch of the latencies per endpoint and window, for batch and live input.
+
+    A sketch keeps a few times ``k`` values however many calls there were; calls without a latency are left out.
+    """
+    timed = _event_time(calls, "created_at", watermark).filter(F.col("latency_ms").isNotNull())
+    grouped = timed.groupBy(F.window("created_at", width).alias("w"), "endpoint").agg(
+        F.kll_sketch_agg_bigint(F.col("latency_ms").cast("bigint"), k).alias("sketch"))
+    return grouped.select(F.col("w.start").alias("window_start"), "endpoint", "sketch")
+
+
+def quantiles_of_sketches(sketches: DataFrame, width: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """p50 and p95 per endpoint and wider window, from merged sketches of the windows inside.
+
+    The rank of each differs from the wanted one by under :data:`RANK_ERROR`. Calls aren't read again,
+    so any wider window, also one that slides, costs one row per narrow window.
+    """
+    wide = F.window("window_start", width, slide) if slide else F.window("window_start", width)
+    merged = sketches.groupBy(wide.alias("w"), "endpoint").agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+    at = lambda p: F.kll_sketch_get_quantile_bigint("sketch", F.lit(p))
+    return merged.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "endpoint",
+                         F.kll_sketch_get_n_bigint("sketch").alias("calls"), at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"))
+
+
 def spend_cumulative(calls: DataFrame, step: str = "minute") -> DataFrame:
     """Running cost per endpoint at the end of each step that had calls.
 

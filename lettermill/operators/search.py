@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lettermill.functions.similarity import gram_similarity, grams, trigrams
 from lettermill.functions.stemming import STOP_WORDS, stem
@@ -65,13 +66,16 @@ def write_index(postings: DataFrame, path: str, key: str = "token", buckets: int
     placed.sortWithinPartitions("bucket", key).write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def read_index(spark: SparkSession, path: str, keys: DataFrame, key: str = "token", buckets: int = 64) -> DataFrame:
+def read_index(spark: SparkSession, path: str, keys: DataFrame, key: str = "token", buckets: int = 64,
+               schema: StructType | None = None) -> DataFrame:
     """Stored postings of the buckets that ``keys`` (such as query terms) fall into.
 
-    At most ``buckets`` numbers reach the driver; as a partition filter they prune the scan.
+    At most ``buckets`` numbers reach the driver; as a partition filter they prune the scan. Without
+    ``schema`` something must have been stored.
     """
     wanted = [row[0] for row in keys.select(bucket_of(key, buckets)).distinct().collect()]
-    return spark.read.parquet(path).filter(F.col("bucket").isin(wanted)).drop("bucket")
+    stored = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    return stored.filter(F.col("bucket").isin(wanted)).drop("bucket")
 
 
 def bucket_of(key: str, buckets: int = 64) -> Column:
@@ -204,7 +208,8 @@ def match_gram_index(queries: DataFrame, path: str) -> DataFrame:
     grams_of = asked.filter("size > 2").select("query_id", "owner_id", "size", F.posexplode(grams("q", 3)).alias("offset", "gram"))
     terms = grams_of.withColumn("head", F.substring("gram", 1, 2))
     pairs = asked.filter("size = 2").select("query_id", "owner_id", F.col("q").alias("head"))
-    counted = read_index(spark, f"{path}/counts", terms, "head").groupBy("owner_id", "head", "gram").agg(F.sum("postings").alias("postings"))
+    kept = spark.read.parquet(f"{path}/grams/schema").select("owner_id", "head", "gram").schema.add("postings", "long").add("bucket", "integer")
+    counted = read_index(spark, f"{path}/counts", terms, "head", schema=kept).groupBy("owner_id", "head", "gram").agg(F.sum("postings").alias("postings"))
     found = counted.join(broadcast_if_small(terms), ["owner_id", "head", "gram"])
     # A query has at most 200 characters, so these groups are small.
     of_query = Window.partitionBy("query_id")

@@ -77,6 +77,35 @@ def third(df, key):
     return F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)).cast("int")
 
 
+def m2_latency_sketches_stream(s, d):
+    """Live sketches of five minutes over several micro-batches, merged to hours; whether each quantile's rank is right."""
+    calls = adapter(s, d, "api_call").select("endpoint", "created_at", "latency_ms")
+    by_time = calls.withColumn("_at", F.unix_timestamp(F.col("created_at").cast("timestamp")))
+    live_calls = in_parts(s, by_time, third(by_time, "_at"), 3).drop("_at")
+    # The files of a part may be read in either order: lateness covers the whole time.
+    low, high = by_time.agg(F.min("_at"), F.max("_at")).first()
+    late = f"{(high or 0) - (low or 0) + 3600} seconds"
+    narrow = upserted(s, metrics.latency_sketches(live_calls, watermark=late), ["window_start", "endpoint"])
+    hours = metrics.quantiles_of_sketches(narrow).withColumnRenamed("calls", "sketched")
+    hour = F.window(F.col("created_at").cast("timestamp"), "1 hour")["start"].alias("window_start")
+    ranked = calls.filter("latency_ms is not null").select(hour, "endpoint", "latency_ms").join(hours, ["window_start", "endpoint"])
+    counts = ranked.groupBy("window_start", "endpoint").agg(
+        F.count(F.lit(1)).alias("calls"), F.first("sketched").alias("sketched"),
+        *(F.count_if(F.col("latency_ms") < F.col(q)).alias(f"{q}_below") for q in ("p50_ms", "p95_ms")),
+        *(F.count_if(F.col("latency_ms") <= F.col(q)).alias(f"{q}_upto") for q in ("p50_ms", "p95_ms")))
+
+    def holds(q, p):
+        return (F.col(f"{q}_below") / F.col("calls") <= p + metrics.RANK_ERROR) & (F.col(f"{q}_upto") / F.col("calls") >= p - metrics.RANK_ERROR)
+
+    return counts.select("window_start", "endpoint", "calls", "sketched", holds("p50_ms", 0.5).alias("p50_holds"), holds("p95_ms", 0.95).alias("p95_holds"))
+
+
+QUERIES["m2_latency_sketches_stream"] = m2_latency_sketches_stream
+ORACLES["m2_latency_sketches_stream"] = f"""{metric_queries.CALLS}
+SELECT date_trunc('hour', created_at) AS window_start, endpoint, count(*) AS calls, count(*) AS sketched, true AS p50_holds, true AS p95_holds
+FROM api_call WHERE latency_ms IS NOT NULL GROUP BY 1, 2"""
+
+
 def b4_claim_budget_stream(s, d):
     claims = adapter(s, d, "word_claim").withColumn("words", word_count("text")).drop("text")
     return appended(s, budget.claim_budget_stream(in_parts(s, claims, third(claims, "claim_id"), 3), cap=3000), idle_batches=False)

@@ -85,3 +85,10 @@ def test_snippets(one):
     assert one(sr.snippet_original(F.lit(text), F.lit("NEEDLE"))) == text[:200]
     words = " ".join(f"w{i}" for i in range(60))
     assert one(sr.snippet_translated(F.lit(words), F.lit(20))) == " ".join(f"w{i}" for i in range(12, 37))
+
+
+def test_small_means_few_rows_and_few_bytes(spark):
+    df = spark.createDataFrame([("a" * 1000, [1, 2], 5), (None, None, None)], "`x.y` string, b array<int>, c int")
+    assert joins.is_small(df) and joins.is_small(df, rows=2, size=1100)
+    assert not joins.is_small(df, rows=1) and not joins.is_small(df, size=1000)
+    assert joins.is_small(df.limit(0), rows=0, size=0)

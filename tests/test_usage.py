@@ -1,6 +1,8 @@
+import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from lettermill.operators import metrics, usage
 
@@ -51,3 +53,18 @@ def test_fifo_inversions(spark):
     docs = spark.sql("""SELECT * FROM VALUES (1, TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-09'), (2, TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-03'),
         (3, TIMESTAMP '2024-01-03', TIMESTAMP '2024-01-04'), (4, TIMESTAMP '2024-01-04', NULL) AS t(document_id, created_at, completed_at)""")
     assert {r["document_id"]: r["moved"] for r in metrics.fifo_inversions(docs).collect()} == {1: 2, 2: -1, 3: -1}
+
+
+def test_merged_sketches_keep_ranks_within_the_bound(spark):
+    rng = random.Random(9)
+    rows = [("a", i % 3600, int(rng.expovariate(1 / 300))) for i in range(30000)] + [("b", 5, 7), ("b", 4000, 9), ("b", 6, None)]
+    calls = spark.createDataFrame(rows, "endpoint string, second int, latency_ms int").withColumn(
+        "created_at", F.timestamp_seconds(F.col("second") + 1704067200))
+    hours = {(r["endpoint"], r["window_start"].hour): r for r in metrics.quantiles_of_sketches(metrics.latency_sketches(calls)).collect()}
+    values = sorted(v for e, _, v in rows if e == "a")
+    for column, p in (("p50_ms", 0.5), ("p95_ms", 0.95)):
+        estimate = hours["a", 0][column]
+        assert sum(v < estimate for v in values) / len(values) - metrics.RANK_ERROR <= p
+        assert sum(v <= estimate for v in values) / len(values) + metrics.RANK_ERROR >= p
+    assert hours["a", 0]["calls"] == 30000
+    assert [(hours["b", h]["calls"], hours["b", h]["p50_ms"]) for h in (0, 1)] == [(1, 7), (1, 9)]
