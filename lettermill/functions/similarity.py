@@ -59,9 +59,12 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
         start += 1
-    a, b = a[start:], b[start:]
-    if not a:
-        return len(b)
+    end = 0
+    while end < min(len(a), len(b)) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start:len(a) - end], b[start:len(b) - end]
+    if not a or not b:
+        return len(a) + len(b)
     where: dict = {}
     for i, symbol in enumerate(a):
         where.setdefault(symbol, []).append(i)
@@ -100,12 +103,18 @@ def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
     The built-in ``levenshtein`` fills the whole table cell by cell, which takes many times
     longer on page-long texts.
     """
-    return _char_distance(as_column(reference), as_column(hypothesis))
+    return _unless_equal(_char_distance, as_column(reference), as_column(hypothesis))
 
 
 def word_distance(reference: Column | str, hypothesis: Column | str) -> Column:
     """Edit distance over white-space separated words."""
-    return _word_distance(as_column(reference), as_column(hypothesis))
+    return _unless_equal(_word_distance, as_column(reference), as_column(hypothesis))
+
+
+def _unless_equal(distance, a: Column, b: Column) -> Column:
+    """Equal texts are answered here and don't travel to Python."""
+    differ = a != b
+    return F.when(a == b, 0).otherwise(distance(F.when(differ, a), F.when(differ, b)))
 
 
 def error_rate(errors: Column | str, length: Column | str) -> Column:

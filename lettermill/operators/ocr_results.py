@@ -23,6 +23,7 @@ ENVELOPES = ("data", "result", "page")
 PAGE_JSON = "(?is)^.*page_([0-9]+)\\.json$"
 PAGE_TEXT = "(?is)^.*page_([0-9]+)\\.(?:md|txt)$"
 PAGE_BREAKS = ("\n---\n", "\f", "<!-- page -->")
+STRATEGIES = ("page_json", "page_text", "main_document")
 
 
 def _strings(node: dict) -> list[tuple[tuple[str, ...], str]]:
@@ -138,6 +139,13 @@ def _split_parts(content: Column, mark: str) -> Column:
     return F.when((body == "") & (content != ""), F.array().cast("array<string>")).otherwise(F.split(body, quoted))
 
 
+def _parts_as_expected(content: Column) -> Column:
+    """Parts by the first page break that gives ``expected_pages`` of them, else null."""
+    return F.coalesce(*(
+        F.when(F.size(p) == F.col("expected_pages"), p)
+        for p in (_split_parts(content, mark) for mark in PAGE_BREAKS)))
+
+
 def split_main_document(entries: DataFrame, expected: DataFrame) -> DataFrame:
     """(archive_id, ordinal, text) from the largest other ``.md`` entry.
 
@@ -150,9 +158,7 @@ def split_main_document(entries: DataFrame, expected: DataFrame) -> DataFrame:
     main = others.groupBy("archive_id").agg(
         F.max_by("content", F.struct(size, -F.col("entry_pos"))).alias("content"))
     sized = _text_content(main).join(expected.select("archive_id", "expected_pages"), "archive_id")
-    parts = F.coalesce(*(
-        F.when(F.size(p) == F.col("expected_pages"), p)
-        for p in (_split_parts(F.col("content"), mark) for mark in PAGE_BREAKS)))
+    parts = _parts_as_expected(F.col("content"))
     return sized.select("archive_id", F.posexplode(parts).alias("_i", "part")).select(
         "archive_id", (F.col("_i") + 1).alias("ordinal"), strip("part").alias("text"))
 
@@ -164,17 +170,39 @@ def normalise_ordinals(found: DataFrame) -> DataFrame:
 
 
 def parse_archives(entries: DataFrame, expected: DataFrame) -> DataFrame:
-    """(archive_id, ordinal, text, strategy): the first strategy that finds a page serves its archive."""
-    ranked = None
-    for rank, (strategy, found) in enumerate((
-            ("page_json", normalise_ordinals(pages_from_json(entries))),
-            ("page_text", normalise_ordinals(pages_from_text(entries))),
-            ("main_document", split_main_document(entries, expected)))):
-        tagged = found.select("archive_id", "ordinal", "text", F.lit(rank).alias("_rank"),
-                              F.lit(strategy).alias("strategy"))
-        ranked = tagged if ranked is None else ranked.unionByName(tagged)
-    best = F.min("_rank").over(Window.partitionBy("archive_id"))
-    return ranked.withColumn("_best", best).filter(F.col("_rank") == F.col("_best")).drop("_rank", "_best")
+    """(archive_id, ordinal, text, strategy): the first strategy that finds a page serves its archive.
+
+    Entries are read once: each falls to one strategy by its name, one aggregation keeps the last
+    of every page and the largest main document, and the strategies of an archive meet in a window
+    of at most 1000 rows.
+    """
+    name = F.col("entry_name")
+    strategy = (
+        F.when(name.rlike(PAGE_JSON), 0).when(name.rlike(PAGE_TEXT), 1).when(F.lower(name).endswith(".md"), 2))
+    kinds = entries.withColumn("_rank", strategy).filter(F.col("_rank").isNotNull())
+    pattern = F.when(F.col("_rank") == 0, F.regexp_extract(name, PAGE_JSON, 1)).when(
+        F.col("_rank") == 1, F.regexp_extract(name, PAGE_TEXT, 1))
+    binary = dict(entries.dtypes)["content"] != "string"
+    content = F.decode("content", "UTF-8") if binary else F.col("content")
+    numbered = kinds.withColumns({
+        "ordinal": pattern.try_cast("int"), "_json": F.when(F.col("_rank") == 0, content)})
+    read = extract_page_text(numbered, "_json", "_found")
+    plain = F.when(F.col("_rank") == 1, content)
+    page = F.coalesce("_found", F.when(~is_blank(plain), plain))
+    last = read.withColumn("_page", page).groupBy("archive_id", "_rank", "ordinal").agg(
+        F.max_by("_page", F.when(F.col("_page").isNotNull(), F.col("entry_pos"))).alias("text"),
+        F.max_by("content", F.when(F.col("_rank") == 2, F.struct(F.octet_length("content"), -F.col("entry_pos")))).alias("content"))
+    sized = last.join(expected.select("archive_id", "expected_pages"), "archive_id", "left")
+    parts = F.when(F.col("_rank") == 2, _parts_as_expected(content))
+    served = sized.withColumn("_parts", parts).filter(F.col("text").isNotNull() | F.col("_parts").isNotNull())
+    of_archive = Window.partitionBy("archive_id")
+    chosen = served.withColumn("_best", F.min("_rank").over(of_archive)).filter(F.col("_rank") == F.col("_best"))
+    placed = chosen.withColumn("ordinal", F.col("ordinal") - F.min("ordinal").over(of_archive) + 1)
+    split = F.transform("_parts", lambda p, i: F.struct((i + 1).alias("ordinal"), strip(p).alias("text")))
+    one = F.array(F.struct(F.col("ordinal"), F.col("text")))
+    label = F.element_at(F.array(*map(F.lit, STRATEGIES)), F.col("_rank") + 1)
+    return placed.select("archive_id", label.alias("strategy"), F.inline(F.when(F.col("_rank") == 2, split).otherwise(one))).select(
+        "archive_id", "ordinal", "text", "strategy")
 
 
 def manifest_mismatches(entries: DataFrame, parsed: DataFrame) -> DataFrame:
@@ -220,14 +248,25 @@ def apply_ocr(batches: DataFrame, pages: DataFrame, parsed: DataFrame, docs: Dat
     decided = filled.join(claims, ["document_id", "page_no"], "left")
     status = F.when(F.col("words").isNull(), "FAILED").when(F.col("granted"), "OCR_DONE").otherwise("CAPPED")
     decided = decided.select("document_id", "page_no", "batch_no", status.alias("status"))
-    updated = decided.join(texts, ["document_id", "page_no"], "left").select(
-        *decided.columns, F.col("text").alias("original_text"), content_hash("text").alias("text_hash"))
+    read = decided.join(texts, ["document_id", "page_no"], "left").select(
+        "document_id", "page_no", "batch_no", F.col("status").alias("_status"), F.col("text").alias("_text"),
+        content_hash("text").alias("_hash"))
+    # One join from the page table, on the key that the recovered texts are dealt by already.
+    held = [c for c in ("document_id", "page_no", "status", "original_text", "text_hash", "translated_text") if c in pages.columns]
+    placed_now = F.col("_status").isNotNull()
+    old = lambda c: F.col(c) if c in held else F.lit(None).cast("string")
+    translated = {"translated_text": F.when(~placed_now, F.col("translated_text"))} if "translated_text" in held else {}
+    updated = pages.select(*held).join(read, ["document_id", "page_no"], "left").withColumns({
+        "status": F.coalesce("_status", old("status")),
+        "original_text": F.when(placed_now, F.col("_text")).otherwise(old("original_text")),
+        "text_hash": F.when(placed_now, F.col("_hash")).otherwise(old("text_hash")), **translated,
+    }).select("document_id", "page_no", "batch_no", "status", "original_text", "text_hash", *translated)
     complete = F.bool_and(F.col("status") != "FAILED")
     settled = decided.groupBy("document_id", "batch_no").agg(
         F.when(complete, "COMPLETED").otherwise("PARTIALLY_COMPLETED").alias("status"))
     translate = enqueue(decided.filter(F.col("status") == "OCR_DONE"), "translate", "document_id", "page_no")
     capped = decided.filter(F.col("status") == "CAPPED").select("document_id").distinct()
-    return OcrApplied(_with_others(updated, pages), settled, translate.unionByName(enqueue(capped, "assemble", "document_id")))
+    return OcrApplied(updated, settled, translate.unionByName(enqueue(capped, "assemble", "document_id")))
 
 
 def _with_others(updated: DataFrame, pages: DataFrame) -> DataFrame:
