@@ -273,20 +273,6 @@ def validate_queries(queries: DataFrame) -> DataFrame:
     return queries.withColumn("limit", limit).withColumn("reject_reason", reason)
 
 
-def within_reach(found: DataFrame, size: int = MAX_LIMIT) -> DataFrame:
-    """``found`` without the pages that cannot be among the ``size`` best of their query.
-
-    Similarity adds at most 1 to a text rank. A page whose text rank is more than that below the
-    query's ``size``-th best (and more than the rounding of ranks) is beaten by that many pages.
-    """
-    best = Window.partitionBy("query_id").orderBy(F.desc("text_rank"))
-    # The constant bound lets each task keep its own best before the shuffle.
-    top = found.select("query_id", "text_rank").withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= size)
-    floor = top.filter(F.col("_place") == size).select("query_id", (F.col("text_rank") - 1.00001).alias("_floor"))
-    return found.join(floor, "query_id", "left").filter(
-        F.col("_floor").isNull() | (F.col("text_rank") >= F.col("_floor"))).drop("_floor")
-
-
 def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: DataFrame | None = None,
            english: bool = True, grams_path: str | None = None) -> DataFrame:
     """Ranked hits of every valid query within its owner's documents.
@@ -313,12 +299,11 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
     scoped = pin(found.join(filters, "query_id").join(facts.select("document_id", "doc_year", "tags"), "document_id").filter(
         (F.col("tag").isNull() | F.array_contains("tags", F.col("tag")))
         & (F.col("year").isNull() | (F.col("doc_year") == F.col("year")))).select(*found.columns))
-    hopeful = within_reach(scoped)
-    # Trigrams are made once per page that may be shown and once per query, and no text takes part in ranking.
-    shown = pages.join(hopeful.select(*PAGE).distinct(), PAGE, "left_semi")
+    # Trigrams are made once per matched page and once per query, and no text takes part in ranking.
+    shown = pages.join(broadcast_if_small(scoped.select(*PAGE).distinct()), PAGE, "left_semi")
     page_grams = shown.select(*PAGE, trigrams("original_text").alias("_page_grams"))
     similarity = gram_similarity("_page_grams", "_q_grams", short_right=True)
-    ranked = hopeful.join(asked.drop("tag", "year"), "query_id").join(facts, "document_id").join(page_grams, PAGE).withColumn(
+    ranked = scoped.join(asked.drop("tag", "year"), "query_id").join(facts, "document_id").join(page_grams, PAGE).withColumn(
         "rank", F.round(F.col("text_rank") + similarity, 6)).drop("_page_grams", "_q_grams")
     order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "page_no", "document_id")
     # The constant bound lets each task keep its own best before the shuffle.

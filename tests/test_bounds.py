@@ -1,4 +1,4 @@
-"""Pruning and short cuts give what the whole work would give."""
+"""Short cuts give what the whole work would give."""
 
 import random
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lettermill.functions.similarity import char_distance, edit_distance, word_distance
 from lettermill.operators import ocr_results as results
-from lettermill.operators.search import within_reach
 
 
 def by_table(a, b):
@@ -18,17 +17,6 @@ def by_table(a, b):
     return row[-1]
 
 
-def test_within_reach_keeps_all_that_can_be_shown(spark):
-    rng = random.Random(1)
-    rows = [(q, d, rng.choice([0.0, 0.5, 1.0, 1.7, 2.4, 3.0]), rng.random()) for q in range(3) for d in range(200 if q else 20)]
-    found = spark.createDataFrame(rows, "query_id int, document_id int, text_rank double, similarity double")
-    kept = {(r["query_id"], r["document_id"]) for r in within_reach(found, 50).collect()}
-    assert len(kept) < len(rows) and all((0, d) in kept for d in range(20))
-    for q in range(3):
-        best = sorted((r for r in rows if r[0] == q), key=lambda r: (-(r[2] + r[3]), r[1]))[:50]
-        assert {(q, r[1]) for r in best} <= kept
-
-
 def test_edit_distance_with_common_ends(spark):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(9))) for _ in range(60)]
