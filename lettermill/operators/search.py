@@ -82,19 +82,36 @@ def bucket_of(key: str, buckets: int = 64) -> Column:
     return F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
 
+def _is_or(placed: Column, pieces: Column) -> Column:
+    return (F.lower(placed["text"]) == "or") & placed["after"] & (placed["piece"] + 1 < F.size(pieces))
+
+
+def _placed_pieces(pieces: Column) -> Column:
+    """Pieces with their place and whether a word or phrase stands directly before them."""
+    start = F.struct(F.lit(False).alias("operand"), F.array().cast("array<struct<piece:int,text:string,after:boolean>>").alias("out"))
+
+    def step(state: Column, text: Column) -> Column:
+        placed = F.struct(F.size(state["out"]).alias("piece"), text.alias("text"), state["operand"].alias("after"))
+        return F.struct((~_is_or(placed, pieces)).alias("operand"), F.array_append(state["out"], placed).alias("out"))
+
+    return F.aggregate(pieces, start, step, lambda state: state["out"])
+
+
 def parse_queries(queries: DataFrame, english: bool = True) -> DataFrame:
     """Term rows of web-style queries: bare words all required, quotes for phrases, ``or``, ``-``.
 
+    ``or`` separates alternatives only between two operands; as the first or last piece, or directly
+    behind another ``or`` that does, it is a word.
     One row per term with its ``clause`` (alternatives), ``piece`` (a word or phrase), offset
     in the phrase and the sizes needed to tell when piece and clause are satisfied.
     """
     pieces = F.regexp_extract_all("q", F.lit(QUERY_PIECE), 0)
-    is_or = lambda p: F.lower(p) == "or"
-    placed = F.transform("_pieces", lambda p, i: F.struct(
-        i.alias("piece"), p.alias("text"),
-        F.size(F.filter(F.slice("_pieces", 1, i), is_or)).alias("clause")))
-    rows = queries.select("query_id", "owner_id", pieces.alias("_pieces")).select(
-        "query_id", "owner_id", F.inline(F.filter(placed, lambda s: ~is_or(s["text"]))))
+    is_or = lambda s: _is_or(s, F.col("_pieces"))
+    placed = F.transform(F.filter("_placed", lambda s: ~is_or(s)), lambda s: F.struct(
+        s["piece"].alias("piece"), s["text"].alias("text"),
+        F.size(F.filter(F.slice("_placed", 1, s["piece"]), is_or)).alias("clause")))
+    rows = queries.select("query_id", "owner_id", pieces.alias("_pieces")).withColumn("_placed", _placed_pieces(F.col("_pieces"))).select(
+        "query_id", "owner_id", F.inline(placed))
     terms = rows.select(
         "query_id", "owner_id", "clause", "piece", F.col("text").startswith("-").alias("negated"),
         F.posexplode(words("text")).alias("offset", "token"))

@@ -43,6 +43,15 @@ def test_search_forms(spark, corpus, q, found):
     assert {(d, p) for d, p, _ in hits(spark, corpus, q)} == found
 
 
+@pytest.mark.parametrize("q,terms", [
+    ("or", {(0, "or")}), ("OR", {(0, "or")}), ("or fox", {(0, "or"), (0, "fox")}), ("fox or", {(0, "fox"), (0, "or")}),
+    ("fox or dog", {(0, "fox"), (1, "dog")}), ("or or fox", {(0, "or"), (1, "fox")}), ("fox or or", {(0, "fox"), (1, "or")}),
+    ("or or or", {(0, "or"), (1, "or")}), ("a or b or c", {(0, "a"), (1, "b"), (2, "c")}), ('"or" or -or', {(0, "or"), (1, "or")})])
+def test_or_is_a_word_unless_it_stands_between_two(spark, q, terms):
+    queries = spark.createDataFrame([(1, "o1", q)], "query_id int, owner_id string, q string")
+    assert {(r["clause"], r["token"]) for r in sr.parse_queries(queries, english=False).collect()} == terms
+
+
 def test_search_filters_scope_and_limits(spark, corpus):
     assert {d for d, *_ in hits(spark, corpus, "dog", tag="work")} == set()
     assert {d for d, *_ in hits(spark, corpus, "dog", year=1980)} == {1}
