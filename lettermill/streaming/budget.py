@@ -1,4 +1,4 @@
-"""Word budgets and request limits on live input, one small value of keyed state per owner and day or address and period.
+"""Word budgets and request limits on live input: one small value of keyed state per owner and day, or bucket of addresses and period.
 
 A micro-batch's rows of a key come in pieces. Of what a piece adds, only rows that can still
 be granted are held, so a busy key needs no more memory than its cap allows.
@@ -19,6 +19,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lettermill.operators.limits import DAILY_WORDS, REQUESTS_PER_PERIOD, limited_path
 from lettermill.streaming.sinks import use_keyed_state
 
+#: States that the addresses of a period are dealt out to; the number can't change within a checkpoint.
+ADDRESS_BUCKETS = 16
 #: A day's claims end with the day; two days cover every zone. A period's requests end with it.
 BUDGET_KEPT, REQUESTS_KEPT = datetime.timedelta(days=2), datetime.timedelta(hours=2)
 
@@ -78,25 +80,39 @@ class Budget(Counted):
             yield self.keyed(key, held.assign(granted=granted))
 
 
-class Permits(Counted):
-    """Allows the first requests of a key, in order of time and id within a micro-batch."""
+class Permits(StatefulProcessor):
+    """Allows the first requests of each address of a period, in order of time and id within a micro-batch.
 
-    def __init__(self, keys: Sequence[str], limit: int, kept: datetime.timedelta) -> None:
-        super().__init__(keys, kept)
-        self.limit = limit
+    A group is a bucket of addresses in one period; its state counts what each was allowed.
+    """
+
+    def __init__(self, limit: int, kept: datetime.timedelta) -> None:
+        self.limit, self.kept_ms = limit, int(kept.total_seconds() * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.allowed = handle.getValueState("allowed", "ip array<string>, n array<int>", self.kept_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = self.so_far()
-        left, held = max(self.limit - seen, 0), None
+        seen = dict(zip(*self.allowed.get(), strict=True)) if self.allowed.exists() else {}
+        held = None
         for frame in rows:
-            piece = frame[["request_id", "ts"]]
+            piece = frame[["ip", "request_id", "ts"]]
             piece = (piece if held is None else pd.concat([held, piece])).sort_values(["ts", "request_id"])
-            held = piece.head(left)
-            if len(piece) > left:
-                yield self.keyed(key, piece.iloc[left:].assign(outcome="rejected"))
+            codes, ips = pd.factorize(piece["ip"], use_na_sentinel=False)
+            left = self.limit - np.array([seen.get(None if pd.isna(ip) else ip, 0) for ip in ips])
+            fits = piece.groupby(codes).cumcount().to_numpy() < left[codes]
+            held = piece[fits]
+            if not fits.all():
+                yield piece[~fits].assign(period_start=key[0], outcome="rejected")
         if len(held):
-            self.count.update((seen + len(held),))
-            yield self.keyed(key, held.assign(outcome="allowed"))
+            for ip, n in held["ip"].value_counts(dropna=False).items():
+                ip = None if pd.isna(ip) else ip
+                seen[ip] = seen.get(ip, 0) + int(n)
+            self.allowed.update((list(seen), list(seen.values())))
+            yield held.assign(period_start=key[0], outcome="allowed")
+
+    def close(self) -> None:
+        pass
 
 
 def claim_budget_stream(claims: DataFrame, cap: int = DAILY_WORDS, keys: Sequence[str] = ("owner_id", "day"), order: str = "claim_id",
@@ -109,16 +125,17 @@ def claim_budget_stream(claims: DataFrame, cap: int = DAILY_WORDS, keys: Sequenc
 
 
 def limit_requests_stream(requests: DataFrame, limit: int = REQUESTS_PER_PERIOD, per: str = "1 minute",
-                          kept: datetime.timedelta = REQUESTS_KEPT) -> DataFrame:
+                          kept: datetime.timedelta = REQUESTS_KEPT, buckets: int = ADDRESS_BUCKETS) -> DataFrame:
     """Allow the first ``limit`` requests per address and period over all micro-batches; 0 or less allows all.
 
-    ``kept`` must be longer than a period and the delay of its requests.
+    ``kept`` must be longer than a period and the delay of its requests. The addresses of a period share
+    ``buckets`` states, so Python is entered once per bucket and not once per address.
     """
-    keys = ["ip", "period_start"]
     timed = requests.filter(limited_path()).withColumn(
-        "period_start", F.window(F.col("ts").cast("timestamp"), per).start).select(*keys, "request_id", F.col("ts").cast("timestamp").alias("ts"))
+        "period_start", F.window(F.col("ts").cast("timestamp"), per).start).select("ip", "period_start", "request_id", F.col("ts").cast("timestamp").alias("ts"))
     if limit <= 0:
         return timed.withColumn("outcome", F.lit("allowed"))
     use_keyed_state(requests.sparkSession)
     schema = timed.withColumn("outcome", F.lit("")).schema
-    return timed.groupBy(*keys).transformWithStateInPandas(Permits(keys, limit, kept), schema, "Append", "ProcessingTime")
+    bucketed = timed.withColumn("_bucket", F.pmod(F.xxhash64("ip"), F.lit(buckets)).cast("int"))
+    return bucketed.groupBy("period_start", "_bucket").transformWithStateInPandas(Permits(limit, kept), schema, "Append", "ProcessingTime")

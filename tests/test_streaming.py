@@ -184,3 +184,18 @@ def test_live_quantiles_of_few_rows_are_observed_values(spark, tmp_path):
     got = sinks.read_latest(spark, f"{tmp_path}/out", ["window_start", "endpoint"]).orderBy("window_start").collect()
     # Windows hold 10..100 and 110..200.
     assert [(r["p50_ms"], r["p95_ms"]) for r in got] == [(50, 100), (150, 200)]
+
+
+def state_rows(query):
+    return max(op["numRowsTotal"] for progress in query.recentProgress for op in progress["stateOperators"])
+
+
+def test_addresses_of_a_period_share_states(spark, tmp_path):
+    requests = spark.range(600).selectExpr("id AS request_id", "CASE WHEN id % 300 > 0 THEN concat('ip', id % 300) END AS ip", "'/api/x' AS path",
+                                           "TIMESTAMP '2024-01-01 00:00:00' AS ts")
+    feed(requests, tmp_path / "in", 0)
+    query = sinks.start_appends(budget.limit_requests_stream(stream(spark, tmp_path / "in", requests.schema), 1), f"{tmp_path}/out", f"{tmp_path}/cp", idle_batches=False)
+    query.awaitTermination()
+    found = {r["request_id"]: r["outcome"] for r in sinks.read_appended(spark, f"{tmp_path}/out").collect()}
+    assert found == {i: "allowed" if i < 300 else "rejected" for i in range(600)}
+    assert 0 < state_rows(query) <= 100
