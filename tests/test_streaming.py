@@ -199,3 +199,16 @@ def test_addresses_of_a_period_share_states(spark, tmp_path):
     found = {r["request_id"]: r["outcome"] for r in sinks.read_appended(spark, f"{tmp_path}/out").collect()}
     assert found == {i: "allowed" if i < 300 else "rejected" for i in range(600)}
     assert 0 < state_rows(query) <= 100
+
+
+def test_pages_of_a_bucket_share_states(spark, tmp_path):
+    rows = [(i, i % 2, i, "ocr", "h") for i in range(300)] + [(None, 1, 300, "ocr", "h")]
+    changes = spark.createDataFrame([*rows, (-1, -1, 600, "heartbeat", None)],
+                                    "document_id bigint, page_no int, seq bigint, kind string, text_hash string")
+    feed(timed(changes), tmp_path / "in", 0)
+    source = stream(spark, tmp_path / "in", timed(changes).schema)
+    query = sinks.start_appends(states.page_state_stream(source, "30 minutes", buckets=8), f"{tmp_path}/out", f"{tmp_path}/cp")
+    query.awaitTermination()
+    found = sinks.read_appended(spark, f"{tmp_path}/out").collect()
+    assert sorted(r["seq"] for r in found) == list(range(301)) and {(r["status"], r["accepted"]) for r in found} == {("OCR_DONE", True)}
+    assert 0 < state_rows(query) <= 100
