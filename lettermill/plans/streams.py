@@ -40,12 +40,6 @@ def upserted(spark, stream, keys):
     return sinks.read_latest(spark, out, keys)
 
 
-def appended(spark, stream, idle_batches=True):
-    out, checkpoint = folders(spark)
-    sinks.start_appends(stream, out, checkpoint, idle_batches=idle_batches).awaitTermination()
-    return sinks.read_appended(spark, out)
-
-
 LATE = "1 hour"
 QUERIES["m1_calls_per_minute_stream"] = lambda s, d: upserted(
     s, metrics.calls_per_minute(live(s, d, "api_call", "events"), LATE), ["window_start", "endpoint", "outcome"])
@@ -70,6 +64,22 @@ def in_parts(spark, rows, part, n):
         "recursiveFileLookup", "true").parquet(root)
 
 
+def fed(spark, rows, part, n, make, idle_batches=False):
+    """What ``make(stream)`` appends while ``rows`` arrive in ``n`` parts, each a micro-batch however many files it has.
+
+    A part is added to a folder and the query goes on from its checkpoint. ``idle_batches`` lets the last run
+    move on by the watermark alone.
+    """
+    (out, checkpoint), arrived = folders(spark), f"{scratch_dir(spark)}/parts-{uuid.uuid4().hex}"
+    rows = rows.withColumn("_part", part)
+    schema = rows.drop("_part").schema
+    for i in range(n):
+        rows.filter(F.col("_part") == i).drop("_part").write.parquet(f"{arrived}/{i}")
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(arrived)
+        sinks.start_appends(make(stream), out, checkpoint, idle_batches=idle_batches and i == n - 1).awaitTermination()
+    return sinks.read_appended(spark, out)
+
+
 def third(df, key):
     """Three parts of about equal length in order of a whole key."""
     low, high = df.agg(F.min(key), F.max(key)).first()
@@ -108,7 +118,7 @@ FROM api_call WHERE latency_ms IS NOT NULL GROUP BY 1, 2"""
 
 def b4_claim_budget_stream(s, d):
     claims = adapter(s, d, "word_claim").withColumn("words", word_count("text")).drop("text")
-    return appended(s, budget.claim_budget_stream(in_parts(s, claims, third(claims, "claim_id"), 3), cap=3000), idle_batches=False)
+    return fed(s, claims, third(claims, "claim_id"), 3, lambda live_claims: budget.claim_budget_stream(live_claims, cap=3000))
 
 
 QUERIES["b4_claim_budget_stream"] = b4_claim_budget_stream
@@ -116,9 +126,11 @@ ORACLES["b4_claim_budget_stream"] = limit_queries.ORACLES["b1_claim_budget"]
 
 
 def b6_limit_requests_stream(s, d):
+    # Requests arrive in order of their time, in which the SQL counts them.
     requests = adapter(s, d, "request")
-    live_requests = in_parts(s, requests, third(requests, "request_id"), 3)
-    return appended(s, budget.limit_requests_stream(live_requests, 1, "1 hour"), idle_batches=False).select("request_id", "ip", "outcome")
+    requests = requests.withColumn("_at", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    return fed(s, requests, third(requests, "_at"), 3, lambda live_requests: budget.limit_requests_stream(live_requests, 1, "1 hour")).select(
+        "request_id", "ip", "outcome")
 
 
 QUERIES["b6_limit_requests_stream"] = b6_limit_requests_stream
@@ -128,7 +140,7 @@ DELAY_DAYS = 4
 
 
 def out_of_order(s, d, columns):
-    """Event rows as changes in parts of eight days; a row may come up to three days late, and a heartbeat ends the stream."""
+    """Event rows as changes, their parts of eight days and how many; a row may come up to three days late, and a heartbeat ends the stream."""
     events = base_table(s, d, "events")
     changes = events.selectExpr(*(f"{e} AS {c}" for c, e in columns.items()), "CAST(ts AS TIMESTAMP) AS ts")
     low, high = changes.agg(F.min("ts"), F.max("ts")).first()
@@ -140,7 +152,7 @@ def out_of_order(s, d, columns):
     days = (F.unix_timestamp("ts") - F.unix_timestamp(F.lit(low)) + F.pmod(F.xxhash64("seq"), F.lit(3 * 86400))) / (8 * 86400)
     n = (high - low).days // 8 + 3
     part = F.when(F.col("kind") == states.HEARTBEAT, n - 1).otherwise(F.least(F.floor(days), F.lit(n - 2))).cast("int")
-    return in_parts(s, changes.unionByName(end), part, n)
+    return changes.unionByName(end), part, n
 
 
 CHANGE = {
@@ -150,7 +162,8 @@ CHANGE = {
     "text_hash": "CASE WHEN event_type = 'view' THEN 'h2' ELSE 'h1' END",
 }
 CHANGES = ", ".join(f"{e} AS {c}" for c, e in CHANGE.items())
-QUERIES["d15_page_state_stream"] = lambda s, d: appended(s, states.page_state_stream(out_of_order(s, d, CHANGE), f"{DELAY_DAYS} days"))
+QUERIES["d15_page_state_stream"] = lambda s, d: fed(
+    s, *out_of_order(s, d, CHANGE), lambda changes: states.page_state_stream(changes, f"{DELAY_DAYS} days"), idle_batches=True)
 ORACLES["d15_page_state_stream"] = f"""
 WITH changes AS (SELECT {CHANGES} FROM events),
 lists AS (SELECT document_id, page_no, list({{'seq': seq, 'kind': kind, 'h': text_hash}} ORDER BY seq) AS it FROM changes GROUP BY 1, 2),
@@ -178,7 +191,8 @@ PROGRESS = {
     "document_status": "CASE WHEN event_type = 'purchase' THEN CASE event_id % 2 WHEN 0 THEN 'COMPLETE' ELSE 'PROCESSING' END END",
     "kind": "'change'",
 }
-QUERIES["d16_progress_stream"] = lambda s, d: appended(s, states.progress_stream(out_of_order(s, d, PROGRESS), f"{DELAY_DAYS} days"))
+QUERIES["d16_progress_stream"] = lambda s, d: fed(
+    s, *out_of_order(s, d, PROGRESS), lambda changes: states.progress_stream(changes, f"{DELAY_DAYS} days"), idle_batches=True)
 # A terminal status ends a run of snapshots; within a run each page shows its last state.
 ORACLES["d16_progress_stream"] = f"""
 WITH changes AS (SELECT {", ".join(f"{e} AS {c}" for c, e in PROGRESS.items())} FROM events),
