@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
@@ -14,6 +13,9 @@ from lettermill.functions.text import as_column
 # One code point is taken per match, so that no gram starts inside of one.
 GRAM = "(?s)(?=(.{%d}))."
 
+# From this length on a band of the distance table is cheaper than whole columns.
+BANDED = 2000
+
 
 def grams(value: Column | str, n: int = 3) -> Column:
     """All overlapping n-grams of a text, in order, in one linear pass."""
@@ -50,11 +52,58 @@ def trigram_similarity(a: Column | str, b: Column | str) -> Column:
     return F.get(F.transform(both, lambda pair: gram_similarity(pair["left"], pair["right"])), 0)
 
 
+def _places(a: Sequence) -> dict[object, int]:
+    """For each symbol, the places it has as the bits of a number."""
+    where: dict = {}
+    for i, symbol in enumerate(a):
+        where.setdefault(symbol, []).append(i)
+    masks = {}
+    for symbol, places in where.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in places:
+            bits[i >> 3] |= 1 << (i & 7)
+        masks[symbol] = int.from_bytes(bits, "little")
+    return masks
+
+
+def _banded_distance(size: int, masks: dict[object, int], b: Sequence, most: int) -> int:
+    """The edit distance if it is at most ``most``, otherwise a larger number than that.
+
+    An alignment that costs no more strays at most ``below`` and ``above`` from the diagonal. The bits
+    of a step are the cells of that band alone, which moves down by one cell a step (Hyyrö's method).
+    """
+    below, above = (most + size - len(b)) // 2, (most - size + len(b)) // 2
+    width = below + above + 1
+    full, last = (1 << width) - 1, width - 1
+    up, down, found = full ^ ((1 << above) - 1), 0, below
+    near: dict = {}
+    first, turn = -above, size - below
+    for i, symbol in enumerate(b):
+        # Cut out every so often what the next steps can see of each symbol's places.
+        if i % width == 0:
+            near, first = {}, i - above
+        if symbol not in near:
+            mask = masks.get(symbol, 0)
+            near[symbol] = (mask >> first if first >= 0 else mask << -first) & ((1 << 2 * width) - 1)
+        match = near[symbol] >> (i % width) & full
+        diagonal = ((((match & up) + up) ^ up) | match | down) & full
+        right, left = down | (full ^ (diagonal | up)), diagonal & up
+        if i < turn:
+            found += not diagonal >> last
+        else:
+            place = last - 1 - (i - turn)
+            found += (right >> place & 1) - (left >> place & 1)
+        shifted = diagonal >> 1
+        up, down = left | (full ^ (shifted | right)), shifted & right
+    return found
+
+
 def edit_distance(a: Sequence, b: Sequence) -> int:
     """Edit distance of two sequences by the published bit-parallel method of Myers.
 
     One column of the distance table is a pair of integers as wide as ``a``, so the cost is
-    len(b) steps on len(a) bits.
+    len(b) steps on len(a) bits. Long sequences are first compared in a band of the table, which
+    is doubled until the distance lies within it.
     """
     start = 0
     while start < min(len(a), len(b)) and a[start] == b[start]:
@@ -65,15 +114,14 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     a, b = a[start:len(a) - end], b[start:len(b) - end]
     if not a or not b:
         return len(a) + len(b)
-    where: dict = {}
-    for i, symbol in enumerate(a):
-        where.setdefault(symbol, []).append(i)
-    masks = {}
-    for symbol, places in where.items():
-        bits = bytearray(len(a) // 8 + 1)
-        for i in places:
-            bits[i >> 3] |= 1 << (i & 7)
-        masks[symbol] = int.from_bytes(bits, "little")
+    masks = _places(a)
+    if len(a) >= BANDED:
+        most = max(len(a) // 16, abs(len(a) - len(b)) + 64)
+        while most <= len(a) // 2:
+            found = _banded_distance(len(a), masks, b, most)
+            if found <= most:
+                return found
+            most *= 2
     full = (1 << len(a)) - 1
     up, down = full, 0
     for symbol in b:
@@ -86,15 +134,15 @@ def edit_distance(a: Sequence, b: Sequence) -> int:
     return len(b) + up.bit_count() - down.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def _char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int32")
+# Not Arrow: that hands over ten thousand rows at a time, however long their texts; this hands over a hundred.
+@F.udf(returnType=IntegerType(), useArrow=False)
+def _char_distance(a: str | None, b: str | None) -> int | None:
+    return None if a is None or b is None else edit_distance(a, b)
 
 
-@F.pandas_udf(IntegerType())
-def _word_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else edit_distance(x.split(), y.split()) for x, y in zip(a, b)],
-                     dtype="Int32")
+@F.udf(returnType=IntegerType(), useArrow=False)
+def _word_distance(a: str | None, b: str | None) -> int | None:
+    return None if a is None or b is None else edit_distance(a.split(), b.split())
 
 
 def char_distance(reference: Column | str, hypothesis: Column | str) -> Column:
