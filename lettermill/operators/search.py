@@ -237,16 +237,19 @@ def match_gram_index(queries: DataFrame, path: str) -> DataFrame:
     needed = pin(needed.select("query_id", "owner_id", "head", "gram", "offset", "rarity", "checks"))
 
     postings = index_store.read(spark, f"{path}/grams", needed.select("head").union(pairs.select("head")), "head")
-    at = [*PAGE, (F.col("position") - F.col("offset")).alias("start")]
     look_up = lambda part: postings.join(broadcast_if_small(part), ["owner_id", "head", "gram"])
-    starts = pin(look_up(needed.filter("rarity = 1")).select("query_id", "checks", *at).filter("start >= 0"))
-    rest = look_up(needed.filter("rarity > 1")).select("query_id", *at)
+    start = (F.col("position") - F.col("offset")).alias("start")
+    # Queries of two and three characters match wherever their only gram is: places are left out before
+    # queries are joined, so that nothing as large as the matches is shuffled.
+    whole = needed.filter("checks = 0").select("query_id", "owner_id", "head", "gram")
+    of_pages = postings.select("owner_id", "head", "gram", *PAGE).distinct().join(broadcast_if_small(whole), ["owner_id", "head", "gram"])
+    heads = postings.select("owner_id", "head", *PAGE).distinct().join(broadcast_if_small(pairs), ["owner_id", "head"])
+    starts = pin(look_up(needed.filter("rarity = 1 AND checks > 0")).select("query_id", "checks", *PAGE, start).filter("start >= 0"))
+    rest = look_up(needed.filter("rarity > 1")).select("query_id", *PAGE, start)
     place = ["query_id", *PAGE, "start"]
-    aligned = rest.join(broadcast_if_small(starts.filter("checks > 0")), place).groupBy(*place, "checks").agg(
-        F.count(F.lit(1)).alias("n")).filter("n = checks")
-    short = postings.join(broadcast_if_small(pairs), ["owner_id", "head"])
-    return starts.filter("checks = 0").select("query_id", *PAGE).union(aligned.select("query_id", *PAGE)).union(
-        short.select("query_id", *PAGE)).distinct()
+    aligned = rest.join(broadcast_if_small(starts), place).groupBy(*place, "checks").agg(F.count(F.lit(1)).alias("n")).filter("n = checks")
+    # Each query has one length, so the three kinds of matches share none.
+    return of_pages.select("query_id", *PAGE).union(aligned.select("query_id", *PAGE).distinct()).union(heads.select("query_id", *PAGE))
 
 
 def contains_text(text: Column | str, q: Column | str) -> Column:

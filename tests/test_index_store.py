@@ -96,3 +96,14 @@ def test_search_uses_a_stored_gram_index(spark, tmp_path):
     sr.create_gram_index(pages, docs, str(tmp_path))
     plain, stored = (sorted(map(str, sr.search(q, pages, docs, grams_path=g).collect())) for g in (None, str(tmp_path)))
     assert plain == stored and len(plain) == 2
+
+
+def test_matches_of_short_queries_are_not_shuffled(spark, letters, tmp_path):
+    docs, rows = letters
+    pages = spark.createDataFrame(rows, "document_id int, page_no int, original_text string")
+    sr.create_gram_index(pages, docs, str(tmp_path))
+    queries = [(1, "o0", "aa"), (2, "o0", "aaa"), (3, "o0", "aab"), (4, "o0", "aaaa")]
+    matched = sr.match_gram_index(spark.createDataFrame(queries, "query_id int, owner_id string, q string"), str(tmp_path))
+    # Nothing is aggregated above the union of the three kinds of queries.
+    assert matched._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    assert found(matched) == brute(rows, queries)
