@@ -242,14 +242,18 @@ def match_gram_index(queries: DataFrame, path: str) -> DataFrame:
     # Queries of two and three characters match wherever their only gram is: places are left out before
     # queries are joined, so that nothing as large as the matches is shuffled.
     whole = needed.filter("checks = 0").select("query_id", "owner_id", "head", "gram")
-    of_pages = postings.select("owner_id", "head", "gram", *PAGE).distinct().join(broadcast_if_small(whole), ["owner_id", "head", "gram"])
-    heads = postings.select("owner_id", "head", *PAGE).distinct().join(broadcast_if_small(pairs), ["owner_id", "head"])
+    def on_pages(part: DataFrame, keys: list[str]) -> DataFrame:
+        wanted = broadcast_if_small(part.select(*keys).distinct())
+        placeless = postings.join(wanted, keys, "left_semi").select(*keys, *PAGE).distinct()
+        return placeless.join(broadcast_if_small(part), keys).select("query_id", *PAGE)
+
+    of_pages, heads = on_pages(whole, ["owner_id", "head", "gram"]), on_pages(pairs, ["owner_id", "head"])
     starts = pin(look_up(needed.filter("rarity = 1 AND checks > 0")).select("query_id", "checks", *PAGE, start).filter("start >= 0"))
     rest = look_up(needed.filter("rarity > 1")).select("query_id", *PAGE, start)
     place = ["query_id", *PAGE, "start"]
     aligned = rest.join(broadcast_if_small(starts), place).groupBy(*place, "checks").agg(F.count(F.lit(1)).alias("n")).filter("n = checks")
     # Each query has one length, so the three kinds of matches share none.
-    return of_pages.select("query_id", *PAGE).union(aligned.select("query_id", *PAGE).distinct()).union(heads.select("query_id", *PAGE))
+    return of_pages.union(aligned.select("query_id", *PAGE).distinct()).union(heads)
 
 
 def contains_text(text: Column | str, q: Column | str) -> Column:
