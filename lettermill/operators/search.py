@@ -26,6 +26,9 @@ WORD_WITH_REST = "[\\p{L}\\p{M}\\p{N}]+[^\\p{L}\\p{M}\\p{N}]*"
 QUERY_PIECE = '-?"[^"]*"?|[^\\s"]+'
 PAGE = ["document_id", "page_no"]
 
+# Queries and their terms are a few dozen bytes each: more of them are broadcast than of other rows, but no more bytes.
+NARROW_ROWS = 1_000_000
+
 
 def words(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(as_column(text)), F.lit(WORD), 0)
@@ -123,12 +126,41 @@ def parse_queries(queries: DataFrame, english: bool = True) -> DataFrame:
     return terms.withColumn("piece_terms", F.count(F.lit(1)).over(by_piece)).withColumn("needed", needed)
 
 
+def _hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """Postings of each term on the pages where its clause may still match.
+
+    Only the rarest required word of a clause is looked up everywhere, and the words of clauses made of
+    negations only. The other words, negated ones too, are looked up on the pages that it leads to.
+    """
+    words_of = terms.select("owner_id", "token").distinct()
+    wanted = pin(postings.join(broadcast_if_small(words_of, NARROW_ROWS), ["owner_id", "token"], "left_semi"))
+    counts = wanted.groupBy("owner_id", "token").agg(F.count(F.lit(1)).alias("postings"))
+    rarity = F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "token")
+    required = terms.filter(~F.col("negated")).join(broadcast_if_small(counts, NARROW_ROWS), ["owner_id", "token"], "left")
+    leads = required.groupBy("query_id", "clause").agg(F.min(rarity).alias("lead")).filter("lead.postings > 0").select(
+        "query_id", "clause", F.col("lead.token").alias("lead"))
+    led = pin(terms.join(leads, ["query_id", "clause"], "left").filter("needed = 0 OR lead IS NOT NULL").withColumn(
+        "leads", F.coalesce(F.col("lead") == F.col("token"), F.lit(True))).drop("lead"))
+
+    of_term = ["query_id", "clause", "piece", "negated", "needed", "piece_terms", "offset", *PAGE, "position"]
+    look_up = lambda part: wanted.join(broadcast_if_small(part, NARROW_ROWS), ["owner_id", "token"])
+    others = led.filter(~F.col("leads")).drop("owner_id")
+    followed = led.filter("leads AND needed > 0 AND NOT negated").join(
+        others.select("query_id", "clause").distinct(), ["query_id", "clause"], "left_semi")
+    on_pages = look_up(followed.select("query_id", "clause", "owner_id", "token").distinct()).select("query_id", "clause", *PAGE).distinct()
+    rest = on_pages.join(broadcast_if_small(others, NARROW_ROWS), ["query_id", "clause"]).join(
+        wanted.select(*PAGE, "token", "position"), [*PAGE, "token"])
+    return look_up(led.filter("leads")).select(*of_term).unionByName(rest.select(*of_term))
+
+
 def match_translated(terms: DataFrame, postings: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that satisfy a clause of their query, with text rank and first hit.
 
     ``pages`` (``owner_id, document_id, page_no``) serves clauses made of negations only.
     """
-    hits = postings.join(broadcast_if_small(terms), ["owner_id", "token"])
+    terms = pin(terms)
+    # Dealt out once; every grouping below has these keys.
+    hits = _hits(terms, postings).repartition("query_id", *PAGE)
     # A phrase is satisfied where all its terms agree on where it starts.
     start = F.when(F.col("piece_terms") > 1, F.col("position") - F.col("offset"))
     found = hits.groupBy("query_id", "clause", "piece", "negated", "needed", "piece_terms", *PAGE,
@@ -305,12 +337,16 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
     A page found on both sides counts as TRANSLATED. Rank falls, then page number rises,
     then the document decides. With ``grams_path`` original texts are searched in that stored index.
     """
-    valid = validate_queries(queries).filter(F.col("reject_reason").isNull())
+    valid = pin(validate_queries(queries).filter(F.col("reject_reason").isNull()).select(
+        "query_id", "owner_id", "q", "tag", "year", "limit"))
+    # Queries that differ in nothing but their limit are ranked once, and each text of an owner is matched once.
+    asks = pin(valid.groupBy("owner_id", "q", "tag", "year").agg(F.min("query_id").alias("ask")))
+    forms = asks.groupBy("owner_id", "q").agg(F.min("ask").alias("query_id"))
     owned = pages.join(docs.select("document_id", "owner_id"), "document_id")
     postings = postings if postings is not None else build_index(pages, docs, english)
-    translated = match_translated(parse_queries(valid, english), postings, owned).withColumn(
+    translated = match_translated(parse_queries(forms, english), postings, owned).withColumn(
         "in_translation", F.lit(True))
-    in_original = match_gram_index(valid, grams_path) if grams_path else match_original(valid, owned)
+    in_original = match_gram_index(forms, grams_path) if grams_path else match_original(forms, owned)
     original = in_original.select(
         "query_id", *PAGE, F.lit(0.0).alias("text_rank"), F.lit(None).cast("int").alias("first_hit"),
         F.lit(False).alias("in_translation"))
@@ -318,24 +354,49 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
         F.max("text_rank").alias("text_rank"), F.min("first_hit").alias("first_hit"),
         F.bool_or("in_translation").alias("in_translation"))
     facts = docs.select("document_id", "title", F.col("year").alias("doc_year"), "tags")
-    asked = valid.select("query_id", "q", "tag", "year", "limit", trigrams("q").alias("_q_grams"))
-    filters = valid.select("query_id", "tag", "year")
-    scoped = pin(found.join(filters, "query_id").join(facts.select("document_id", "doc_year", "tags"), "document_id").filter(
+    filters = asks.join(forms, ["owner_id", "q"]).select("query_id", "ask", "tag", "year")
+    scoped = pin(found.join(broadcast_if_small(filters, NARROW_ROWS), "query_id").join(
+        broadcast_if_small(facts.select("document_id", "doc_year", "tags"), NARROW_ROWS), "document_id").filter(
         (F.col("tag").isNull() | F.array_contains("tags", F.col("tag")))
-        & (F.col("year").isNull() | (F.col("doc_year") == F.col("year")))).select(*found.columns))
-    # Trigrams are made once per matched page and once per query, and no text takes part in ranking.
-    shown = pages.join(broadcast_if_small(scoped.select(*PAGE).distinct()), PAGE, "left_semi")
-    page_grams = shown.select(*PAGE, trigrams("original_text").alias("_page_grams"))
+        & (F.col("year").isNull() | (F.col("doc_year") == F.col("year")))).select(
+        "ask", *PAGE, "text_rank", "first_hit", "in_translation"))
+    near = pin(_within_reach(scoped, asks, pages))
+    # Trigrams are made once per page that may be among the best and once per query, and no text takes part in ranking.
     similarity = gram_similarity("_page_grams", "_q_grams", short_right=True)
-    ranked = scoped.join(asked.drop("tag", "year"), "query_id").join(facts, "document_id").join(page_grams, PAGE).withColumn(
+    ranked = near.join(_page_grams(pages, near), PAGE).join(broadcast_if_small(asks.select("ask", trigrams("q").alias("_q_grams")), NARROW_ROWS), "ask").withColumn(
         "rank", F.round(F.col("text_rank") + similarity, 6)).drop("_page_grams", "_q_grams")
-    order = Window.partitionBy("query_id").orderBy(F.desc("rank"), "page_no", "document_id")
+    order = Window.partitionBy("ask").orderBy(F.desc("rank"), "page_no", "document_id")
     # The constant bound lets each task keep its own best before the shuffle.
     top = ranked.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= MAX_LIMIT)
     texts = pages.select(*PAGE, "original_text", "translated_text")
-    return top.filter(F.col("place") <= F.col("limit")).join(texts, PAGE).select(
-        "query_id", "place", "document_id", "title", F.col("doc_year").alias("year"), "tags", "page_no",
+    hits = top.join(asks.select("ask", "q"), "ask").join(texts, PAGE).join(facts, "document_id").select(
+        "ask", "place", "document_id", "title", F.col("doc_year").alias("year"), "tags", "page_no",
         F.when(F.col("in_translation"), "TRANSLATED").otherwise("ORIGINAL").alias("matched_in"),
         F.when(F.col("in_translation"), snippet_translated("translated_text", "first_hit"))
         .otherwise(snippet_original("original_text", "q")).alias("snippet"),
         "rank")
+    same = [valid[c].eqNullSafe(asks[c]) for c in ("owner_id", "q", "tag", "year")]
+    askers = valid.join(asks, same).select("query_id", "ask", "limit")
+    return hits.join(askers, "ask").filter(F.col("place") <= F.col("limit")).select("query_id", *hits.drop("ask").columns)
+
+
+def _page_grams(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """Trigrams of the original text of the found pages, made where a join by page meets them."""
+    shown = pages.select(*PAGE, "original_text").join(broadcast_if_small(found.select(*PAGE).distinct()), PAGE, "left_semi")
+    return shown.repartition(*PAGE).select(*PAGE, trigrams("original_text").alias("_page_grams"))
+
+
+def _within_reach(scoped: DataFrame, asks: DataFrame, pages: DataFrame) -> DataFrame:
+    """Leave out pages that can't be among the best of a query, whatever their similarity.
+
+    Similarity adds at most the smaller over the larger number of trigrams. A page that doesn't get to the
+    text rank of the query's 50th page with that is behind 50 others; the margin is for rounding to six digits.
+    """
+    by_text = Window.partitionBy("ask").orderBy(F.desc("text_rank"))
+    best = scoped.select("ask", "text_rank").withColumn("place", F.row_number().over(by_text)).filter(F.col("place") <= MAX_LIMIT)
+    bars = best.groupBy("ask").agg(F.when(F.count(F.lit(1)) == MAX_LIMIT, F.min("text_rank")).alias("_bar"))
+    of_ask = asks.select("ask", F.size(trigrams("q")).alias("_q_size")).join(bars, "ask")
+    sizes = _page_grams(pages, scoped).select(*PAGE, F.size(F.coalesce("_page_grams", F.array())).alias("_page_size"))
+    reach = F.col("text_rank") + F.least("_page_size", "_q_size") / F.greatest("_page_size", "_q_size", F.lit(1))
+    return scoped.join(broadcast_if_small(of_ask, NARROW_ROWS), "ask").join(broadcast_if_small(sizes, NARROW_ROWS), PAGE).filter(
+        F.col("_bar").isNull() | (reach >= F.col("_bar") - 2e-6)).select(*scoped.columns)

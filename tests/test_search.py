@@ -101,3 +101,39 @@ def test_small_means_few_rows_and_few_bytes(spark):
     assert joins.is_small(df) and joins.is_small(df, rows=2, size=1100)
     assert not joins.is_small(df, rows=1) and not joins.is_small(df, size=1000)
     assert joins.is_small(df.limit(0), rows=0, size=0)
+
+
+def test_common_words_are_looked_up_only_where_the_rarest_leads(spark):
+    rows = [("o1", 1, page, 0, "letter") for page in range(100)] + [("o1", 1, 7, 1, "monsoon"), ("o1", 1, 8, 1, "monsoon"), ("o1", 1, 8, 2, "river")]
+    postings = spark.createDataFrame(rows, "owner_id string, document_id int, page_no int, position int, token string")
+    pages = postings.select("owner_id", "document_id", "page_no").distinct()
+
+    def asked(q):
+        return sr.parse_queries(spark.createDataFrame([(1, "o1", q)], "query_id int, owner_id string, q string"), english=False)
+
+    for q, looked_up, matched in [("letter monsoon", 4, {7, 8}), ("monsoon letter -river", 5, {7}), ('"letter monsoon"', 4, {7, 8}),
+                                  ("letter absent", 0, set()), ("letter -river", 101, set(range(100)) - {8}), ("-letter", 100, set()),
+                                  ("monsoon river or absent letter", 2, {8}), ("monsoon or river -monsoon", 4, {7, 8})]:
+        assert sr._hits(asked(q), postings).count() == looked_up, q
+        assert {r["page_no"] for r in sr.match_translated(asked(q), postings, pages).collect()} == matched, q
+
+
+def test_only_pages_within_reach_are_compared(spark):
+    docs = spark.createDataFrame([(1, "o1", "First", 1980, ["family"])], "document_id int, owner_id string, title string, year int, tags array<string>")
+    # Sixty pages with the word twice, two hundred with it once; of these one is close enough to overtake.
+    texts = [(1, i, "a page with many other words " * 3 + str(i), "dog dog") for i in range(60)] + [
+        (1, i, "dog" if i == 99 else f"long text about something else altogether, number {i}", "dog") for i in range(60, 260)]
+    pages = spark.createDataFrame(texts, "document_id int, page_no int, original_text string, translated_text string")
+    queries = spark.createDataFrame([(1, "o1", "dog", None, None, 50), (2, "o1", "dog", None, None, 3), (3, "o1", "dog", None, None, None), (4, "o1", "dog", "work", None, None)],
+                                    "query_id int, owner_id string, q string, tag string, year int, limit int")
+    compared = []
+    reach = sr._within_reach
+    sr._within_reach = lambda *args: compared.append(reach(*args)) or compared[-1]
+    try:
+        rows = sr.search(queries, pages, docs).collect()
+    finally:
+        sr._within_reach = reach
+    # One query is ranked for the three that differ in their limit, over the pages that can be among its best.
+    assert {r["page_no"] for r in compared[0].collect()} == {*range(60), 99} and compared[0].count() == 61
+    found = lambda q: [r["page_no"] for r in sorted(rows, key=lambda r: r["place"]) if r["query_id"] == q]
+    assert found(1)[0] == 99 and len(found(1)) == 50 and found(2) == found(1)[:3] and found(3) == found(1)[:20] and found(4) == []
