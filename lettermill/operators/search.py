@@ -11,8 +11,8 @@ from pyspark.sql.types import StructType
 from lettermill.functions.similarity import gram_similarity, grams, trigrams
 from lettermill.functions.stemming import STOP_WORDS, stem
 from lettermill.functions.text import as_column, escape_like
-from lettermill.operators import index_store
-from lettermill.operators.joins import broadcast_if_small, is_small
+from lettermill.operators import index_store, joins
+from lettermill.operators.joins import broadcast_if_small
 from lettermill.session import pin
 
 # Query limits and snippet sizes.
@@ -28,6 +28,8 @@ PAGE = ["document_id", "page_no"]
 
 # Queries and their terms are a few dozen bytes each: more of them are broadcast than of other rows, but no more bytes.
 NARROW_ROWS = 1_000_000
+# Lengths of the n-grams by which queries find the pages that may contain them.
+PROBES = (2, 3, 5, 8)
 
 
 def words(text: Column | str) -> Column:
@@ -189,25 +191,33 @@ def text_rank(hits: Column | str) -> Column:
     return F.log1p(as_column(hits).cast("double"))
 
 
+def is_small(forms: DataFrame) -> bool:
+    return joins.is_small(forms, NARROW_ROWS)
+
+
 def match_original(queries: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages whose original text contains the query, case-insensitively and literally.
 
-    A page can only contain the query if it contains the query's first three characters (or
-    both of a two-character query). That equi-join on (owner, n-gram) finds candidates; no
-    query is compared with every page. A query batch of checked size is broadcast and the
-    pages are scanned once; a larger one is joined on narrow rows before texts are fetched.
+    A page can only contain the query if it contains the query's first characters, as many as the largest
+    of ``PROBES`` that fits. That equi-join on (owner, n-gram) finds candidates; no query is compared with
+    every page, and a query that is its own gram needs no further look. Queries of one text are matched once;
+    only the rows of the result are as many as matches. Distinct queries of checked size are broadcast and the
+    pages are scanned once; larger batches are joined on narrow rows before texts are fetched.
     """
-    wanted = queries.filter(F.length("q") >= MIN_QUERY).select(
-        "query_id", "owner_id", F.col("q"), F.substring(F.lower("q"), 1, 3).alias("gram"))
-    sizes = F.array(*(F.array_distinct(grams(F.lower("original_text"), n)) for n in (2, 3)))
-    gram = F.explode(F.flatten(sizes)).alias("gram")
-    if is_small(wanted):
-        probes = pages.select("owner_id", *PAGE, "original_text", gram)
-        candidates = probes.join(F.broadcast(wanted), ["owner_id", "gram"])
+    asked = queries.filter(F.length("q") >= MIN_QUERY).select("query_id", "owner_id", F.lower("q").alias("q"))
+    gram = F.coalesce(*(F.when(F.length("q") >= n, F.substring("q", 1, n)) for n in reversed(PROBES)))
+    forms = pin(asked.groupBy("owner_id", "q").agg(F.min("query_id").alias("form")).withColumn("gram", gram))
+    texts = pages.select("owner_id", *PAGE, F.lower("original_text").alias("text"))
+    probe = F.explode(F.flatten(F.array(*(F.array_distinct(grams("text", n)) for n in PROBES)))).alias("gram")
+    if is_small(forms):
+        candidates = texts.select("owner_id", *PAGE, "text", probe).join(F.broadcast(forms), ["owner_id", "gram"])
     else:
-        narrow = pages.select("owner_id", *PAGE, gram).join(wanted, ["owner_id", "gram"])
-        candidates = narrow.join(pages.select(*PAGE, "original_text"), PAGE)
-    return candidates.filter(contains_text("original_text", "q")).select("query_id", *PAGE)
+        wanted = broadcast_if_small(forms.select("owner_id", "gram").distinct())
+        narrow = texts.select("owner_id", *PAGE, probe).join(wanted, ["owner_id", "gram"], "left_semi").join(forms, ["owner_id", "gram"])
+        candidates = narrow.join(texts.select(*PAGE, "text"), PAGE)
+    matched = candidates.filter((F.col("gram") == F.col("q")) | F.contains("text", "q")).select("form", *PAGE)
+    askers = asked.join(forms, ["owner_id", "q"]).select("form", "query_id")
+    return matched.join(broadcast_if_small(askers, NARROW_ROWS), "form").select("query_id", *PAGE)
 
 
 def gram_postings(pages: DataFrame, docs: DataFrame) -> DataFrame:

@@ -137,3 +137,27 @@ def test_only_pages_within_reach_are_compared(spark):
     assert {r["page_no"] for r in compared[0].collect()} == {*range(60), 99} and compared[0].count() == 61
     found = lambda q: [r["page_no"] for r in sorted(rows, key=lambda r: r["place"]) if r["query_id"] == q]
     assert found(1)[0] == 99 and len(found(1)) == 50 and found(2) == found(1)[:3] and found(3) == found(1)[:20] and found(4) == []
+
+
+def test_queries_of_one_text_are_matched_once(spark, corpus, monkeypatch):
+    docs, pages = corpus
+    owned = pages.join(docs.select("document_id", "owner_id"), "document_id")
+    queries = spark.createDataFrame([(i, "o1", "Mixed CASE" if i % 2 else "mixed case") for i in range(50)], "query_id int, owner_id string, q string")
+    tried = []
+    monkeypatch.setattr(sr, "is_small", lambda df: tried.append(df.collect()) or True)
+    assert sorted(tuple(r) for r in sr.match_original(queries, owned).collect()) == [(i, 2, 1) for i in range(50)]
+    # Candidates have the first eight characters, not only three.
+    assert [(r["q"], r["gram"]) for r in tried[0]] == [("mixed case", "mixed ca")]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_queries_of_all_lengths_are_found_as_by_brute_force(spark, monkeypatch, small):
+    texts = {i: ("ab ABa\nbä" * 3)[i % 7:][:i] + "पत्र 100% है"[: i % 5] for i in range(24)}
+    pages = spark.createDataFrame([("o1", i, 1, t) for i, t in texts.items()] + [("o2", 99, 1, texts[20]), ("o1", 98, 1, None)],
+                                  "owner_id string, document_id int, page_no int, original_text string")
+    asked = {100 * n + k: (texts[20] * 2)[k:k + n].upper() for n in range(1, 14) for k in range(6)}
+    queries = spark.createDataFrame([(i, "o1", q) for i, q in asked.items()] + [(5000, "o1", None)], "query_id int, owner_id string, q string")
+    monkeypatch.setattr(sr, "is_small", lambda df: small)
+    expected = {(i, d) for i, q in asked.items() if len(q) >= 2 for d, t in texts.items() if q.lower() in t.lower()}
+    rows = sr.match_original(queries, pages).collect()
+    assert {(r["query_id"], r["document_id"]) for r in rows} == expected and len(rows) == len(expected) > 200
