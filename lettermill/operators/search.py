@@ -207,7 +207,9 @@ def match_original(queries: DataFrame, pages: DataFrame) -> DataFrame:
     asked = queries.filter(F.length("q") >= MIN_QUERY).select("query_id", "owner_id", F.lower("q").alias("q"))
     gram = F.coalesce(*(F.when(F.length("q") >= n, F.substring("q", 1, n)) for n in reversed(PROBES)))
     forms = pin(asked.groupBy("owner_id", "q").agg(F.min("query_id").alias("form")).withColumn("gram", gram))
-    texts = pages.select("owner_id", *PAGE, F.lower("original_text").alias("text"))
+    # A fixed number of parts: making the grams takes long for the few bytes that partitions are merged by.
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = pages.select("owner_id", *PAGE, F.lower("original_text").alias("text")).repartition(parts, *PAGE)
     probe = F.explode(F.flatten(F.array(*(F.array_distinct(grams("text", n)) for n in PROBES)))).alias("gram")
     if is_small(forms):
         candidates = texts.select("owner_id", *PAGE, "text", probe).join(F.broadcast(forms), ["owner_id", "gram"])
