@@ -181,7 +181,7 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
     # One row per node; at most MAX_NODES.
     nodes = {r["node"]: r for r in assigned.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}
     data = _blocks(assigned, "node")
-    asked = _blocks(assigned.filter("is_query"), "group").withColumnsRenamed({"node": "group", "block": "part", "ids": "q_ids", "vectors": "q_vectors"})
+    asked = _blocks(assigned.filter("is_query"), "group").withColumnsRenamed({"node": "group", "block": "part"})
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each group of queries the nodes that may hold one of its best, and its kth scores so far."""
@@ -200,15 +200,20 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
                     if bound(best.tree, top) >= worst:
                         kept.append(node)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([group] * len(kept), pa.int32()), pa.array([part] * len(kept), pa.int64()), pa.array(kept, pa.int32()),
-                    pa.array([ids] * len(kept), pa.binary()), pa.array([vectors] * len(kept), pa.binary()),
-                    pa.array([best.least.tobytes()] * len(kept), pa.binary())],
-                    names=["group", "part", "node", "q_ids", "q_vectors", "least"])
+                    pa.array([group], pa.int32()), pa.array([part], pa.int64()), pa.array([kept], pa.list_(pa.int32())),
+                    pa.array([ids], pa.binary()), pa.array([vectors], pa.binary()), pa.array([best.least.tobytes()], pa.binary())],
+                    names=["group", "part", "nodes", "ids", "vectors", "least"])
 
-    chosen = asked.mapInArrow(choose, "group int, part long, node int, q_ids binary, q_vectors binary, least binary")
+    chosen = written(asked.mapInArrow(choose, "group int, part long, nodes array<int>, ids binary, vectors binary, least binary"))
     blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = chosen.join(data, "node").withColumn("slice", F.pmod(F.xxhash64("node", "block"), F.lit(SLICES)))
-    dealt = pairs.repartition(blocks, "group", "part", "slice").sortWithinPartitions("group", "part", "slice")
+    # Vectors of queries go once to each slice, not along with each node. Never broadcast: packed rows are far larger than Spark reckons.
+    wanted = chosen.select("group", "part", F.explode("nodes").alias("node")).hint("merge")
+    slice_ = F.pmod(F.xxhash64("node", "block"), F.lit(SLICES)).cast("int")
+    pairs = wanted.join(data.hint("merge"), "node").select(
+        "group", "part", slice_.alias("slice"), F.lit(None).cast("binary").alias("least"), "ids", "vectors")
+    questions = chosen.select("group", "part", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"), "least", "ids", "vectors")
+    order = F.asc_nulls_last("least")
+    dealt = questions.unionByName(pairs).repartition(blocks, "group", "part", "slice").sortWithinPartitions("group", "part", "slice", order)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The best of each query within a group's slice of blocks."""
@@ -221,21 +226,22 @@ def top_k(df: DataFrame, queries: Column, key: str = "vec_id", vector: str = "em
             return pa.RecordBatch.from_arrays([pa.array(best.ids[best.query[order]]), pa.array(best.found[order]), pa.array(best.score[order])],
                                               names=["query_id", "vec_id", "score"])
 
-        now, best = None, None
+        best = None
         for batch in batches:
             for i in range(batch.num_rows):
-                group, part, slice_, q_ids, q_vectors, least, ids, vectors = (c[i].as_py() for c in batch.columns)
-                if (group, part, slice_) != now:
-                    if best is not None:
-                        yield out(best)
-                    now = (group, part, slice_)
-                    best = Best(np.frombuffer(q_ids, "<i8"), _matrix(q_vectors, dim, wide), k, np.frombuffer(least).copy())
-                m = _matrix(vectors, dim, wide)
-                best.search(np.frombuffer(ids, "<i8"), m, Node(m.astype(np.float64)))
+                least, ids, vectors = (c[i].as_py() for c in batch.columns)
+                ids, m = np.frombuffer(ids, "<i8"), _matrix(vectors, dim, wide)
+                if least is None:
+                    best.search(ids, m, Node(m.astype(np.float64)))
+                    continue
+                # The queries of a slice stand before its blocks.
+                if best is not None:
+                    yield out(best)
+                best = Best(ids, m, k, np.frombuffer(least).copy())
         if best is not None:
             yield out(best)
 
-    found = dealt.select("group", "part", "slice", "q_ids", "q_vectors", "least", "ids", "vectors").mapInArrow(
+    found = dealt.select("least", "ids", "vectors").mapInArrow(
         search, "query_id long, vec_id long, score long")
     # At most k rows per id of queries, part and slice are left to rank.
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)

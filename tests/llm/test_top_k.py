@@ -84,3 +84,18 @@ def test_trees_cover_every_row_once(n):
         return [node.places] if not node.children else [p for c in node.children for p in leaves(c)]
 
     assert sorted(np.concatenate(leaves(tk.Node(points)))) == list(range(n))
+
+
+def test_vectors_are_never_broadcast(spark):
+    """Packed rows repeat under a small estimate, so a broadcast of them would grow with the queries in the driver."""
+    rows = spark.range(3000).selectExpr("id AS vec_id", "transform(sequence(1, 8), i -> sin(id * i)) AS embedding")
+    ranked = tk.top_k(rows, F.col("id") % 100 == 0)
+    assert ranked.count() == 300
+    ranked.collect()
+    plan = ranked._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+    for i, line in enumerate(plan):
+        if "BroadcastExchange" in line:
+            below = next((j for j in range(i + 1, len(plan)) if depth(plan[j]) <= depth(line)), len(plan))
+            assert not any("vectors" in x for x in plan[i:below]), plan[i:below]
+    assert any("SortMergeJoin" in x for x in plan)
