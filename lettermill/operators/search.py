@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -128,62 +129,155 @@ def parse_queries(queries: DataFrame, english: bool = True) -> DataFrame:
     return terms.withColumn("piece_terms", F.count(F.lit(1)).over(by_piece)).withColumn("needed", needed)
 
 
-def _hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """Postings of each term on the pages where its clause may still match.
+def _page_words(terms: DataFrame, postings: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """One row per page with the places of each word on it that a query has; ``listed`` if it is one of ``pages``.
 
-    Only the rarest required word of a clause is looked up everywhere, and the words of clauses made of
-    negations only. The other words, negated ones too, are looked up on the pages that it leads to.
+    Dealt out by page, into a fixed number of parts: what is found on a page is worked out where its row is, so
+    only words move, and never matches.
     """
     words_of = terms.select("owner_id", "token").distinct()
-    wanted = pin(postings.join(broadcast_if_small(words_of, NARROW_ROWS), ["owner_id", "token"], "left_semi"))
-    counts = wanted.groupBy("owner_id", "token").agg(F.count(F.lit(1)).alias("postings"))
-    rarity = F.struct(F.coalesce("postings", F.lit(0)).alias("postings"), "token")
-    required = terms.filter(~F.col("negated")).join(broadcast_if_small(counts, NARROW_ROWS), ["owner_id", "token"], "left")
-    leads = required.groupBy("query_id", "clause").agg(F.min(rarity).alias("lead")).filter("lead.postings > 0").select(
-        "query_id", "clause", F.col("lead.token").alias("lead"))
-    led = pin(terms.join(leads, ["query_id", "clause"], "left").filter("needed = 0 OR lead IS NOT NULL").withColumn(
-        "leads", F.coalesce(F.col("lead") == F.col("token"), F.lit(True))).drop("lead"))
-
-    of_term = ["query_id", "clause", "piece", "negated", "needed", "piece_terms", "offset", *PAGE, "position"]
-    look_up = lambda part: wanted.join(broadcast_if_small(part, NARROW_ROWS), ["owner_id", "token"])
-    others = led.filter(~F.col("leads")).drop("owner_id")
-    followed = led.filter("leads AND needed > 0 AND NOT negated").join(
-        others.select("query_id", "clause").distinct(), ["query_id", "clause"], "left_semi")
-    on_pages = look_up(followed.select("query_id", "clause", "owner_id", "token").distinct()).select("query_id", "clause", *PAGE).distinct()
-    rest = on_pages.join(broadcast_if_small(others, NARROW_ROWS), ["query_id", "clause"]).join(
-        wanted.select(*PAGE, "token", "position"), [*PAGE, "token"])
-    return look_up(led.filter("leads")).select(*of_term).unionByName(rest.select(*of_term))
+    wanted = postings.join(broadcast_if_small(words_of, NARROW_ROWS), ["owner_id", "token"], "left_semi").select(
+        "owner_id", *PAGE, "token", "position")
+    if pages is not None:
+        wanted = wanted.unionByName(pages.select("owner_id", *PAGE), allowMissingColumns=True)
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_word = wanted.repartition(parts, *PAGE).groupBy("owner_id", *PAGE, "token").agg(F.sort_array(F.collect_list("position")).alias("at"))
+    word = F.when(F.col("token").isNotNull(), F.struct("token", "at"))
+    return pin(by_word.groupBy("owner_id", *PAGE).agg(
+        F.map_from_entries(F.collect_list(word)).alias("places"), F.bool_or(F.col("token").isNull()).alias("listed")))
+
+
+def _forms(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """Queries of the same terms as one row, ``form``, with the clauses that can match and the ``asks`` that want it.
+
+    A clause lists its pieces, a piece its words with the number of pages they are on. ``open`` forms have a clause
+    of negations only. Clauses with a required word that no page of the owner has are left out.
+    """
+    on_pages = words.select("owner_id", F.explode(F.map_keys("places")).alias("token")).groupBy("owner_id", "token").agg(
+        F.count(F.lit(1)).alias("pages"))
+    # A query has at most 200 characters, so these groups are small.
+    pieces = terms.join(broadcast_if_small(on_pages, NARROW_ROWS), ["owner_id", "token"], "left").groupBy(
+        "query_id", "owner_id", "clause", "piece", "negated").agg(F.sort_array(F.collect_list(F.struct("offset", "token", "pages"))).alias("words"))
+    clauses = pieces.groupBy("query_id", "owner_id", "clause").agg(F.sort_array(F.collect_list(F.struct("negated", "words"))).alias("pieces"))
+    # Pieces with a word that is nowhere stand for nothing to find: required ones end their clause, negated ones hold.
+    somewhere = lambda piece: F.forall(piece["words"], lambda w: w["pages"].isNotNull())
+    clauses = clauses.filter(F.forall("pieces", lambda piece: piece["negated"] | somewhere(piece))).select(
+        "query_id", "owner_id", F.filter("pieces", somewhere).alias("pieces"),
+        F.forall("pieces", lambda piece: piece["negated"]).alias("open"))
+    queries = clauses.groupBy("query_id", "owner_id").agg(F.sort_array(F.collect_set(F.struct("open", "pieces"))).alias("clauses"))
+    forms = queries.groupBy("owner_id", "clauses").agg(F.min("query_id").alias("form"), F.collect_list("query_id").alias("asks"))
+    return pin(forms.withColumn("open", F.exists("clauses", lambda clause: clause["open"])))
+
+
+def _rarest(words: Column) -> Column:
+    return F.array_min(F.transform(words, lambda w: F.struct(w["pages"], w["token"])))["token"]
+
+
+def _led(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pages that may match a clause: those with the rarest of its required words. ``nth`` is the clause's place."""
+    required = F.flatten(F.transform(F.filter(F.col("clause")["pieces"], lambda piece: ~piece["negated"]), lambda piece: piece["words"]))
+    leads = forms.filter("NOT open").select("owner_id", "form", "clauses", "asks", F.posexplode("clauses").alias("nth", "clause")).withColumn(
+        "token", _rarest(required)).drop("clause")
+    return words.select("*", F.explode(F.map_keys("places")).alias("token")).join(F.broadcast(leads), ["owner_id", "token"])
+
+
+def _banned(words: DataFrame, forms: DataFrame) -> DataFrame:
+    """Pages that may have a negated piece of a form that is one clause of negations; ``piece`` are its words."""
+    pieces = forms.filter("open AND size(clauses) = 1").select("owner_id", "form", F.explode(F.col("clauses")[0]["pieces"]["words"]).alias("piece"))
+    return words.select("*", F.explode(F.map_keys("places")).alias("token")).join(
+        F.broadcast(pieces.withColumn("token", _rarest(F.col("piece")))), ["owner_id", "token"])
+
+
+def _hits(terms: DataFrame, postings: DataFrame) -> DataFrame:
+    """What matching looks at: each word of a clause on the pages that the rarest required one is on.
+
+    Words of clauses made of negations only are looked up wherever the rarest of their piece is.
+    """
+    words = _page_words(terms, postings)
+    forms = _forms(terms, words)
+    of_clause = F.flatten(F.get("clauses", F.col("nth"))["pieces"]["words"])
+    looked_up = _led(words, forms).select("form", *PAGE, "places", F.explode(of_clause).alias("word")).unionByName(
+        _banned(words, forms).select("form", *PAGE, "places", F.explode("piece").alias("word")))
+    return looked_up.select("form", *PAGE, F.col("word.token").alias("token"), F.explode(F.col("places")[F.col("word.token")]).alias("position"))
+
+
+def _found(piece: Column) -> Column:
+    """How often a word or phrase is on the page, counted in words, and where first."""
+    at = lambda w: F.coalesce(F.col("places")[w["token"]], F.array().cast("array<int>"))
+    # A phrase is satisfied where all its terms agree on where it starts.
+    starts = lambda w: F.transform(at(w), lambda place: place - w["offset"])
+    rest = F.slice(piece, 2, F.size(piece))
+    agreed = F.aggregate(rest, starts(piece[0]), lambda both, w: F.array_intersect(both, starts(w)))
+    alone = F.transform(F.array(at(piece[0])), lambda places: F.struct(F.size(places).alias("n"), F.get(places, 0).alias("first")))
+    phrase = F.transform(F.array(agreed), lambda s: F.struct(
+        (F.size(s) * F.size(piece)).alias("n"), (F.array_min(s) + piece[0]["offset"]).alias("first")))
+    return F.get(F.when(F.size(piece) == 1, alone).otherwise(phrase), 0)
+
+
+def _judged(clause: Column) -> Column:
+    """Whether the page satisfies the clause, with its text rank and first hit."""
+    found = F.transform(clause["pieces"], lambda piece: F.struct(piece["negated"].alias("negated"), _found(piece["words"]).alias("hit")))
+
+    def judge(pieces: Column) -> Column:
+        holds = F.forall(pieces, lambda p: (p["hit"]["n"] > 0) != p["negated"])
+        wanted = F.filter(pieces, lambda p: ~p["negated"])
+        return F.struct(
+            (holds & (~clause["open"] | F.col("listed"))).alias("ok"),
+            F.aggregate(wanted, F.lit(0.0), lambda total, p: total + text_rank(p["hit"]["n"])).alias("text_rank"),
+            F.coalesce(F.array_min(F.transform(wanted, lambda p: p["hit"]["first"])), F.lit(0)).alias("first_hit"))
+
+    return F.get(F.transform(F.array(found), judge), 0)
+
+
+def _matches(pages: DataFrame, nth: Column | None = None) -> DataFrame:
+    """Matching pages once per query: of all clauses the best text rank and the first hit.
+
+    With ``nth`` a page that several clauses lead to counts where the first of them that is satisfied stands.
+    """
+    def best(judged: Column) -> Column:
+        ok = F.filter(judged, lambda c: c["ok"])
+        first = F.size(ok) > 0 if nth is None else F.array_position(judged["ok"], F.lit(True)) == nth + 1
+        return F.when(first, F.struct(F.array_max(ok["text_rank"]).alias("text_rank"), F.array_min(ok["first_hit"]).alias("first_hit")))
+
+    matched = F.filter(F.transform(F.array(F.transform("clauses", _judged)), best), lambda match: match.isNotNull())
+    return pages.select(*PAGE, "asks", F.inline(matched)).select(F.explode("asks").alias("query_id"), *PAGE, "text_rank", "first_hit")
 
 
 def match_translated(terms: DataFrame, postings: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages that satisfy a clause of their query, with text rank and first hit.
 
-    ``pages`` (``owner_id, document_id, page_no``) serves clauses made of negations only.
+    ``pages`` (``owner_id, document_id, page_no``) serves clauses made of negations only. Queries of the same terms
+    are matched once, each on the rows of pages: matches, which grow with queries times pages, are neither
+    shuffled nor stored. Queries that are too many for one broadcast are matched in several parts.
     """
     terms = pin(terms)
-    # Dealt out once; every grouping below has these keys.
-    hits = _hits(terms, postings).repartition("query_id", *PAGE)
-    # A phrase is satisfied where all its terms agree on where it starts.
-    start = F.when(F.col("piece_terms") > 1, F.col("position") - F.col("offset"))
-    found = hits.groupBy("query_id", "clause", "piece", "negated", "needed", "piece_terms", *PAGE,
-                         start.alias("start")).agg(
-        F.count(F.lit(1)).alias("n"), F.min("position").alias("first_hit"))
-    found = found.filter((F.col("piece_terms") == 1) | (F.col("n") >= F.col("piece_terms")))
-    satisfied = found.groupBy("query_id", "clause", "piece", "negated", "needed", *PAGE).agg(
-        F.sum("n").alias("n"), F.min("first_hit").alias("first_hit"))
-    clauses = satisfied.groupBy("query_id", "clause", "needed", *PAGE).agg(
-        F.count_if(~F.col("negated")).alias("have"), F.bool_or("negated").alias("excluded"),
-        F.sum(F.when(~F.col("negated"), text_rank("n"))).alias("text_rank"),
-        F.min(F.when(~F.col("negated"), F.col("first_hit"))).alias("first_hit"))
-    matched = clauses.filter((F.col("needed") > 0) & (F.col("have") == F.col("needed")) & ~F.col("excluded"))
-
-    only_negated = terms.filter(F.col("needed") == 0).select("query_id", "owner_id", "clause").distinct()
-    rest = only_negated.join(pages.select("owner_id", *PAGE), "owner_id").join(
-        clauses.filter("excluded").select("query_id", "clause", *PAGE),
-        ["query_id", "clause", *PAGE], "left_anti")
-    rest = rest.select("query_id", *PAGE, F.lit(0.0).alias("text_rank"), F.lit(0).alias("first_hit"))
-    return matched.select("query_id", *PAGE, "text_rank", "first_hit").unionByName(rest).groupBy(
-        "query_id", *PAGE).agg(F.max("text_rank").alias("text_rank"), F.min("first_hit").alias("first_hit"))
+    words = _page_words(terms, postings, pages)
+    forms = _forms(terms, words)
+    parts = joins.broadcasts(forms, NARROW_ROWS)
+    return reduce(DataFrame.unionByName, (
+        _match_forms(words, forms.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part) if parts > 1 else forms) for part in range(parts)))
+
+
+def _match_forms(words: DataFrame, forms: DataFrame) -> DataFrame:
+    columns = ["query_id", *PAGE, "text_rank", "first_hit"]
+    # Forms of one word need no look at the other words of a page.
+    single = F.expr("NOT open AND size(clauses) = 1 AND size(clauses[0].pieces) = 1 AND size(clauses[0].pieces[0].words) = 1")
+    token = F.col("clauses")[0]["pieces"][0]["words"][0]["token"]
+    alone = words.select("owner_id", *PAGE, F.explode("places").alias("token", "at")).join(
+        F.broadcast(forms.filter(single).select("owner_id", token.alias("token"), "asks")), ["owner_id", "token"]).select(
+        F.explode("asks").alias("query_id"), *PAGE, text_rank(F.size("at")).alias("text_rank"), F.get("at", F.lit(0)).alias("first_hit"))
+    led = _matches(_led(words, forms.filter(~single)), F.col("nth"))
+    # Clauses of negations only match nearly all pages: each page has a list of those that it breaks.
+    kept = forms.filter("open AND size(clauses) = 1").select("owner_id", "form", "asks")
+    broken = _banned(words, forms).filter(_found(F.col("piece"))["n"] > 0).groupBy(*PAGE).agg(F.collect_set("form").alias("broken"))
+    # A fixed number of parts: far more rows come out of them than the few bytes that partitions are merged by tell.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = words.filter("listed").select("owner_id", *PAGE).join(broken, PAGE, "left").repartition(parts, *PAGE)
+    unbroken = lists.join(F.broadcast(kept), "owner_id").filter(
+        F.col("broken").isNull() | ~F.array_contains("broken", F.col("form"))).select(
+        F.explode("asks").alias("query_id"), *PAGE, F.lit(0.0).alias("text_rank"), F.lit(0).alias("first_hit"))
+    mixed = _matches(words.join(F.broadcast(forms.filter("open AND size(clauses) > 1")), "owner_id"))
+    return reduce(DataFrame.unionByName, (part.select(*columns) for part in (alone, led, unbroken, mixed)))
 
 
 def text_rank(hits: Column | str) -> Column:
