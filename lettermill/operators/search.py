@@ -253,9 +253,13 @@ def match_translated(terms: DataFrame, postings: DataFrame, pages: DataFrame) ->
     terms = pin(terms)
     words = _page_words(terms, postings, pages)
     forms = _forms(terms, words)
-    parts = joins.broadcasts(forms, NARROW_ROWS)
-    return reduce(DataFrame.unionByName, (
-        _match_forms(words, forms.filter(F.pmod(F.xxhash64("form"), F.lit(parts)) == part) if parts > 1 else forms) for part in range(parts)))
+    return reduce(DataFrame.unionByName, (_match_forms(words, part) for part in _broadcast_parts(forms)))
+
+
+def _broadcast_parts(forms: DataFrame) -> list[DataFrame]:
+    """``forms`` in parts that are each small enough for a broadcast; mostly one."""
+    n = joins.broadcasts(forms, NARROW_ROWS)
+    return [forms.filter(F.pmod(F.xxhash64("form"), F.lit(n)) == part) for part in range(n)] if n > 1 else [forms]
 
 
 def _match_forms(words: DataFrame, forms: DataFrame) -> DataFrame:
@@ -317,17 +321,20 @@ def match_original(queries: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def gram_postings(pages: DataFrame, docs: DataFrame) -> DataFrame:
-    """One row per (owner, page, position, gram): the three characters at every place of the lower-case original text.
+    """One row per (owner, page, gram) with its positions: the three characters at every place of the lower-case original text.
 
     The last place but one has two characters, so that ``head``, the first two of a gram, finds every pair.
+    Texts are dealt out by page, so that places are gathered where they are made.
     """
-    owned = pages.join(docs.select("document_id", "owner_id"), "document_id")
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    owned = pages.join(docs.select("document_id", "owner_id"), "document_id").select("owner_id", *PAGE, "original_text").repartition(parts, *PAGE)
     at = F.posexplode(F.regexp_extract_all(F.lower("original_text"), F.lit("(?s)(?=(.{2,3}))."), 1)).alias("position", "gram")
-    return owned.select("owner_id", *PAGE, at).withColumn("head", F.substring("gram", 1, 2))
+    return owned.select("owner_id", *PAGE, at).groupBy("owner_id", *PAGE, "gram").agg(
+        F.sort_array(F.collect_list("position")).alias("positions")).withColumn("head", F.substring("gram", 1, 2))
 
 
 def _count_grams(postings: DataFrame, path: str, version: int) -> None:
-    counts = postings.groupBy("owner_id", "head", "gram").agg(F.count(F.lit(1)).alias("postings"))
+    counts = postings.groupBy("owner_id", "head", "gram").agg(F.sum(F.size("positions")).alias("postings"))
     write_index(counts, f"{path}/counts/version={version}", "head")
 
 
@@ -353,45 +360,54 @@ def update_gram_index(changed: DataFrame, docs: DataFrame, path: str) -> None:
 def match_gram_index(queries: DataFrame, path: str) -> DataFrame:
     """:func:`match_original` from a stored gram index alone: no text is read.
 
-    Of each query its rarest gram is looked up first, which gives the places where the query may
-    start. The grams at every third character, and the last, cover the whole query; a page matches
-    where all of them stand at their distance from one such place. Queries with a gram that their
-    owner's pages lack end before any posting is read, and only buckets of wanted grams are read.
+    Of each query the rarest gram leads to the pages and places where it may start. The grams at every third
+    character, and the last, cover the whole query; a page matches where all of them stand at their distance from
+    one such place. Queries with a gram that their owner's pages lack end before any posting is read, and only
+    buckets of wanted grams are read. These postings are dealt out by page once and each page is judged on its
+    one row, so matches and places to try aren't shuffled.
     """
     spark = queries.sparkSession
-    asked = queries.filter(F.length("q") >= MIN_QUERY).select("query_id", "owner_id", F.lower("q").alias("q"), F.length(F.lower("q")).alias("size"))
-    grams_of = asked.filter("size > 2").select("query_id", "owner_id", "size", F.posexplode(grams("q", 3)).alias("offset", "gram"))
-    terms = grams_of.withColumn("head", F.substring("gram", 1, 2))
-    pairs = asked.filter("size = 2").select("query_id", "owner_id", F.col("q").alias("head"))
+    valid = queries.filter(F.length("q") >= MIN_QUERY).select("query_id", "owner_id", F.lower("q").alias("q"))
+    # Queries of one text are matched once.
+    asked = pin(valid.groupBy("owner_id", "q").agg(F.min("query_id").alias("form"), F.collect_list("query_id").alias("asks")).withColumn("size", F.length("q")))
+    terms = asked.filter("size > 2").select("form", "owner_id", "size", F.posexplode(grams("q", 3)).alias("offset", "gram")).withColumn(
+        "head", F.substring("gram", 1, 2))
+    pairs = asked.filter("size = 2").select("owner_id", F.col("q").alias("head"), "asks")
     kept = spark.read.parquet(f"{path}/grams/schema").select("owner_id", "head", "gram").schema.add("postings", "long").add("bucket", "integer")
     counted = read_index(spark, f"{path}/counts", terms, "head", schema=kept).groupBy("owner_id", "head", "gram").agg(F.sum("postings").alias("postings"))
     found = counted.join(broadcast_if_small(terms), ["owner_id", "head", "gram"])
     # A query has at most 200 characters, so these groups are small.
-    of_query = Window.partitionBy("query_id")
-    rarity = F.row_number().over(of_query.orderBy("postings", "offset"))
-    covers = (F.col("offset") % 3 == 0) | (F.col("offset") == F.col("size") - 3)
-    complete = found.withColumn("have", F.count(F.lit(1)).over(of_query)).withColumn("rarity", rarity).filter(F.col("have") == F.col("size") - 2)
-    needed = complete.filter((F.col("rarity") == 1) | covers).withColumn("checks", F.count_if(F.col("rarity") > 1).over(of_query))
-    needed = pin(needed.select("query_id", "owner_id", "head", "gram", "offset", "rarity", "checks"))
-
-    postings = index_store.read(spark, f"{path}/grams", needed.select("head").union(pairs.select("head")), "head")
-    look_up = lambda part: postings.join(broadcast_if_small(part), ["owner_id", "head", "gram"])
-    start = (F.col("position") - F.col("offset")).alias("start")
-    # Queries of two and three characters match wherever their only gram is: places are left out before
-    # queries are joined, so that nothing as large as the matches is shuffled.
-    whole = needed.filter("checks = 0").select("query_id", "owner_id", "head", "gram")
-    def on_pages(part: DataFrame, keys: list[str]) -> DataFrame:
-        wanted = broadcast_if_small(part.select(*keys).distinct())
-        placeless = postings.join(wanted, keys, "left_semi").select(*keys, *PAGE).distinct()
-        return placeless.join(broadcast_if_small(part), keys).select("query_id", *PAGE)
-
-    of_pages, heads = on_pages(whole, ["owner_id", "head", "gram"]), on_pages(pairs, ["owner_id", "head"])
-    starts = pin(look_up(needed.filter("rarity = 1 AND checks > 0")).select("query_id", "checks", *PAGE, start).filter("start >= 0"))
-    rest = look_up(needed.filter("rarity > 1")).select("query_id", *PAGE, start)
-    place = ["query_id", *PAGE, "start"]
-    aligned = rest.join(broadcast_if_small(starts), place).groupBy(*place, "checks").agg(F.count(F.lit(1)).alias("n")).filter("n = checks")
-    # Each query has one length, so the three kinds of matches share none.
-    return of_pages.union(aligned.select("query_id", *PAGE).distinct()).union(heads)
+    of_form = found.groupBy("form", "size").agg(F.sort_array(F.collect_list(F.struct("postings", "offset", "gram"))).alias("found"))
+    covers = lambda g: (g["offset"] % 3 == 0) | (g["offset"] == F.col("size") - 3)
+    complete = of_form.filter(F.size("found") == F.col("size") - 2).select(
+        "form", F.get("found", F.lit(0)).alias("lead"), F.filter(F.slice("found", 2, F.size("found")), covers).alias("checks"))
+    needed = pin(asked.join(complete, "form").select(
+        "form", "owner_id", "asks", F.col("lead.gram").alias("gram"), F.col("lead.offset").alias("offset"), "checks"))
+    wanted = needed.select("owner_id", F.explode(F.array_union(F.array("gram"), F.col("checks.gram"))).alias("gram")).distinct().select(
+        "owner_id", F.substring("gram", 1, 2).alias("head"), "gram", F.lit(True).alias("placed"))
+    heads = pairs.select("owner_id", "head", F.lit(True).alias("paired"))
+
+    postings = index_store.read(spark, f"{path}/grams", wanted.select("head").union(heads.select("head")), "head")
+    looked_up = postings.join(broadcast_if_small(wanted, NARROW_ROWS), ["owner_id", "head", "gram"], "left").join(
+        broadcast_if_small(heads), ["owner_id", "head"], "left").filter("placed OR paired")
+    # Places are only needed of grams that are aligned; a pair is found by any gram that starts with it.
+    rows = looked_up.select("owner_id", *PAGE, "gram", F.when(F.col("placed"), F.col("positions")).alias("at"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    on_page = F.map_from_entries(F.collect_list(F.struct("gram", "at")))
+    words = rows.repartition(parts, *PAGE).groupBy("owner_id", *PAGE).agg(on_page.alias("places"))
+    # A key of a page is a gram or, of two characters, the head of one.
+    keys = F.array_distinct(F.concat(F.map_keys("places"), F.transform(F.map_keys("places"), lambda gram: F.substring(gram, 1, 2))))
+    tried = words.select("owner_id", *PAGE, "places", F.explode(keys).alias("key"))
+    # Queries of two and three characters match wherever their only gram is.
+    whole = needed.filter("size(checks) = 0").select("form", "owner_id", "asks", F.col("gram").alias("key")).unionByName(
+        asked.filter("size = 2").select("form", "owner_id", "asks", F.col("q").alias("key")))
+    stands = lambda start: F.forall("checks", lambda g: F.array_contains(F.col("places")[g["gram"]], start + g["offset"]))
+    starts = F.filter(F.transform(F.col("places")[F.col("key")], lambda place: place - F.col("offset")), lambda start: start >= 0)
+    aligned = needed.filter("size(checks) > 0").withColumnRenamed("gram", "key")
+    matched = [found.select(F.explode("asks").alias("query_id"), *PAGE) for found in (
+        *(tried.drop("places").join(F.broadcast(part), ["owner_id", "key"]) for part in _broadcast_parts(whole)),
+        *(tried.join(F.broadcast(part), ["owner_id", "key"]).filter(F.exists(starts, stands)) for part in _broadcast_parts(aligned)))]
+    return reduce(DataFrame.unionByName, matched)
 
 
 def contains_text(text: Column | str, q: Column | str) -> Column:

@@ -107,3 +107,17 @@ def test_matches_of_short_queries_are_not_shuffled(spark, letters, tmp_path):
     # Nothing is aggregated above the union of the three kinds of queries.
     assert matched._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
     assert found(matched) == brute(rows, queries)
+
+
+def test_places_of_long_queries_are_not_shuffled(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(d, "o1") for d in range(30)], "document_id int, owner_id string")
+    rows = [(d, 1, "abcabcabd" * 4) for d in range(30)]
+    sr.create_gram_index(spark.createDataFrame(rows, "document_id int, page_no int, original_text string"), docs, str(tmp_path))
+    queries = [(i, "o1", q) for i, q in enumerate(["abcab", "bcabd", "ABDA", "cabdabca", "abcabcabcab", "ab", "bda"] * 9)]
+    q = spark.createDataFrame(queries, "query_id int, owner_id string, q string")
+    for limit in (1_000_000, 2):
+        monkeypatch.setattr(sr, "NARROW_ROWS", limit)
+        matched = sr.match_gram_index(q, str(tmp_path))
+        assert found(matched) == sorted((i, d, 1) for i, _, text in queries for d, _, t in rows if text.lower() in t)
+        plan = matched._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(query_id" not in plan and "SortMergeJoin" not in plan.split("== Initial Plan ==")[0]
