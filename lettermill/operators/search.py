@@ -29,6 +29,8 @@ PAGE = ["document_id", "page_no"]
 
 # Queries and their terms are a few dozen bytes each: more of them are broadcast than of other rows, but no more bytes.
 NARROW_ROWS = 1_000_000
+# A page's key and number of trigrams are three numbers.
+SIZED_ROWS = 2_000_000
 # Lengths of the n-grams by which queries find the pages that may contain them.
 PROBES = (2, 3, 5, 8)
 
@@ -472,16 +474,16 @@ def search(queries: DataFrame, pages: DataFrame, docs: DataFrame, postings: Data
     original = in_original.select(
         "query_id", *PAGE, F.lit(0.0).alias("text_rank"), F.lit(None).cast("int").alias("first_hit"),
         F.lit(False).alias("in_translation"))
-    found = translated.unionByName(original).groupBy("query_id", *PAGE).agg(
-        F.max("text_rank").alias("text_rank"), F.min("first_hit").alias("first_hit"),
-        F.bool_or("in_translation").alias("in_translation"))
+    # What is found on both sides stands twice until few pages are left: all matches of a page are made from its
+    # row, and in reach they are looked at twice rather than stored or shuffled.
+    found = translated.unionByName(original)
     facts = docs.select("document_id", "title", F.col("year").alias("doc_year"), "tags")
-    filters = asks.join(forms, ["owner_id", "q"]).select("query_id", "ask", "tag", "year")
-    scoped = pin(found.join(broadcast_if_small(filters, NARROW_ROWS), "query_id").join(
+    filters = pin(asks.join(forms, ["owner_id", "q"]).select("query_id", "ask", "tag", "year"))
+    scoped = found.join(broadcast_if_small(filters, NARROW_ROWS), "query_id").join(
         broadcast_if_small(facts.select("document_id", "doc_year", "tags"), NARROW_ROWS), "document_id").filter(
         (F.col("tag").isNull() | F.array_contains("tags", F.col("tag")))
         & (F.col("year").isNull() | (F.col("doc_year") == F.col("year")))).select(
-        "ask", *PAGE, "text_rank", "first_hit", "in_translation"))
+        "ask", *PAGE, "text_rank", "first_hit", "in_translation")
     near = pin(_within_reach(scoped, asks, pages))
     # Trigrams are made once per page that may be among the best and once per query, and no text takes part in ranking.
     similarity = gram_similarity("_page_grams", "_q_grams", short_right=True)
@@ -514,11 +516,15 @@ def _within_reach(scoped: DataFrame, asks: DataFrame, pages: DataFrame) -> DataF
     Similarity adds at most the smaller over the larger number of trigrams. A page that doesn't get to the
     text rank of the query's 50th page with that is behind 50 others; the margin is for rounding to six digits.
     """
-    by_text = Window.partitionBy("ask").orderBy(F.desc("text_rank"))
-    best = scoped.select("ask", "text_rank").withColumn("place", F.row_number().over(by_text)).filter(F.col("place") <= MAX_LIMIT)
-    bars = best.groupBy("ask").agg(F.when(F.count(F.lit(1)) == MAX_LIMIT, F.min("text_rank")).alias("_bar"))
-    of_ask = asks.select("ask", F.size(trigrams("q")).alias("_q_size")).join(bars, "ask")
-    sizes = _page_grams(pages, scoped).select(*PAGE, F.size(F.coalesce("_page_grams", F.array())).alias("_page_size"))
+    # Text ranks take few values: counted, matches aren't sorted. A page found on both sides counts twice at rank 0 only, where every page is within reach.
+    counts = scoped.groupBy("ask", "text_rank").agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("ask").orderBy(F.desc("text_rank")).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    bars = counts.withColumn("so_far", so_far).groupBy("ask").agg(F.max(F.when(F.col("so_far") >= MAX_LIMIT, F.col("text_rank"))).alias("_bar"))
+    of_ask = pin(asks.select("ask", F.size(trigrams("q")).alias("_q_size")).join(bars, "ask"))
+    sizes = pin(pages.select(*PAGE, "original_text").repartition(*PAGE).select(
+        *PAGE, F.size(F.coalesce(trigrams("original_text"), F.array())).alias("_page_size")))
     reach = F.col("text_rank") + F.least("_page_size", "_q_size") / F.greatest("_page_size", "_q_size", F.lit(1))
-    return scoped.join(broadcast_if_small(of_ask, NARROW_ROWS), "ask").join(broadcast_if_small(sizes, NARROW_ROWS), PAGE).filter(
-        F.col("_bar").isNull() | (reach >= F.col("_bar") - 2e-6)).select(*scoped.columns)
+    kept = scoped.join(broadcast_if_small(of_ask, NARROW_ROWS), "ask").join(broadcast_if_small(sizes, SIZED_ROWS), PAGE).filter(
+        F.col("_bar").isNull() | (reach >= F.col("_bar") - 2e-6))
+    return kept.groupBy("ask", *PAGE).agg(
+        F.max("text_rank").alias("text_rank"), F.min("first_hit").alias("first_hit"), F.bool_or("in_translation").alias("in_translation"))

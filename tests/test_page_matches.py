@@ -77,3 +77,16 @@ def test_matches_are_not_shuffled(spark):
             todo += [node.children().apply(i) for i in range(node.children().size())]
     # Pages and their lists of negations that they break, but none of the matches.
     assert n > 2500 and max(shuffled) <= 2 * 40
+
+
+def test_search_neither_stores_nor_shuffles_what_is_found(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "o1", "First", 1980, ["family"])], "document_id int, owner_id string, title string, year int, tags array<string>")
+    pages = spark.createDataFrame([(1, n, f"a page of ash and other trees, number {n}", "ash " * (1 + n // 60)) for n in range(120)],
+                                  "document_id int, page_no int, original_text string, translated_text string")
+    queries = spark.createDataFrame([(1, "o1", "ash", None, None, 50)], "query_id int, owner_id string, q string, tag string, year int, limit int")
+    stored, pin = [], sr.pin
+    monkeypatch.setattr(sr, "pin", lambda df: stored.append(pin(df)) or stored[-1])
+    rows = sr.search(queries, pages, docs, english=False).collect()
+    # 120 pages are found on both sides; only those within reach are kept with their text rank.
+    kept = [df for df in stored if "text_rank" in df.columns]
+    assert [df.count() for df in kept] == [60] and sorted(r["page_no"] for r in rows) == list(range(60, 110))
